@@ -31,9 +31,19 @@ def _all(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
 
-def budget(question: Column) -> Column:
-    """Yearly ceiling: lakhs, else thousands, else the first plain number that is large enough."""
-    q = F.regexp_replace(ascii_digits(F.lower(question)), r"(?<=\d),(?=\d)", "")
+def folded(question: Column) -> Column:
+    """What the extractors read: lower case, all digits ASCII."""
+    return ascii_digits(F.lower(question))
+
+
+def ungrouped(q: Column) -> Column:
+    """Commas between digits removed (1,50,000 -> 150000)."""
+    return F.regexp_replace(q, r"(?<=\d),(?=\d)", "")
+
+
+def budget(q: Column) -> Column:
+    """Yearly ceiling in folded, ungrouped text: lakhs, else thousands, else the first plain
+    number that is large enough."""
     lakhs = _number(q, rf"({NUMBER}){SP}*(?:lakhs?|l){NOT_BEFORE_WORD}") * v.LAKH
     thousands = _number(q, rf"({NUMBER}){SP}*k{NOT_BEFORE_WORD}") * 1000
     plain = _first_number(
@@ -44,9 +54,9 @@ def budget(question: Column) -> Column:
     return F.coalesce(lakhs, thousands, plain) * per_year
 
 
-def cutoff(question: Column) -> Column:
-    """Own score: a percentage, else a number after a scoring word, else any plausible number."""
-    q = ascii_digits(F.lower(question))
+def cutoff(q: Column) -> Column:
+    """Own score in folded text: a percentage, else a number after a scoring word, else any
+    plausible number."""
     low, high = v.SCORE_RANGE
     percentage = _number(q, rf"({NUMBER}){SP}*(?:%|percent|percentage){EDGE}")
     after_word = _number(q, rf"(?:{_spaced(v.SCORE_PREFIXES)}){SP}*({NUMBER}){NOT_BEFORE_WORD}")
@@ -64,9 +74,9 @@ def cutoff(question: Column) -> Column:
     )
 
 
-def placement(question: Column) -> Column:
-    """Floor on the placement figure: the first number after the word, else one right before it."""
-    q = ascii_digits(F.lower(question))
+def placement(q: Column) -> Column:
+    """Floor on the placement figure in folded text: the first number after the word, else one
+    right before it."""
     at = F.instr(q, F.lit(v.PLACEMENT_WORD))
     after = F.substring(q, at + len(v.PLACEMENT_WORD), F.length(q))
     before = strip(F.substring(q, F.lit(1), at - 1))
@@ -80,28 +90,25 @@ def placement(question: Column) -> Column:
     )
 
 
-def exhaustive(question: Column) -> Column:
-    """The question is about the whole catalogue, not the best few."""
-    return F.lower(question).rlike(rf"{NOT_AFTER_WORD}(?:{v.EXHAUSTIVE_WORDS}){NOT_BEFORE_WORD}")
+def exhaustive(q: Column) -> Column:
+    """The (lower-case) question is about the whole catalogue, not the best few."""
+    return q.rlike(rf"{NOT_AFTER_WORD}(?:{v.EXHAUSTIVE_WORDS}){NOT_BEFORE_WORD}")
 
 
-def wanted_type(question: Column, types: tuple[tuple[str, str], ...]) -> Column:
-    q = F.lower(question)
+def wanted_type(q: Column, types: tuple[tuple[str, str], ...]) -> Column:
     return F.coalesce(*[F.when(q.contains(term), F.lit(value)) for term, value in types])
 
 
-def wants_flag(question: Column, word: str) -> Column:
+def wants_flag(q: Column, word: str) -> Column:
     """The flag word, phrased as a property to select on rather than to ask about."""
-    q = F.lower(question)
     phrased = contains_any(q, v.FLAG_PHRASES) | q.rlike(
         rf"{NOT_AFTER_WORD}(?:{v.FLAG_VERBS}){SP}+{word}s?{NOT_BEFORE_WORD}"
     )
     return q.contains(word) & phrased
 
 
-def wanted_categories(question: Column, categories: tuple[tuple[str, str], ...]) -> Column:
+def wanted_categories(q: Column, categories: tuple[tuple[str, str], ...]) -> Column:
     """Keywords present as whole words, in vocabulary order; empty when there is none."""
-    q = F.lower(question)
     return F.array_compact(
         F.array(
             *[
@@ -124,6 +131,6 @@ def _java_literal(word: str) -> str:
 
 
 __all__ = [
-    "budget", "cutoff", "placement", "exhaustive", "wanted_type", "wants_flag",
+    "folded", "ungrouped", "budget", "cutoff", "placement", "exhaustive", "wanted_type", "wants_flag",
     "wanted_categories", "offered_categories", "WORD",
 ]

@@ -28,7 +28,7 @@ MAX_THRESHOLDS = 20_000
 
 def signatures(profiled: DataFrame) -> DataFrame:
     """Distinct constraint sets that ask for something, cut for reuse."""
-    return cut(with_signature(profiled.where("applied")).select("sig", *WANTS).dropDuplicates(["sig"]))
+    return cut(profiled.where("applied").select("sig", *WANTS).dropDuplicates(["sig"]))
 
 
 def _signature_keys(sigs: DataFrame) -> DataFrame:
@@ -83,13 +83,20 @@ def eligible_pairs(sigs: DataFrame, records: DataFrame) -> DataFrame:
     ).select("sig", "row_idx")
 
 
-def _thresholds(sigs: DataFrame, limit: str, sign: int) -> list[float] | None:
-    """Distinct limits in ascending signed order; None when there are too many to ship."""
+def _thresholds(sigs: DataFrame) -> dict[str, list[float] | None]:
+    """Per limit, its distinct values in ascending signed order; None when there are too many to
+    ship. One job for all of them."""
+    signed = F.array(
+        *[F.struct(F.lit(limit).alias("limit"), (F.col(limit) * sign).alias("t")) for limit, _, sign in RANGES]
+    )
+    bound = MAX_THRESHOLDS * len(RANGES)
     rows = (
-        sigs.where(F.col(limit).isNotNull()).select((F.col(limit) * sign).alias("t")).distinct()
-        .limit(MAX_THRESHOLDS + 1).collect()
+        sigs.select(F.explode(signed).alias("v")).select("v.*").where("t IS NOT NULL").distinct()
+        .limit(bound + 1).collect()
     )
-    return None if len(rows) > MAX_THRESHOLDS else sorted(r["t"] for r in rows)
+    if len(rows) > bound:
+        return {limit: None for limit, _, _ in RANGES}
+    return {limit: sorted(r["t"] for r in rows if r["limit"] == limit) for limit, _, _ in RANGES}
 
 
 def _slot(df: DataFrame, column: str, sign: int, thresholds: list[float] | None, out: str) -> DataFrame:
@@ -109,8 +116,9 @@ def _slot(df: DataFrame, column: str, sign: int, thresholds: list[float] | None,
 def _slotted(sigs: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides with range values replaced by threshold positions (same order, fewer values)."""
     slim = records.select("row_idx", "type", "flag", "categories", *[value for _, value, _ in RANGES])
+    shipped = _thresholds(sigs)
     for limit, value, sign in RANGES:
-        thresholds = _thresholds(sigs, limit, sign)
+        thresholds = shipped[limit]
         slim = _slot(slim, value, sign, thresholds, f"s_{value}").drop(value)
         sigs = _slot(sigs, limit, sign, thresholds, f"s_{limit}").withColumn(
             f"s_{limit}", F.when(F.col(limit).isNotNull(), F.col(f"s_{limit}"))
@@ -165,7 +173,7 @@ def only_constraint(profiled: DataFrame, *kept: str) -> DataFrame:
     applied = F.lit(False)
     for c in kept:
         applied = applied | is_set.get(c, F.col(c).isNotNull())
-    return lifted.withColumn("applied", applied)
+    return with_signature(lifted.withColumn("applied", applied))
 
 
 def first_eligible(sigs: DataFrame, records: DataFrame, k: int) -> DataFrame:
@@ -178,14 +186,21 @@ def first_eligible(sigs: DataFrame, records: DataFrame, k: int) -> DataFrame:
     ).drop("rn")
 
 
-def question_counts(profiled: DataFrame, records: DataFrame) -> DataFrame:
-    """(qid, applied, n_eligible): NULL count where the question sets no constraint."""
-    counts = cut(eligible_summary(signatures(profiled), records).select("sig", "n_eligible"))
-    return lookup_join(
-        with_signature(profiled).select("qid", "question", "applied", "sig"), counts, ["sig"], ["qid"], how="left"
-    ).drop("sig")
+def unique_counts(profiled: DataFrame, records: DataFrame) -> DataFrame:
+    """(uq, applied, n_eligible) per distinct question: NULL count where it sets no constraint."""
+    counts = eligible_summary(signatures(profiled), records).select("sig", "n_eligible")
+    return profiled.select("uq", "applied", "sig").join(counts, "sig", "left").select(
+        "uq", "applied", "n_eligible"
+    )
+
+
+def question_counts(questions: DataFrame, profiled: DataFrame, records: DataFrame) -> DataFrame:
+    """(qid, question, applied, n_eligible) for every question."""
+    counts = cut(unique_counts(profiled, records))
+    return lookup_join(questions.withColumn("uq", F.lower("question")), counts, ["uq"], ["qid"])
 
 
-def true_negatives(profiled: DataFrame, records: DataFrame) -> DataFrame:
+def true_negatives(questions: DataFrame, profiled: DataFrame, records: DataFrame) -> DataFrame:
     """Questions whose constraints no record meets: an answer in itself, never widened."""
-    return question_counts(profiled, records).where(F.col("applied") & (F.col("n_eligible") == 0))
+    empty = cut(unique_counts(profiled, records).where(F.col("applied") & (F.col("n_eligible") == 0)))
+    return lookup_join(questions.withColumn("uq", F.lower("question")), empty, ["uq"], ["qid"])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import only_words, split_words
+from ..session import cut
 
 
 def name_key(c: Column) -> Column:
@@ -17,8 +18,9 @@ def name_key(c: Column) -> Column:
 
 
 def distinct_names(records: DataFrame, stops: tuple[str, ...]) -> DataFrame:
-    """(name_key, words, own): ``own`` are the words that are not stop words, repeats kept."""
-    return (
+    """(name_key, words, own), cut for reuse: ``own`` are the words that are not stop words,
+    repeats kept."""
+    return cut(
         records.select(name_key(F.col("name")).alias("name_key")).distinct()
         .withColumn("words", split_words(F.col("name_key")))
         .withColumn("own", F.filter("words", lambda w: ~w.isin(*stops)))

@@ -7,22 +7,32 @@ from pyspark.sql import functions as F
 
 from ..functions import constraints as C
 from ..functions.vocab import Vocabulary
+from ..session import cut
 
 WANTS = ("want_type", "want_flag", "want_cats", "max_fee", "own_score", "min_placement")
 
 
+def folded_questions(questions: DataFrame, text: str = "question") -> DataFrame:
+    """Adds the normalised texts the extractors read, each computed once per row."""
+    return (
+        questions.withColumn("_lower", F.lower(text))
+        .withColumn("_folded", C.folded(F.col("_lower")))
+        .withColumn("_ungrouped", C.ungrouped(F.col("_folded")))
+    )
+
+
 def with_constraints(questions: DataFrame, vocabulary: Vocabulary, text: str = "question") -> DataFrame:
     """Adds one nullable column per kind of constraint, and whether any is set."""
-    q = F.col(text)
-    wanted = questions.select(
-        "*",
-        C.wanted_type(q, vocabulary.types).alias("want_type"),
-        C.wants_flag(q, vocabulary.flag_word).alias("want_flag"),
-        C.wanted_categories(q, vocabulary.categories).alias("want_cats"),
-        C.budget(q).alias("max_fee"),
-        C.cutoff(q).alias("own_score"),
-        C.placement(q).alias("min_placement"),
-        C.exhaustive(q).alias("exhaustive"),
+    lower, folded, ungrouped = F.col("_lower"), F.col("_folded"), F.col("_ungrouped")
+    wanted = folded_questions(questions, text).select(
+        *questions.columns,
+        C.wanted_type(lower, vocabulary.types).alias("want_type"),
+        C.wants_flag(lower, vocabulary.flag_word).alias("want_flag"),
+        C.wanted_categories(lower, vocabulary.categories).alias("want_cats"),
+        C.budget(ungrouped).alias("max_fee"),
+        C.cutoff(folded).alias("own_score"),
+        C.placement(folded).alias("min_placement"),
+        C.exhaustive(lower).alias("exhaustive"),
     )
     applied = (
         F.col("want_type").isNotNull()
@@ -39,12 +49,21 @@ def with_signature(profiled: DataFrame) -> DataFrame:
 
 
 def unique_questions(questions: DataFrame) -> DataFrame:
-    """Every rule works on the lower-cased question, so equal ones are answered once."""
-    return questions.select(F.lower("question").alias("uq")).distinct()
+    """(uq, n_questions). Every rule works on the lower-cased question, so equal ones are
+    answered once."""
+    return questions.groupBy(F.lower("question").alias("uq")).agg(F.count("*").alias("n_questions"))
+
+
+def profiled_questions(questions: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Distinct questions with their constraints, signature and a number, cut for reuse (which
+    also fixes the numbers)."""
+    unique = with_signature(with_constraints(unique_questions(questions), vocabulary, "uq"))
+    return cut(unique.withColumn("uid", F.monotonically_increasing_id()))
 
 
 def constraint_profile(profiled: DataFrame) -> DataFrame:
     """How often each kind of constraint, alone or combined, is asked for."""
+    n = F.col("n_questions")
     return profiled.groupBy(
         F.col("want_type").isNotNull().alias("has_type"),
         F.col("want_flag").alias("has_flag"),
@@ -53,10 +72,12 @@ def constraint_profile(profiled: DataFrame) -> DataFrame:
         F.col("own_score").isNotNull().alias("has_cutoff"),
         F.col("min_placement").isNotNull().alias("has_floor"),
     ).agg(
-        F.count("*").alias("n_questions"),
+        F.sum(n).alias("n_questions"),
         F.min("max_fee").alias("min_budget"),
         F.max("max_fee").alias("max_budget"),
-        F.round(F.avg("own_score"), 4).alias("avg_cutoff"),
+        F.round(
+            F.sum(F.col("own_score") * n) / F.sum(F.when(F.col("own_score").isNotNull(), n)), 4
+        ).alias("avg_cutoff"),
         F.max("min_placement").alias("max_floor"),
-        F.sum(F.col("exhaustive").cast("long")).alias("n_exhaustive"),
+        F.sum(F.when(F.col("exhaustive"), n).otherwise(0)).alias("n_exhaustive"),
     )

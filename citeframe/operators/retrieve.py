@@ -18,9 +18,9 @@ from ..sources.catalog import document
 from .eligibility import eligible_pairs, first_eligible, is_eligible, nothing_wanted
 from .entities import match_names, name_key
 from .joins import lookup_join
-from .profile import WANTS, unique_questions, with_constraints, with_signature
+from .profile import WANTS, profiled_questions
 from .ranking import best_first, distributed_rank, top_k
-from .tfidf import Index, cosine, dot_products
+from .tfidf import Index, cosine_pairs
 
 NAMED, CONSTRAINED, OPEN = "named", "constrained", "open"
 RECORD_SIDE = ("row_idx", "name_key", "type", "flag", "categories", "fee", "cutoff", "placement")
@@ -34,10 +34,15 @@ class Retrieval:
         stops: tuple[str, ...] = ENGLISH_STOPS,
     ):
         self.vocabulary = vocabulary
-        self.records = records.withColumn("name_key", name_key(F.col("name")))
+        # written once: routing, indexing and padding all read it
+        self.records = cut(records.withColumn("name_key", name_key(F.col("name"))))
         self.questions = questions.withColumn("uq", F.lower("question"))
-        self.index = Index(
-            self.records.select(*RECORD_SIDE, document().alias("doc")), "row_idx", "doc", stops=stops
+        self.stops = stops
+
+    @cached_property
+    def index(self) -> Index:
+        return Index(
+            self.records.select(*RECORD_SIDE, document().alias("doc")), "row_idx", "doc", stops=self.stops
         )
 
     # ---- routing -----------------------------------------------------------------------
@@ -45,7 +50,7 @@ class Retrieval:
     @cached_property
     def unique(self) -> DataFrame:
         """Distinct questions with their constraints, cut for reuse."""
-        return cut(with_signature(with_constraints(unique_questions(self.questions), self.vocabulary, "uq")))
+        return profiled_questions(self.questions, self.vocabulary)
 
     @cached_property
     def named(self) -> DataFrame:
@@ -68,85 +73,83 @@ class Retrieval:
         return chosen if exhaustive is None else chosen.where(F.col("exhaustive") == exhaustive)
 
     def _named_pool(self, asked: DataFrame) -> DataFrame:
-        """(uq, name_key) of the named questions in ``asked``."""
-        return self.named.join(asked.select("uq"), "uq", "left_semi")
-
-    def pool(self, exhaustive: bool, routes: tuple[str, ...] = (NAMED, CONSTRAINED, OPEN)) -> DataFrame:
-        """(uq, row_idx) written out: as large as the answer to an exhaustive question."""
-        parts = []
-        if NAMED in routes:
-            names = cut(self._named_pool(self._asked(NAMED, exhaustive)))
-            parts.append(lookup_join(self.records.select("row_idx", "name_key"), names, ["name_key"], ["row_idx"]))
-        if CONSTRAINED in routes:
-            asked = self._asked(CONSTRAINED, exhaustive)
-            pairs = eligible_pairs(cut(asked.select("sig", *WANTS).dropDuplicates(["sig"])), self.records)
-            parts.append(lookup_join(pairs, cut(asked.select("uq", "sig")), ["sig"], ["row_idx"]))
-        if OPEN in routes:
-            # every record answers every open question: one row per record and question is the result
-            wanted = cut(self._asked(OPEN, exhaustive).select("uq", F.lit("all").alias("pool")))
-            everything = self.records.select("row_idx", F.lit("all").alias("pool"))
-            parts.append(lookup_join(everything, wanted, ["pool"], ["row_idx"]))
-        whole = parts[0].select("uq", "row_idx")
-        for part in parts[1:]:
-            whole = whole.unionByName(part.select("uq", "row_idx"))
-        return whole
+        """(uid, name_key) of the named questions in ``asked``."""
+        return self.named.join(asked.select("uq", "uid"), "uq").select("uid", "name_key")
+
+    def pool(self, exhaustive: bool) -> DataFrame:
+        """(uid, row_idx) written out: as large as the answer to an exhaustive question."""
+        names = cut(self._named_pool(self._asked(NAMED, exhaustive)))
+        named = lookup_join(self.records.select("row_idx", "name_key"), names, ["name_key"], ["row_idx"])
+        limited = self._asked(CONSTRAINED, exhaustive)
+        pairs = eligible_pairs(cut(limited.select("sig", *WANTS).dropDuplicates(["sig"])), self.records)
+        constrained = lookup_join(pairs, cut(limited.select("uid", "sig")), ["sig"], ["row_idx"])
+        # every record answers every open question: a row per record and question is the result
+        wanted = cut(self._asked(OPEN, exhaustive).select("uid", F.lit("all").alias("pool")))
+        everything = self.records.select("row_idx", F.lit("all").alias("pool"))
+        opened = lookup_join(everything, wanted, ["pool"], ["row_idx"])
+        return (
+            named.select("uid", "row_idx")
+            .unionByName(constrained.select("uid", "row_idx"))
+            .unionByName(opened.select("uid", "row_idx"))
+        )
 
     def first_of_pool(self, asked: DataFrame, k: int) -> DataFrame:
-        """(uq, row_idx): each pool's first k records in catalogue order, pools left unformed."""
+        """(uid, row_idx): each pool's first k records in catalogue order, pools left unformed."""
         order = [F.col("row_idx").asc()]
         by_name = top_k(self.records.select("row_idx", "name_key"), ["name_key"], order, k).drop("rn")
-        names = cut(self._named_pool(asked.where(F.col("route") == NAMED)))
-        named = top_k(lookup_join(by_name, names, ["name_key"], ["row_idx"]), ["uq"], order, k)
+        names = self._named_pool(asked.where(F.col("route") == NAMED))
+        named = top_k(by_name.join(names, "name_key"), ["uid"], order, k)
         limited = asked.where(F.col("route") == CONSTRAINED)
         by_sig = first_eligible(cut(limited.select("sig", *WANTS).dropDuplicates(["sig"])), self.records, k)
-        constrained = limited.select("uq", "sig").join(by_sig, "sig")
+        constrained = limited.select("uid", "sig").join(by_sig, "sig")
         # k ids, whatever the catalogue's size
         heads = self.records.select("row_idx").orderBy("row_idx").limit(k).agg(
             F.array_sort(F.collect_list("row_idx")).alias("ids")
         ).scalar()
-        opened = asked.where(F.col("route") == OPEN).select("uq", F.explode(heads).alias("row_idx"))
+        opened = asked.where(F.col("route") == OPEN).select("uid", F.explode(heads).alias("row_idx"))
         return (
-            named.select("uq", "row_idx")
-            .unionByName(constrained.select("uq", "row_idx"))
+            named.select("uid", "row_idx")
+            .unionByName(constrained.select("uid", "row_idx"))
             .unionByName(opened)
         )
 
     # ---- scores ------------------------------------------------------------------------
 
     def scores(self, asked: DataFrame) -> DataFrame:
-        """(uq, row_idx, score) for pool members sharing a term with the question."""
-        asked = cut(asked)
-        vector = self.index.vector(asked.select("uq", F.col("uq").alias("text")), "uq", "text")
-        counts = self.index.counts
-        free = vector.join(asked.where(F.col("route") != NAMED).select("uq", *WANTS), "uq")
-        by_rule = dot_products(counts, cut(free), "uq", "row_idx", where=is_eligible())
+        """(uid, row_idx, score) for pool members sharing a term with the question."""
+        vector = self.index.vector(asked.select("uid", "uq"), "uid", "uq")
+        counts, norms = self.index.counts, self.index.doc_norms()
+        free = vector.join(asked.where(F.col("route") != NAMED).select("uid", *WANTS), "uid")
+        by_rule = cosine_pairs(counts, norms, cut(free), "uid", "row_idx", where=is_eligible())
         names = self._named_pool(asked.where(F.col("route") == NAMED))
-        by_name = dot_products(
-            counts.select("row_idx", "name_key", "term", "tf"), cut(vector.join(names, "uq")),
-            "uq", "row_idx", on=("term", "name_key"),
+        by_name = cosine_pairs(
+            counts.select("row_idx", "name_key", "term", "tf"), norms, cut(vector.join(names, "uid")),
+            "uid", "row_idx", on=("term", "name_key"),
         )
-        return cosine(by_rule.unionByName(by_name), self.index.doc_norms(), "row_idx")
+        return by_rule.unionByName(by_name)
 
     # ---- results -----------------------------------------------------------------------
 
+    def _spelled(self, ranked: DataFrame) -> DataFrame:
+        """Question texts back in place of their numbers."""
+        return ranked.join(self.unique.select("uid", "uq"), "uid").select("uq", "rn", "row_idx", "score")
+
     def ranked(self, k: int, asked: DataFrame | None = None) -> DataFrame:
         """(uq, rn, row_idx, score): the k best of each pool; records without a shared term score
         zero and fill up in catalogue order."""
         asked = self.routed.where(~F.col("exhaustive")) if asked is None else asked
-        best = top_k(self.scores(asked), ["uq"], best_first(), k).select("uq", "row_idx", "score")
-        padding = self.first_of_pool(asked, k).select("uq", "row_idx", F.lit(0.0).alias("score"))
-        merged = best.unionByName(padding).groupBy("uq", "row_idx").agg(F.max("score").alias("score"))
-        return top_k(merged, ["uq"], best_first(), k)
-
-    def ranked_whole(self, k: int) -> DataFrame:
-        """(uq, rn, row_idx, score) for exhaustive questions: the whole pool, at least k wide."""
-        asked = self.routed.where("exhaustive")
-        scored = self.scores(asked)
-        pool = self.pool(exhaustive=True)
-        whole = pool.join(scored, ["uq", "row_idx"], "left").withColumn(
+        best = top_k(self.scores(asked), ["uid"], best_first(), k).select("uid", "row_idx", "score")
+        padding = self.first_of_pool(asked, k).select("uid", "row_idx", F.lit(0.0).alias("score"))
+        merged = best.unionByName(padding).groupBy("uid", "row_idx").agg(F.max("score").alias("score"))
+        return self._spelled(top_k(merged, ["uid"], best_first(), k))
+
+    def ranked_whole(self) -> DataFrame:
+        """(uq, rn, row_idx, score) for exhaustive questions: the whole pool, however large."""
+        scored = self.scores(self.routed.where("exhaustive"))
+        whole = self.pool(exhaustive=True).join(scored, ["uid", "row_idx"], "left").withColumn(
             "score", F.coalesce("score", F.lit(0.0))
         )
-        return distributed_rank(whole, ["uq"], best_first())
+        return self._spelled(distributed_rank(whole, ["uid"], best_first()))
 
     def asked_as(self, route: str) -> DataFrame:
         """Distinct questions put on one route: all of them on the open one (constraints lifted),
@@ -156,11 +159,8 @@ class Retrieval:
 
     def route_counts(self) -> DataFrame:
         """Questions and distinct questions per route and width."""
-        return (
-            self.questions.groupBy("uq").agg(F.count("*").alias("n"))
-            .join(self.routed.select("uq", "route", "exhaustive"), "uq")
-            .groupBy("route", "exhaustive")
-            .agg(F.sum("n").alias("n_questions"), F.count("*").alias("n_distinct"))
+        return self.routed.groupBy("route", "exhaustive").agg(
+            F.sum("n_questions").alias("n_questions"), F.count("*").alias("n_distinct")
         )
 
     def membership(self, pairs: DataFrame, k: int) -> DataFrame:

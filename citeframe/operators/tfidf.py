@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens, with_bigrams
 from ..functions.vocab import ENGLISH_STOPS
-from ..session import cut
+from ..session import cut, fits_broadcast, shuffle_partitions, store
 from .joins import lookup_join
 
 # Terms in at least this share of the texts are looked up by broadcast instead of by shuffle.
@@ -56,12 +56,10 @@ def term_counts(termed: DataFrame) -> DataFrame:
     return counted.select(*rest, "_t.term", "_t.tf")
 
 
-def document_frequencies(termed: DataFrame) -> DataFrame:
+def document_frequencies(counts: DataFrame, n_docs: Column) -> DataFrame:
     """(term, df, n_docs, idf) with the smoothed inverse document frequency."""
-    n_docs = termed.agg(F.count("*").alias("n")).scalar()
     return (
-        termed.select(F.explode(F.array_distinct("terms")).alias("term"))
-        .groupBy("term").agg(F.count("*").alias("df"))
+        counts.groupBy("term").agg(F.count("*").alias("df"))
         .withColumn("n_docs", n_docs)
         .withColumn("idf", F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1)
     )
@@ -106,33 +104,39 @@ def query_vector(queries: DataFrame, idf: DataFrame, key: str, text: str, **opti
     return cut(weighed.select(key, "term", (w * F.col("idf") / length).alias("coef")))
 
 
-def dot_products(
-    counts: DataFrame, vector: DataFrame, query_key: str, doc_key: str,
+def cosine_pairs(
+    counts: DataFrame, doc_norms: DataFrame, vector: DataFrame, query_key: str, doc_key: str,
     on: Sequence[str] = ("term",), where: Column | None = None,
 ) -> DataFrame:
-    """(query, doc, dot) for pairs that share a term.
+    """(query, doc, score) for pairs that share a term.
 
-    With the query vectors replicated, each document's pairs are formed and summed in the
-    partition that holds the document: no pair is shuffled.
+    With the query vectors replicated, only rows of asked-for terms are kept, brought together by
+    document, and each document's pairs are formed and summed where it lies: no pair is shuffled.
+    Vectors too large for that are met by a salted shuffle on the term. Rows are divided by their
+    document's norm before they are multiplied into pairs.
     """
-    matched = lookup_join(counts, vector, on, [doc_key], where=where)
-    return matched.groupBy(query_key, doc_key).agg(F.sum(F.col("tf") * F.col("coef")).alias("dot"))
-
-
-def cosine(dots: DataFrame, doc_norms: DataFrame, doc_key: str) -> DataFrame:
-    return dots.join(doc_norms.select(doc_key, "norm"), doc_key).withColumn(
-        "score", F.col("dot") / F.col("norm")
-    ).drop("dot", "norm")
+    if fits_broadcast(vector):
+        asked_terms = F.broadcast(vector.select(*on).distinct())
+        # The number is spelled out because adaptive execution would otherwise merge partitions
+        # by the size of these rows, although each grows into a pair per question.
+        counts = counts.join(asked_terms, list(on), "left_semi").repartition(shuffle_partitions(counts), doc_key)
+    scaled = counts.join(doc_norms.select(doc_key, "norm"), doc_key)
+    matched = lookup_join(scaled, vector, on, [doc_key], where=where)
+    return matched.groupBy(query_key, doc_key).agg(
+        F.sum(F.col("tf") / F.col("norm") * F.col("coef")).alias("score")
+    )
 
 
 class Index:
-    """Lazy TF-IDF tables of one corpus, laid out by document key."""
+    """TF-IDF tables of one corpus: term counts written once, the rest derived from them."""
 
     def __init__(self, docs: DataFrame, key: str, text: str, **options):
         self.key, self.text, self.options = key, text, options
-        self.termed = with_terms(docs.repartition(key), text, **options)
-        self.idf = document_frequencies(with_terms(docs.select(key, text), text, **options))
-        self.counts = term_counts(self.termed)
+        # One text grows into many times its size, so texts are dealt out evenly first.
+        dealt = docs.repartition(shuffle_partitions(docs), key)
+        self.counts = store(term_counts(with_terms(dealt, text, **options)), "counts")
+        n_docs = docs.agg(F.count("*").alias("n")).scalar()
+        self.idf = document_frequencies(self.counts, n_docs)
 
     def doc_norms(self) -> DataFrame:
         return norms(weigh(self.counts.select(self.key, "term", "tf"), self.idf, self.key), self.key)
@@ -143,5 +147,4 @@ class Index:
     def scores(self, queries: DataFrame, key: str, text: str) -> DataFrame:
         """(query key, doc key, score) for every pair with a positive cosine."""
         vector = self.vector(queries, key, text)
-        dots = dot_products(self.counts.select(self.key, "term", "tf"), vector, key, self.key)
-        return cosine(dots, self.doc_norms(), self.key)
+        return cosine_pairs(self.counts.select(self.key, "term", "tf"), self.doc_norms(), vector, key, self.key)

@@ -282,9 +282,17 @@ priced AS (SELECT l.*, l.input_tokens / 1e6 * coalesce(p.usd_in, d.usd_in) + l.o
   FROM qlog l LEFT JOIN prices p ON p.model = l.model CROSS JOIN (SELECT * FROM prices WHERE model = {_text(v.DEFAULT_MODEL)}) d
   WHERE l.model IS NOT NULL),
 costed AS (SELECT *, cost_usd * {v.USD_TO_INR} AS cost_inr FROM priced)"""
-_SUMMARY = """count(*) AS queries_measured, round(avg(input_tokens), 1) AS avg_input_tokens,
-  round(avg(output_tokens), 1) AS avg_output_tokens, round(avg(latency_s), 3) AS avg_latency_s,
-  round(avg(cost_inr), 4) AS avg_cost_inr_per_query, round(avg(cost_inr) * 1000, 2) AS cost_inr_per_1000_queries"""
+
+
+
+def _half_up(expr: str, digits: int) -> str:
+    """Round as decimal text: Spark rounds a double by its shortest decimal form."""
+    return f"CAST(round(CAST(round({expr}, 12) AS DECIMAL(38, 12)), {digits}) AS DOUBLE)"
+
+
+_SUMMARY = f"""count(*) AS queries_measured, {_half_up("avg(input_tokens)", 1)} AS avg_input_tokens,
+  {_half_up("avg(output_tokens)", 1)} AS avg_output_tokens, {_half_up("avg(latency_s)", 3)} AS avg_latency_s,
+  {_half_up("avg(cost_inr)", 4)} AS avg_cost_inr_per_query, {_half_up("avg(cost_inr) * 1000", 2)} AS cost_inr_per_1000_queries"""
 _ACTIVE = "model = (SELECT max_by(model, seq) FROM costed)"
 
 
@@ -404,12 +412,12 @@ FROM uprof u LEFT JOIN blocks b ON b.uq = u.uq"""),
     "log_roundtrip": _with(LOG, PRICED, f"""SELECT {_redact("l.question")} AS question, {_redact("l.answer")} AS answer, l.answered,
   {_redact("l.reason")} AS reason_if_unanswered, l.model, CASE WHEN l.model IS NOT NULL THEN l.input_tokens END AS input_tokens,
   CASE WHEN l.model IS NOT NULL THEN l.output_tokens END AS output_tokens, CASE WHEN l.model IS NOT NULL THEN l.latency_s END AS latency_s,
-  round(c.cost_inr, 4) AS cost_inr FROM qlog l LEFT JOIN costed c USING (seq)"""),
-    "log_cost_rows": _with(LOG, PRICED, f"SELECT {_redact('question')} AS question, model, input_tokens, output_tokens, latency_s, round(cost_inr, 6) AS cost_inr FROM costed"),
+  {_half_up("c.cost_inr", 4)} AS cost_inr FROM qlog l LEFT JOIN costed c USING (seq)"""),
+    "log_cost_rows": _with(LOG, PRICED, f"SELECT {_redact('question')} AS question, model, input_tokens, output_tokens, latency_s, {_half_up('cost_inr', 6)} AS cost_inr FROM costed"),
     "cost_report_json": _with(LOG, PRICED, f"""SELECT 'entry' AS kind, seq, model, question, input_tokens, latency_s,
   CAST(NULL AS BIGINT) AS queries_measured, CAST(NULL AS DOUBLE) AS cost_inr_per_1000_queries FROM costed
-UNION ALL SELECT 'summary', -1, model, NULL, NULL, NULL, count(*), round(avg(cost_inr) * 1000, 2) FROM costed WHERE {_ACTIVE} GROUP BY model"""),
-    "cost_per_query": _with(LOG, PRICED, "SELECT seq, model, round(cost_usd, 9) AS cost_usd, round(cost_inr, 6) AS cost_inr FROM costed"),
+UNION ALL SELECT 'summary', -1, model, NULL, NULL, NULL, count(*), {_half_up('avg(cost_inr) * 1000', 2)} FROM costed WHERE {_ACTIVE} GROUP BY model"""),
+    "cost_per_query": _with(LOG, PRICED, f"SELECT seq, model, {_half_up('cost_usd', 9)} AS cost_usd, {_half_up('cost_inr', 6)} AS cost_inr FROM costed"),
     "cost_summary_active": _with(LOG, PRICED, f"SELECT model, {_SUMMARY} FROM costed WHERE {_ACTIVE} GROUP BY model"),
     "cost_by_model": _with(LOG, PRICED, f"SELECT model, {_SUMMARY} FROM costed GROUP BY model"),
     "eval_score": _with(ANSWERS, CASES, "SELECT case_id, resp_id, len(failures) = 0 AS passed, array_to_string(failures, '; ') AS failures FROM scored"),

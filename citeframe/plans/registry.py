@@ -16,7 +16,7 @@ from ..operators.context import context_blocks, contexts_for, no_match_answers,
 from ..operators.joins import lookup_join
 from ..operators.ranking import best_first, top_k
 from ..operators.retrieve import CONSTRAINED, OPEN, Retrieval
-from ..session import cut, fresh_path
+from ..session import cut, fresh_path, shuffle_partitions, store
 from ..sources import cases as case_source
 from ..sources import catalog, querylog, views
 
@@ -37,7 +37,7 @@ def _records(spark, sf):
 
 
 def _profiled(spark, sf):
-    return profile.with_constraints(views.questions(spark, sf), PARTS)
+    return profile.profiled_questions(views.questions(spark, sf), PARTS)
 
 
 def _retrieval(spark, sf):
@@ -76,22 +76,22 @@ def catalog_document(spark, sf):
 
 @query
 def extract_budget(spark, sf):
-    return views.questions(spark, sf).select("qid", C.budget(F.col("question")).alias("budget"))
+    return profile.folded_questions(views.questions(spark, sf)).select("qid", C.budget(F.col("_ungrouped")).alias("budget"))
 
 
 @query
 def extract_cutoff(spark, sf):
-    return views.questions(spark, sf).select("qid", C.cutoff(F.col("question")).alias("cutoff"))
+    return profile.folded_questions(views.questions(spark, sf)).select("qid", C.cutoff(F.col("_folded")).alias("cutoff"))
 
 
 @query
 def extract_placement(spark, sf):
-    return views.questions(spark, sf).select("qid", C.placement(F.col("question")).alias("placement"))
+    return profile.folded_questions(views.questions(spark, sf)).select("qid", C.placement(F.col("_folded")).alias("placement"))
 
 
 @query
 def extract_exhaustive(spark, sf):
-    return views.questions(spark, sf).select("qid", C.exhaustive(F.col("question")).alias("exhaustive"))
+    return profile.folded_questions(views.questions(spark, sf)).select("qid", C.exhaustive(F.col("_lower")).alias("exhaustive"))
 
 
 @query
@@ -152,14 +152,16 @@ def eligibility_join(spark, sf):
 
 @query
 def eligibility_counts(spark, sf):
-    return eligibility.question_counts(_profiled(spark, sf), _records(spark, sf)).select(
+    return eligibility.question_counts(views.questions(spark, sf), _profiled(spark, sf), _records(spark, sf)).select(
         "qid", "applied", "n_eligible"
     )
 
 
 @query
 def true_negatives(spark, sf):
-    return eligibility.true_negatives(_profiled(spark, sf), _records(spark, sf)).select("qid", "question")
+    return eligibility.true_negatives(views.questions(spark, sf), _profiled(spark, sf), _records(spark, sf)).select(
+        "qid", "question"
+    )
 
 
 def _negatives(retrieval):
@@ -226,9 +228,20 @@ def tokens_count(spark, sf):
     )
 
 
+def _document_counts(spark, sf):
+    docs = _documents(spark, sf)
+    dealt = docs.repartition(shuffle_partitions(docs), "doc_id")
+    return tfidf.term_counts(tfidf.with_terms(dealt, "text"))
+
+
+def _document_idf(spark, sf):
+    n_docs = _documents(spark, sf).agg(F.count("*").alias("n")).scalar()
+    return tfidf.document_frequencies(_document_counts(spark, sf), n_docs)
+
+
 @query
 def ngram_tf(spark, sf):
-    counts = tfidf.term_counts(tfidf.with_terms(_documents(spark, sf).repartition("doc_id"), "text"))
+    counts = _document_counts(spark, sf)
     return counts.groupBy("doc_id").agg(
         F.count("*").alias("n_terms"), F.sum("tf").alias("n_occurrences"), F.max("tf").alias("max_tf"),
         F.sum(F.when(F.col("term").contains(" "), F.col("tf")).otherwise(0)).alias("n_bigrams"),
@@ -238,7 +251,7 @@ def ngram_tf(spark, sf):
 
 @query
 def idf_table(spark, sf):
-    return tfidf.document_frequencies(tfidf.with_terms(_documents(spark, sf), "text")).select(
+    return _document_idf(spark, sf).select(
         "term", "df", F.round("idf", 9).alias("idf")
     )
 
@@ -274,7 +287,7 @@ def tfidf_topk(spark, sf):
 
 @query
 def tfidf_transform_frozen(spark, sf):
-    idf = tfidf.document_frequencies(tfidf.with_terms(_documents(spark, sf), "text"))
+    idf = store(_document_idf(spark, sf), "idf")
     turns = views.table(spark, sf, "conversations").select(
         F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text"
     )
@@ -329,7 +342,7 @@ def retrieve_topk(spark, sf):
 @query
 def retrieve_exhaustive(spark, sf):
     run = _retrieval(spark, sf)
-    return _with_ids(run.ranked_whole(K), run, "uq")
+    return _with_ids(run.ranked_whole(), run, "uq")
 
 
 @query
@@ -339,7 +352,7 @@ def retrieve_route_counts(spark, sf):
 
 def _blocks(run):
     ranked = run.ranked(K).select("uq", "rn", "row_idx").unionByName(
-        run.ranked_whole(K).select("uq", "rn", "row_idx")
+        run.ranked_whole().select("uq", "rn", "row_idx")
     )
     return context_blocks(ranked, run.records)
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A relation is only replicated to every executor when its measured payload is below this.
@@ -22,6 +23,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # sort-merge joins become hash joins where every partition of one side is measured small
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
@@ -53,17 +56,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared folder and restart its lineage from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+# payloads measured while relations were written; an entry goes when its DataFrame does
+_measured: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
 
 
-def payload_bytes(df: DataFrame) -> int:
-    """Rows times 16 bytes per column plus the text held in string columns.
-
-    Meant for relations already cut: it reads them once more.
-    """
+def _payload(df: DataFrame) -> list[Column]:
+    """Row count, and bytes of text and nested values over all rows."""
     text = F.lit(0)
     for field in df.schema.fields:
         kind = field.dataType.typeName()
@@ -71,9 +69,45 @@ def payload_bytes(df: DataFrame) -> int:
             text = text + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
         elif kind in ("array", "struct", "map"):
             text = text + F.octet_length(F.to_json(F.struct(F.col(field.name))))
-    row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(text), F.lit(0)).alias("b")).first()
-    return row["n"] * 16 * len(df.columns) + row["b"]
+    return [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(text), F.lit(0)).alias("b")]
+
+
+def _bytes(row: dict, columns: int) -> int:
+    return row["n"] * 16 * columns + row["b"]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` once by a reliable checkpoint and restart its lineage from there.
+
+    The payload is observed in the same job, so a later size check costs nothing.
+    """
+    shared_dir(df.sparkSession)
+    seen = Observation()
+    done = df.observe(seen, *_payload(df)).checkpoint(eager=True)
+    _measured[done] = _bytes(seen.get, len(df.columns))
+    return done
+
+
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: for relations that are
+    large or read by column."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def payload_bytes(df: DataFrame) -> int:
+    """Rows times 16 bytes per column plus text and nested values; read off if ``df`` was cut."""
+    known = _measured.get(df)
+    if known is None:
+        known = _bytes(df.agg(*_payload(df)).first().asDict(), len(df.columns))
+        _measured[df] = known
+    return known
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return payload_bytes(df) <= limit
+
+
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
