@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_BYTES, fits_broadcast
+from ..session import BROADCAST_BYTES, cut, fits_broadcast
 
-SALTS = 32
+# A key with more rows than this is dealt out over several partitions.
+HOT_ROWS = 1_000_000
 
 
 def lookup_join(
@@ -20,19 +21,29 @@ def lookup_join(
     how: str = "inner",
     where: Column | None = None,
     limit: int = BROADCAST_BYTES,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join ``big`` with ``small`` (already cut) on ``keys``.
 
     ``small`` is replicated when its measured payload is under ``limit``. Otherwise both sides are
-    shuffled on the keys plus a salt: a hot key's rows in ``big`` are dealt out over ``SALTS``
-    partitions by ``spread`` and the rows of ``small`` are repeated for each salt.
+    shuffled on the keys. Keys with more than ``hot_rows`` rows in ``big`` are split by a salt, one
+    part per ``hot_rows``, and only their rows of ``small`` are repeated.
     """
     if where is not None and how != "inner":
         raise ValueError("a residual predicate is only supported for inner joins")
     if fits_broadcast(small, limit):
         joined = big.join(F.broadcast(small), list(keys), how)
     else:
-        salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-        copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+        # at most rows / hot_rows keys
+        hot = cut(
+            big.groupBy(*keys).agg(F.ceil(F.count("*") / hot_rows).cast("int").alias("_parts")).where("_parts > 1")
+        )
+        parts = F.coalesce("_parts", F.lit(1))
+        salted = big.join(F.broadcast(hot), list(keys), "left").withColumn(
+            "_salt", F.pmod(F.xxhash64(*spread), parts).cast("int")
+        )
+        copies = small.join(F.broadcast(hot), list(keys), "left").withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0), parts - 1))
+        )
+        joined = salted.drop("_parts").join(copies.drop("_parts"), [*keys, "_salt"], how).drop("_salt")
     return joined if where is None else joined.where(where)

@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import ENGLISH_STOPS, Vocabulary
-from ..session import cut
+from ..session import cut, shuffle_partitions
 from ..sources.catalog import document
 from .eligibility import eligible_pairs, first_eligible, is_eligible, nothing_wanted
 from .entities import match_names, name_key
 from .joins import lookup_join
 from .profile import WANTS, profiled_questions
 from .ranking import best_first, distributed_rank, top_k
-from .tfidf import Index, cosine_pairs
+from .tfidf import Index, cosine_pairs, top_pairs
 
 NAMED, CONSTRAINED, OPEN = "named", "constrained", "open"
 RECORD_SIDE = ("row_idx", "name_key", "type", "flag", "categories", "fee", "cutoff", "placement")
@@ -83,10 +83,14 @@ class Retrieval:
         limited = self._asked(CONSTRAINED, exhaustive)
         pairs = eligible_pairs(cut(limited.select("sig", *WANTS).dropDuplicates(["sig"])), self.records)
         constrained = lookup_join(pairs, cut(limited.select("uid", "sig")), ["sig"], ["row_idx"])
-        # every record answers every open question: a row per record and question is the result
-        wanted = cut(self._asked(OPEN, exhaustive).select("uid", F.lit("all").alias("pool")))
-        everything = self.records.select("row_idx", F.lit("all").alias("pool"))
-        opened = lookup_join(everything, wanted, ["pool"], ["row_idx"])
+        # Every record answers every open question: a row for each is the result itself. Records
+        # are dealt into shares, each of which meets the questions once.
+        shares = shuffle_partitions(self.records)
+        wanted = self._asked(OPEN, exhaustive).select(
+            "uid", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")
+        )
+        dealt = self.records.select("row_idx", F.pmod(F.xxhash64("row_idx"), F.lit(shares)).cast("int").alias("share"))
+        opened = lookup_join(dealt, cut(wanted), ["share"], ["row_idx"])
         return (
             named.select("uid", "row_idx")
             .unionByName(constrained.select("uid", "row_idx"))
@@ -115,12 +119,16 @@ class Retrieval:
 
     # ---- scores ------------------------------------------------------------------------
 
-    def scores(self, asked: DataFrame) -> DataFrame:
-        """(uid, row_idx, score) for pool members sharing a term with the question."""
+    def scores(self, asked: DataFrame, k: int | None = None) -> DataFrame:
+        """(uid, row_idx, score) for pool members sharing a term with the question; given ``k``,
+        members that cannot be among the k best may be left out."""
         vector = self.index.vector(asked.select("uid", "uq"), "uid", "uq")
         counts, norms = self.index.counts, self.index.doc_norms()
-        free = vector.join(asked.where(F.col("route") != NAMED).select("uid", *WANTS), "uid")
-        by_rule = cosine_pairs(counts, norms, cut(free), "uid", "row_idx", where=is_eligible())
+        free = cut(vector.join(asked.where(F.col("route") != NAMED).select("uid", *WANTS), "uid"))
+        if k is None:
+            by_rule = cosine_pairs(counts, norms, free, "uid", "row_idx", where=is_eligible())
+        else:
+            by_rule = top_pairs(counts, norms, free, "uid", "row_idx", k, where=is_eligible())
         names = self._named_pool(asked.where(F.col("route") == NAMED))
         by_name = cosine_pairs(
             counts.select("row_idx", "name_key", "term", "tf"), norms, cut(vector.join(names, "uid")),
@@ -138,7 +146,7 @@ class Retrieval:
         """(uq, rn, row_idx, score): the k best of each pool; records without a shared term score
         zero and fill up in catalogue order."""
         asked = self.routed.where(~F.col("exhaustive")) if asked is None else asked
-        best = top_k(self.scores(asked), ["uid"], best_first(), k).select("uid", "row_idx", "score")
+        best = top_k(self.scores(asked, k), ["uid"], best_first(), k).select("uid", "row_idx", "score")
         padding = self.first_of_pool(asked, k).select("uid", "row_idx", F.lit(0.0).alias("score"))
         merged = best.unionByName(padding).groupBy("uid", "row_idx").agg(F.max("score").alias("score"))
         return self._spelled(top_k(merged, ["uid"], best_first(), k))

@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens, with_bigrams
 from ..functions.vocab import ENGLISH_STOPS
-from ..session import cut, fits_broadcast, shuffle_partitions, store
+from ..session import cut, fits_broadcast, part_of, shuffle_partitions, store
 from .joins import lookup_join
+from .ranking import top_k
 
 # Terms in at least this share of the texts are looked up by broadcast instead of by shuffle.
 # There can be no more of them than 1/share times the terms of an average text.
 HOT_SHARE = 1 / 200
+# Terms in more than this share of the texts are kept out of the first pass of a top-k.
+COMMON_SHARE = 1 / 50
+# Scores are compared at nine decimals; bounds leave room for that.
+MARGIN = 1e-8
 
 
 def with_terms(
@@ -95,13 +100,14 @@ def norms(weighed: DataFrame, key: str) -> DataFrame:
 
 
 def query_vector(queries: DataFrame, idf: DataFrame, key: str, text: str, **options) -> DataFrame:
-    """(key, term, coef), cut: the normalised query weight with the record side's idf folded in,
-    so scoring needs only raw counts from the record side."""
+    """(key, term, coef, is_common), cut: the normalised query weight with the record side's idf
+    folded in, so scoring needs only raw counts from the record side."""
     counts = term_counts(with_terms(queries.select(key, text), text, **options))
-    weighed = counts.join(idf.select("term", "idf"), "term")
+    is_common = (F.col("df") > F.col("n_docs") * COMMON_SHARE).alias("is_common")
+    weighed = counts.join(idf.select("term", "idf", is_common), "term")
     w = F.col("tf") * F.col("idf")
     length = F.sqrt(F.sum(w * w).over(Window.partitionBy(key)))
-    return cut(weighed.select(key, "term", (w * F.col("idf") / length).alias("coef")))
+    return cut(weighed.select(key, "term", (w * F.col("idf") / length).alias("coef"), "is_common"))
 
 
 def cosine_pairs(
@@ -127,6 +133,55 @@ def cosine_pairs(
     )
 
 
+def top_pairs(
+    counts: DataFrame, doc_norms: DataFrame, vector: DataFrame, query_key: str, doc_key: str, k: int,
+    where: Column | None = None,
+) -> DataFrame:
+    """(query, doc, score): exact scores of at least every pair among a query's k best.
+
+    A common term joins a query to a large share of the documents but can add little. Scores over
+    the other terms give a k-th best so far; where the most that common terms could add to any
+    document stays below it, a document without a rarer term cannot be among the k best, and of
+    the others only those within that reach are scored in full. The remaining queries are scored
+    against everything they share a term with.
+    """
+    order = [F.col("score").desc(), F.col(doc_key).asc()]
+    rare = part_of(vector.where(~F.col("is_common")), vector)
+    common = vector.where("is_common")
+    terms = F.broadcast(common.select("term").distinct()) if fits_broadcast(vector) else common.select("term").distinct()
+    peaks = (
+        counts.select(doc_key, "term", "tf").join(terms, "term", "left_semi").join(doc_norms, doc_key)
+        .groupBy("term").agg(F.max(F.col("tf") / F.col("norm")).alias("peak"))
+    )
+    reach = common.join(peaks, "term").groupBy(query_key).agg(F.sum(F.col("coef") * F.col("peak")).alias("reach"))
+    kth = (
+        top_k(cosine_pairs(counts, doc_norms, rare, query_key, doc_key, where=where), [query_key], order, k)
+        .groupBy(query_key).agg(F.count("*").alias("n"), F.min("score").alias("kth"))
+    )
+    within = F.coalesce("reach", F.lit(0.0)) + MARGIN
+    bounds = cut(
+        vector.select(query_key).distinct().join(kth, query_key, "left").join(reach, query_key, "left")
+        .select(query_key, (F.col("kth") - within).alias("floor"),
+                F.coalesce((F.col("n") >= k) & (within < F.col("kth")), F.lit(False)).alias("settled"))
+    )
+    settled = bounds.where("settled").select(query_key, "floor")
+    open_queries = bounds.where(~F.col("settled")).select(query_key)
+    near = cut(
+        cosine_pairs(
+            counts, doc_norms, part_of(rare.join(settled, query_key, "left_semi"), vector), query_key, doc_key, where=where
+        ).join(settled, query_key).where("score >= floor").select(query_key, doc_key)
+    )
+    scaled = lookup_join(counts.select(doc_key, "term", "tf"), near, [doc_key], [doc_key, "term"]).join(
+        doc_norms.select(doc_key, "norm"), doc_key
+    )
+    completed = (
+        lookup_join(scaled, part_of(vector.select(query_key, "term", "coef"), vector), [query_key, "term"], [doc_key])
+        .groupBy(query_key, doc_key).agg(F.sum(F.col("tf") / F.col("norm") * F.col("coef")).alias("score"))
+    )
+    rest = part_of(vector.join(open_queries, query_key, "left_semi"), vector)
+    return completed.unionByName(cosine_pairs(counts, doc_norms, rest, query_key, doc_key, where=where))
+
+
 class Index:
     """TF-IDF tables of one corpus: term counts written once, the rest derived from them."""
 
