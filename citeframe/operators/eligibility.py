@@ -27,8 +27,10 @@ MAX_THRESHOLDS = 20_000
 
 
 def signatures(profiled: DataFrame) -> DataFrame:
-    """Distinct constraint sets that ask for something, cut for reuse."""
-    return cut(profiled.where("applied").select("sig", *WANTS).dropDuplicates(["sig"]))
+    """Distinct constraint sets that ask for something, numbered, cut for reuse (which also fixes
+    the numbers)."""
+    distinct = profiled.where("applied").select("sig", *WANTS).dropDuplicates(["sig"])
+    return cut(distinct.withColumn("sid", F.monotonically_increasing_id()))
 
 
 def _signature_keys(sigs: DataFrame) -> DataFrame:
@@ -75,12 +77,12 @@ def is_eligible() -> Column:
 
 
 def eligible_pairs(sigs: DataFrame, records: DataFrame) -> DataFrame:
-    """(sig, row_idx) for every record a signature admits."""
+    """(sid, row_idx) for every record a signature admits."""
     slim = records.select("row_idx", "type", "flag", "categories", *[value for _, value, _ in RANGES])
     return lookup_join(
         _record_keys(slim), _signature_keys(sigs), KEYS, ["row_idx"],
         where=_within_limits() & _first_shared_category(),
-    ).select("sig", "row_idx")
+    ).select("sid", "row_idx")
 
 
 def _thresholds(sigs: DataFrame) -> dict[str, list[float] | None]:
@@ -144,10 +146,10 @@ def eligible_summary(sigs: DataFrame, records: DataFrame) -> DataFrame:
     cells = slim.groupBy(*CELL).agg(
         F.count("*").alias("n"), F.min("row_idx").alias("first"), F.sum("row_idx").alias("total")
     )
-    merged = _cells_by_signature(slotted_sigs, cells).groupBy("sig").agg(
+    merged = _cells_by_signature(slotted_sigs, cells).groupBy("sid").agg(
         F.sum("n").alias("n"), F.min("first").alias("first_row"), F.sum("total").alias("row_sum")
     )
-    return sigs.join(merged, "sig", "left").select(
+    return sigs.join(merged, "sid", "left").select(
         *sigs.columns, F.coalesce("n", F.lit(0)).cast("long").alias("n_eligible"), "first_row", "row_sum"
     )
 
@@ -177,12 +179,12 @@ def only_constraint(profiled: DataFrame, *kept: str) -> DataFrame:
 
 
 def first_eligible(sigs: DataFrame, records: DataFrame, k: int) -> DataFrame:
-    """(sig, row_idx): the first k admitted records in catalogue order."""
+    """(sid, row_idx): the first k admitted records in catalogue order."""
     slotted_sigs, slim = _slotted(sigs, records)
     order = [F.col("row_idx").asc()]
     heads = top_k(slim, CELL, order, k).drop("rn")
     return top_k(
-        _cells_by_signature(slotted_sigs, heads).select("sig", "row_idx"), ["sig"], order, k
+        _cells_by_signature(slotted_sigs, heads).select("sid", "row_idx"), ["sid"], order, k
     ).drop("rn")
 
 

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import ENGLISH_STOPS, Vocabulary
-from ..session import cut, shuffle_partitions
+from ..session import cut, payload_bytes, shuffle_partitions
 from ..sources.catalog import document
-from .eligibility import eligible_pairs, first_eligible, is_eligible, nothing_wanted
+from .eligibility import eligible_pairs, first_eligible, is_eligible, nothing_wanted, signatures
 from .entities import match_names, name_key
 from .joins import lookup_join
 from .profile import WANTS, profiled_questions
@@ -81,8 +81,9 @@ class Retrieval:
         names = cut(self._named_pool(self._asked(NAMED, exhaustive)))
         named = lookup_join(self.records.select("row_idx", "name_key"), names, ["name_key"], ["row_idx"])
         limited = self._asked(CONSTRAINED, exhaustive)
-        pairs = eligible_pairs(cut(limited.select("sig", *WANTS).dropDuplicates(["sig"])), self.records)
-        constrained = lookup_join(pairs, cut(limited.select("uid", "sig")), ["sig"], ["row_idx"])
+        sigs = signatures(limited)
+        members = cut(limited.select("uid", "sig").join(sigs.select("sid", "sig"), "sig").select("uid", "sid"))
+        constrained = lookup_join(eligible_pairs(sigs, self.records), members, ["sid"], ["row_idx"])
         # Every record answers every open question: a row for each is the result itself. Records
         # are dealt into shares, each of which meets the questions once.
         shares = shuffle_partitions(self.records)
@@ -104,8 +105,11 @@ class Retrieval:
         names = self._named_pool(asked.where(F.col("route") == NAMED))
         named = top_k(by_name.join(names, "name_key"), ["uid"], order, k)
         limited = asked.where(F.col("route") == CONSTRAINED)
-        by_sig = first_eligible(cut(limited.select("sig", *WANTS).dropDuplicates(["sig"])), self.records, k)
-        constrained = limited.select("uid", "sig").join(by_sig, "sig")
+        sigs = signatures(limited)
+        constrained = (
+            limited.select("uid", "sig").join(sigs.select("sid", "sig"), "sig")
+            .join(first_eligible(sigs, self.records, k), "sid")
+        )
         # k ids, whatever the catalogue's size
         heads = self.records.select("row_idx").orderBy("row_idx").limit(k).agg(
             F.array_sort(F.collect_list("row_idx")).alias("ids")
@@ -123,7 +127,7 @@ class Retrieval:
         """(uid, row_idx, score) for pool members sharing a term with the question; given ``k``,
         members that cannot be among the k best may be left out."""
         vector = self.index.vector(asked.select("uid", "uq"), "uid", "uq")
-        counts, norms = self.index.counts, self.index.doc_norms()
+        counts, norms = self.index.counts, self.index.doc_norms
         free = cut(vector.join(asked.where(F.col("route") != NAMED).select("uid", *WANTS), "uid"))
         if k is None:
             by_rule = cosine_pairs(counts, norms, free, "uid", "row_idx", where=is_eligible())
@@ -146,8 +150,13 @@ class Retrieval:
         """(uq, rn, row_idx, score): the k best of each pool; records without a shared term score
         zero and fill up in catalogue order."""
         asked = self.routed.where(~F.col("exhaustive")) if asked is None else asked
-        best = top_k(self.scores(asked, k), ["uid"], best_first(), k).select("uid", "row_idx", "score")
-        padding = self.first_of_pool(asked, k).select("uid", "row_idx", F.lit(0.0).alias("score"))
+        best = cut(top_k(self.scores(asked, k), ["uid"], best_first(), k).select("uid", "row_idx", "score", "rn"))
+        full = best.where(F.col("rn") == k).select("uid")
+        short = cut(asked.join(full, "uid", "left_anti"))
+        if payload_bytes(short) == 0:
+            return self._spelled(best)
+        padding = self.first_of_pool(short, k).select("uid", "row_idx", F.lit(0.0).alias("score"))
+        best = best.drop("rn")
         merged = best.unionByName(padding).groupBy("uid", "row_idx").agg(F.max("score").alias("score"))
         return self._spelled(top_k(merged, ["uid"], best_first(), k))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,9 @@ from .ranking import top_k
 # There can be no more of them than 1/share times the terms of an average text.
 HOT_SHARE = 1 / 200
 # Terms in more than this share of the texts are kept out of the first pass of a top-k.
-COMMON_SHARE = 1 / 50
+COMMON_SHARE = 1 / 10
+# With fewer pairs to form than this, the extra passes cost more than they save.
+PRUNE_FROM_PAIRS = 50_000_000
 # Scores are compared at nine decimals; bounds leave room for that.
 MARGIN = 1e-8
 
@@ -100,14 +103,14 @@ def norms(weighed: DataFrame, key: str) -> DataFrame:
 
 
 def query_vector(queries: DataFrame, idf: DataFrame, key: str, text: str, **options) -> DataFrame:
-    """(key, term, coef, is_common), cut: the normalised query weight with the record side's idf
+    """(key, term, df, coef, is_common), cut: the normalised query weight with the record side's idf
     folded in, so scoring needs only raw counts from the record side."""
     counts = term_counts(with_terms(queries.select(key, text), text, **options))
     is_common = (F.col("df") > F.col("n_docs") * COMMON_SHARE).alias("is_common")
-    weighed = counts.join(idf.select("term", "idf", is_common), "term")
+    weighed = counts.join(idf.select("term", "df", "idf", is_common), "term")
     w = F.col("tf") * F.col("idf")
     length = F.sqrt(F.sum(w * w).over(Window.partitionBy(key)))
-    return cut(weighed.select(key, "term", (w * F.col("idf") / length).alias("coef"), "is_common"))
+    return cut(weighed.select(key, "term", "df", (w * F.col("idf") / length).alias("coef"), "is_common"))
 
 
 def cosine_pairs(
@@ -135,7 +138,7 @@ def cosine_pairs(
 
 def top_pairs(
     counts: DataFrame, doc_norms: DataFrame, vector: DataFrame, query_key: str, doc_key: str, k: int,
-    where: Column | None = None,
+    where: Column | None = None, prune_from: int = PRUNE_FROM_PAIRS,
 ) -> DataFrame:
     """(query, doc, score): exact scores of at least every pair among a query's k best.
 
@@ -143,8 +146,10 @@ def top_pairs(
     the other terms give a k-th best so far; where the most that common terms could add to any
     document stays below it, a document without a rarer term cannot be among the k best, and of
     the others only those within that reach are scored in full. The remaining queries are scored
-    against everything they share a term with.
+    against everything they share a term with, as all are when there are few pairs to form.
     """
+    if (vector.agg(F.sum("df")).first()[0] or 0) < prune_from:
+        return cosine_pairs(counts, doc_norms, vector, query_key, doc_key, where=where)
     order = [F.col("score").desc(), F.col(doc_key).asc()]
     rare = part_of(vector.where(~F.col("is_common")), vector)
     common = vector.where("is_common")
@@ -193,13 +198,18 @@ class Index:
         n_docs = docs.agg(F.count("*").alias("n")).scalar()
         self.idf = document_frequencies(self.counts, n_docs)
 
-    def doc_norms(self) -> DataFrame:
+    def norms(self) -> DataFrame:
         return norms(weigh(self.counts.select(self.key, "term", "tf"), self.idf, self.key), self.key)
 
+    @cached_property
+    def doc_norms(self) -> DataFrame:
+        """(key, norm), written once: a row per text."""
+        return store(self.norms().select(self.key, "norm"), "norms")
+
     def vector(self, queries: DataFrame, key: str, text: str) -> DataFrame:
         return query_vector(queries, self.idf, key, text, **self.options)
 
     def scores(self, queries: DataFrame, key: str, text: str) -> DataFrame:
         """(query key, doc key, score) for every pair with a positive cosine."""
         vector = self.vector(queries, key, text)
-        return cosine_pairs(self.counts.select(self.key, "term", "tf"), self.doc_norms(), vector, key, self.key)
+        return cosine_pairs(self.counts.select(self.key, "term", "tf"), self.doc_norms, vector, key, self.key)

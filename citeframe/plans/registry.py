@@ -147,7 +147,7 @@ def eligibility_join(spark, sf):
         "|", F.coalesce("want_type", F.lit("-")), F.col("want_flag").cast("string"), F.array_join("want_cats", ","),
         *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("max_fee", "own_score", "min_placement")],
     )
-    return lookup_join(pairs, sigs, ["sig"], ["row_idx"]).select(shown.alias("constraints"), "row_idx")
+    return lookup_join(pairs, sigs, ["sid"], ["row_idx"]).select(shown.alias("constraints"), "row_idx")
 
 
 @query
@@ -167,9 +167,7 @@ def true_negatives(spark, sf):
 def _negatives(retrieval):
     """Questions on the constrained route that nothing satisfies."""
     asked = retrieval.routed.where(F.col("route") == CONSTRAINED)
-    counts = eligibility.eligible_summary(
-        cut(asked.select("sig", *profile.WANTS).dropDuplicates(["sig"])), retrieval.records
-    )
+    counts = eligibility.eligible_summary(eligibility.signatures(asked), retrieval.records)
     empty = cut(asked.join(counts.where("n_eligible = 0").select("sig"), "sig").select("uq"))
     return lookup_join(retrieval.questions, empty, ["uq"], ["qid"]).select("qid", "uq")
 
@@ -258,7 +256,7 @@ def idf_table(spark, sf):
 
 @query
 def tfidf_norms(spark, sf):
-    return tfidf.Index(_documents(spark, sf), "doc_id", "text").doc_norms().select(
+    return tfidf.Index(_documents(spark, sf), "doc_id", "text").norms().select(
         "doc_id", "n_terms", F.round("norm", 6).alias("norm")
     )
 

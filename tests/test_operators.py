@@ -10,7 +10,7 @@ from citeframe import session
 from citeframe.functions.vocab import PRICES
 from citeframe.operators import costs, entities, evals, responses, tfidf
 from citeframe.operators.joins import lookup_join
-from citeframe.operators.ranking import distributed_rank, top_k
+from citeframe.operators.ranking import best_first, distributed_rank, top_k
 from citeframe.sources import cases as case_source
 from citeframe.sources import querylog
 
@@ -113,13 +113,28 @@ def test_tfidf_against_brute_force(spark):
     assert all(abs(got[k] - expected[k]) < 1e-12 for k in got)
     # the shuffled way gives the same
     vector = index.vector(queries, "q", "text")
-    counts = index.counts.join(index.doc_norms().select("id", "norm"), "id")
+    counts = index.counts.join(index.doc_norms.select("id", "norm"), "id")
     far = lookup_join(counts, vector, ["term"], ["id"], limit=0, hot_rows=1).groupBy("q", "id").agg(
         F.sum(F.col("tf") / F.col("norm") * F.col("coef")).alias("score")
     )
     assert {(r["q"], r["id"]): round(r["score"], 12) for r in far.collect()} == {k: round(s, 12) for k, s in got.items()}
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_pruned_top_k_is_exact(spark, k):
+    rng = random.Random(7)
+    words = ["all", "most", *[f"w{i}" for i in range(60)]]
+    weights = [40, 25, *[60 / (i + 5) for i in range(60)]]
+    docs = [(i, " ".join(rng.choices(words, weights, k=rng.randint(3, 25)))) for i in range(400)]
+    asked = [(i, " ".join(rng.choices(words, k=rng.randint(1, 5)))) for i in range(80)] + [(80, "all"), (81, "all most")]
+    index = tfidf.Index(spark.createDataFrame(docs, "row_idx long, text string"), "row_idx", "text", stops=())
+    vector = index.vector(spark.createDataFrame(asked, "q long, text string"), "q", "text")
+    way = lambda n: top_k(
+        tfidf.top_pairs(index.counts, index.doc_norms, vector, "q", "row_idx", k, prune_from=n), ["q"], best_first(), k
+    ).select("q", "rn", "row_idx", F.round("score", 9))
+    assert rows(way(0)) == rows(way(10**12))
+
+
 RESPONSES = [
     ('{"answer":"a","citations":["x"],"answered":true}', True),
     ('```json\n{"answer":"a","citations":[],"answered":false,"reason_if_unanswered":"r"}\n```', True),

@@ -77,16 +77,16 @@ def test_ranking_stays_in_the_pool(run):
 
 def test_counts_agree_with_pairs(run):
     sigs = eligibility.signatures(run.unique)
-    pairs = eligibility.eligible_pairs(sigs, run.records).groupBy("sig").agg(
+    pairs = eligibility.eligible_pairs(sigs, run.records).groupBy("sid").agg(
         F.count("*").alias("n"), F.countDistinct("row_idx").alias("d")
     )
-    both = eligibility.eligible_summary(sigs, run.records).join(pairs, "sig", "left")
+    both = eligibility.eligible_summary(sigs, run.records).join(pairs, "sid", "left")
     assert both.where("n_eligible <> coalesce(n, 0) OR coalesce(n, 0) <> coalesce(d, 0)").count() == 0
     # also when no threshold list is shipped
     limit = eligibility.MAX_THRESHOLDS
     try:
         eligibility.MAX_THRESHOLDS = 0
-        again = eligibility.eligible_summary(sigs, run.records).join(pairs, "sig", "left")
+        again = eligibility.eligible_summary(sigs, run.records).join(pairs, "sid", "left")
         assert again.where("n_eligible <> coalesce(n, 0)").count() == 0
     finally:
         eligibility.MAX_THRESHOLDS = limit
