@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, simhash, toxicity
+from . import chunk_dedup, decontaminate, exact_dedup, language, licenses, mixing, pii, repeats, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,11 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_license_scans(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
 @query
 def op2_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, language.learned())
+    return language.predict(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op4_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -37,6 +49,16 @@ def op5_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_suffix_array_dedup(spark, sf_dir):
+    return repeats.report(table(spark, sf_dir, "documents")).drop("starts", "stops")
+
+
+@query
+def op7_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_exact_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -51,6 +73,11 @@ def op9_toxicity(spark, sf_dir):
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+@query
+def op10_chunk_dedup(spark, sf_dir):
+    return chunk_dedup.report(table(spark, sf_dir, "documents"))
+
+
 # ---- SQL -------------------------------------------------------------------------------------
 
 ORACLES["op8_exact_dedup"] = r"""
