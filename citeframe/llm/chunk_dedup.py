@@ -192,7 +192,6 @@ def without(raw: bytes, starts, stops) -> bytes:
     return b"".join([*parts, raw[last:]])
 
 
-@F.arrow_udf("string")
 def kept_text(texts: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
     data, ends = flat(texts)
     raw = data.tobytes()
@@ -211,4 +210,4 @@ def rewrite(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_run
     spans = spans.select(F.col("_row_id").alias("_i"), F.col("_row_hash").alias("_h"), "_cut")
     own = keyed(docs, doc_id, text)
     joined = own.join(spans, F.col("_row_id").eqNullSafe(F.col("_i")) & (F.col("_row_hash") == F.col("_h")), "left")
-    return joined.withColumn(text, kept_text(F.col(text), F.col("_cut.starts"), F.col("_cut.stops"))).drop(*KEYS, "_i", "_h", "_cut")
+    return joined.withColumn(text, F.arrow_udf("string")(kept_text)(F.col(text), F.col("_cut.starts"), F.col("_cut.stops"))).drop(*KEYS, "_i", "_h", "_cut")

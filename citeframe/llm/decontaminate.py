@@ -230,8 +230,9 @@ def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **names) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    found = annotate(docs, benchmark, text, **names)
+    whole = docs.select(F.struct("*").alias("_doc"), text_column(docs, text).alias("_whole"))
+    found = annotate(whole, benchmark, "_whole", **names)
     n_hit = F.aggregate(
         F.zip_with("_found.starts", "_found.stops", lambda a, b: b - a), F.lit(0), lambda x, y: x + y
     )
-    return found.where((n_hit == 0) | (20 * n_hit < F.col("_found.n_words"))).drop("_found")
+    return found.where((n_hit == 0) | (20 * n_hit < F.col("_found.n_words"))).select("_doc.*")

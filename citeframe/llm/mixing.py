@@ -35,7 +35,7 @@ MOST = 2
 LEAF = 4096
 FAN = 256
 SNAP = 1e-9
-ROUNDED = "doc_id {id}, size long, source_size long, target double, base long, _src string, _none boolean, leaf long, odds double, up long"
+ROUNDED = "doc_id string, size long, source_size long, target double, base long, _src string, _none boolean, leaf long, odds double, up long"
 
 
 def sizes(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
@@ -123,15 +123,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     order = F.xxhash64("doc_id", F.lit("order"))
     leaves = F.ceil(F.col("n_docs") / leaf).cast("long")
     rows = rows.withColumn("leaf", F.pmod(F.xxhash64("doc_id", F.lit("leaf")), leaves)).drop("n_docs")
-    schema = ROUNDED.format(id=dict(sized.dtypes)["doc_id"])
-    columns = [c.split()[0] for c in schema.split(", ")]
+    # ids travel as text: pandas has no integers with nulls
+    kind = dict(sized.dtypes)["doc_id"]
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
+    columns = [c.split()[0] for c in ROUNDED.split(", ")]
     whole = rows.where("odds = 0").withColumn("up", F.lit(0).cast("long")).select(*columns)
     open_ = rows.where("odds > 0").withColumn("_order", order)
     width = by_source.agg(F.max(F.ceil(F.col("n_docs") / leaf))).first()[0] or 1
     level = 0
     while True:
         last = width == 1
-        grouped = open_.groupBy("_none", "_src", "leaf").applyInPandas(_rounder(level, last), schema)
+        grouped = open_.groupBy("_none", "_src", "leaf").applyInPandas(_rounder(level, last), ROUNDED)
         done = store(grouped, "rounded")
         whole = whole.unionByName(done.where("up is not null").select(*columns))
         if last:
@@ -141,6 +143,6 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         up = F.floor(F.col("leaf") / fan).cast("long")
         open_ = done.where("up is null").drop("up").withColumns({"leaf": up, "_order": order})
     return whole.select(
-        "doc_id", F.when(F.col("_none"), None).otherwise(F.col("_src")).alias("source"), "size", "source_size", "target",
+        F.col("doc_id").cast(kind).alias("doc_id"), F.when(F.col("_none"), None).otherwise(F.col("_src")).alias("source"), "size", "source_size", "target",
         (F.col("size") * (F.col("base") + F.col("up"))).alias("taken"),
     )

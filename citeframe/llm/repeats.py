@@ -274,8 +274,10 @@ def covered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     if not large.isEmpty():
         windows = large.select("anchor", "context", "left", "right").mapInArrow(window_hashes(width), WINDOWS)
         windows = store(windows.distinct(), "windows")
-        often = windows.groupBy("h1", "h2").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-        wide = windows.join(often, ["h1", "h2"]).groupBy("anchor", "context").agg(
+        # with the anchor at the same place, equal windows of two contexts lie in two places
+        same_window = ["anchor", "before", "h1", "h2"]
+        often = windows.groupBy(*same_window).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        wide = windows.join(often, same_window).groupBy("anchor", "context").agg(
             F.max("before").alias("before"), (F.lit(width) - F.min("before")).cast("int").alias("after")
         )
         answers = answers.unionByName(wide)
@@ -287,7 +289,9 @@ def covered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     return marked.select(*KEYS, start.cast("int").alias("start"), (F.col("at") + F.least(F.col("after"), F.lit(width))).cast("int").alias("stop"))
 
 
-@F.arrow_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<int>, stops array<int>")
+REMOVAL = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<int>, stops array<int>"
+
+
 def removal(texts: pa.Array, runs: pa.Array) -> pa.Array:
     """Merges a document's runs and removes them."""
     out = []
@@ -324,4 +328,4 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     gathered = gathered.select(F.col("_row_id").alias("_i"), F.col("_row_hash").alias("_h"), "_runs")
     own = keyed(docs, doc_id, text).select(*KEYS, text_column(docs, text).alias("_text"))
     joined = own.join(gathered, F.col("_row_id").eqNullSafe(F.col("_i")) & (F.col("_row_hash") == F.col("_h")), "left")
-    return joined.select(F.col("_row_id").alias("doc_id"), removal("_text", "_runs").alias("r")).select("doc_id", "r.*")
+    return joined.select(F.col("_row_id").alias("doc_id"), F.arrow_udf(REMOVAL)(removal)("_text", "_runs").alias("r")).select("doc_id", "r.*")

@@ -35,10 +35,12 @@ def one_of_each(
     losers = losers if gone is None else losers.unionByName(gone.select(*KEYS))
     losers = losers.select(*[F.col(k).alias(f"{k}_l") for k in KEYS])
     same = F.col("_row_id").eqNullSafe(F.col("_row_id_l")) & (F.col("_row_hash") == F.col("_row_hash_l"))
-    kept = keyed(docs, doc_id, text).join(losers, same, "left_anti")
+    # the document travels as one column, so that no name of its own can clash
+    whole = keyed(docs.select(F.struct("*").alias("_doc"), F.col(doc_id).alias("_a"), F.col(text).alias("_b")), "_a", "_b")
+    kept = whole.select("_doc", *KEYS).join(losers, same, "left_anti")
     repeated = variants.where("_n > 1").join(first, group, "left").where("_first is null or _rank = _first")
     if not repeated.isEmpty():
         marks = repeated.select(*[F.col(k).alias(f"{k}_l") for k in KEYS])
         several = kept.join(marks, same, "left_semi").dropDuplicates(list(KEYS))
         kept = kept.join(marks, same, "left_anti").unionByName(several)
-    return kept.drop(*KEYS)
+    return kept.select("_doc.*")
