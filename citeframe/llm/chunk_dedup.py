@@ -67,7 +67,7 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             counts, ats, lengths, digests = [], [], [], []
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
                 cuts = boundaries(data[a:b])
-                starts = [0, *cuts[:-1]]
+                starts = [0, *cuts][:-1]
                 counts.append(len(cuts) + 1)
                 ats += [-1, *starts]
                 lengths += [b - a, *(y - x for x, y in zip(starts, cuts))]
