@@ -133,3 +133,6 @@ PARTS = Vocabulary(
     ),
     name_stops=("of", "and", "the", "small", "ring", "medium", "standard"),
 )
+
+# How a field that a record lacks is written in texts.
+MISSING = "not stated"

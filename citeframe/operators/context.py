@@ -6,59 +6,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
+from ..session import cut
+from ..sources.catalog import shown, whole
 from .joins import lookup_join
 
-# Records per context block. Bounded questions always fit one; an exhaustive question over a
-# larger pool gets numbered blocks, so that no block outgrows a task.
-BLOCK_RECORDS = 1000
-
 
 def paragraph() -> Column:
     """One record, labelled with its id, every figure verbatim."""
     return F.concat(
-        F.lit("["), F.col("record_id"), F.lit("] "), F.col("name"), F.lit(" | "), F.col("city"),
-        F.lit(", "), F.col("state"), F.lit(" | "), F.col("type"),
-        F.lit("\n  courses: "), F.array_join("course_list", ", "),
-        F.lit("\n  annual_fees_inr: "), F.col("fee").cast("string"), F.lit(" (per year)"),
-        F.lit("\n  last_year_cutoff_pct: "), F.col("cutoff").cast("string"),
-        F.lit("\n  total_seats: "), F.col("seats").cast("string"),
-        F.lit(" | hostel_available: "), F.initcap(F.col("flag").cast("string")),
-        F.lit("\n  naac_grade: "), F.col("grade"),
-        F.lit(" | avg_placement_lpa: "), F.col("placement").cast("string"),
-        F.lit("\n  established_year: "), F.col("established").cast("string"),
-        F.lit("\n  about: "), F.col("about"),
+        F.lit("["), shown("record_id"), F.lit("] "), shown("name"), F.lit(" | "), shown("city"),
+        F.lit(", "), shown("state"), F.lit(" | "), shown("type"),
+        F.lit("\n  courses: "), F.coalesce(F.array_join("course_list", ", "), F.lit(v.MISSING)),
+        F.lit("\n  annual_fees_inr: "), shown("fee"), F.lit(" (per year)"),
+        F.lit("\n  last_year_cutoff_pct: "), whole("cutoff"),
+        F.lit("\n  total_seats: "), shown("seats"),
+        F.lit(" | hostel_available: "), F.initcap(shown("flag")),
+        F.lit("\n  naac_grade: "), shown("grade"),
+        F.lit(" | avg_placement_lpa: "), shown("placement"),
+        F.lit("\n  established_year: "), shown("established"),
+        F.lit("\n  about: "), shown("about"),
     )
 
 
-def context_blocks(ranked: DataFrame, records: DataFrame, size: int = BLOCK_RECORDS) -> DataFrame:
-    """(uq, block, n_records, context): paragraphs in rank order, a blank line between them."""
-    texts = records.select("row_idx", paragraph().alias("text"))
-    placed = ranked.select("uq", "rn", "row_idx").join(texts, "row_idx")
+def paragraphs(ranked: DataFrame, records: DataFrame) -> DataFrame:
+    """(uq, rn, text): a row per ranked record. An exhaustive question's context is read in this
+    form: it is as long as its pool, so it is never put together in one row."""
+    texts = cut(records.select("row_idx", paragraph().alias("text")))
+    return lookup_join(ranked.select("uq", "rn", "row_idx"), texts, ["row_idx"], ["uq"]).select("uq", "rn", "text")
+
+
+def context_blocks(ranked: DataFrame, records: DataFrame) -> DataFrame:
+    """(uq, n_records, context) of bounded questions: their k paragraphs in rank order, a blank line
+    between them."""
     return (
-        placed.groupBy("uq", F.floor((F.col("rn") - 1) / size).cast("long").alias("block"))
+        paragraphs(ranked, records).groupBy("uq")
         .agg(F.array_sort(F.collect_list(F.struct("rn", "text"))).alias("_p"))
-        .select("uq", "block", F.size("_p").cast("long").alias("n_records"),
-                F.array_join(F.col("_p.text"), "\n\n").alias("context"))
+        .select("uq", F.size("_p").cast("long").alias("n_records"), F.array_join(F.col("_p.text"), "\n\n").alias("context"))
     )
 
 
 def contexts_for(unique: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Every question's blocks; the placeholder where nothing was retrieved."""
+    """Every question's block; the placeholder where nothing was retrieved."""
     return unique.select("uq").join(blocks, "uq", "left").select(
         "uq",
-        F.coalesce("block", F.lit(0)).cast("long").alias("block"),
         F.coalesce("n_records", F.lit(0)).cast("long").alias("n_records"),
         F.coalesce("context", F.lit(v.EMPTY_CONTEXT)).alias("context"),
     )
 
 
 def prompts(questions: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(qid, block, prompt), one per question and block; questions without records get none."""
+    """(qid, prompt) for each question that has a block."""
     filled = F.concat(
-        F.lit(v.PROMPT_HEAD), F.col("context"), F.lit(v.PROMPT_QUESTION), F.col("question"),
+        F.lit(v.PROMPT_HEAD), F.col("context"), F.lit(v.PROMPT_QUESTION), F.coalesce("question", F.lit("")),
         F.lit(v.PROMPT_TAIL),
     )
-    return lookup_join(questions, blocks, ["uq"], ["qid"]).select("qid", "block", filled.alias("prompt"))
+    return lookup_join(questions, blocks, ["uq"], ["qid"]).select("qid", filled.alias("prompt"))
 
 
 def no_match_answers(negatives: DataFrame) -> DataFrame:

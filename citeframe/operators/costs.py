@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
+from ..session import cut
+from .joins import lookup_join
 
 
 def price_table(spark) -> DataFrame:
@@ -18,8 +20,8 @@ def with_cost(calls: DataFrame, prices: DataFrame | None = None, default: str =
     fallback = prices.where(F.col("model") == default)
     fallback_in = fallback.agg(F.first("usd_in").alias("p")).scalar()
     fallback_out = fallback.agg(F.first("usd_out").alias("p")).scalar()
-    # the price list is a handful of rows, whatever the log's size
-    priced = calls.join(F.broadcast(prices), "model", "left")
+    spread = [f.name for f in calls.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    priced = lookup_join(calls, cut(prices), ["model"], spread, "left")
     usd = F.col("input_tokens") / 1_000_000 * F.coalesce("usd_in", fallback_in) + F.col(
         "output_tokens"
     ) / 1_000_000 * F.coalesce("usd_out", fallback_out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,14 +18,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def label_centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
-    """(label, centroid): the mean vector per label, summed per position with map-side combine."""
-    means = (
-        vectors.select(label, F.posexplode(vector).alias("pos", "x"))
-        .groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    )
-    # bounded by the vector's length
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "x")))
-    return means.groupBy(label).agg(ordered.alias("m")).select(label, F.col("m.x").alias("centroid"))
+    """(label, centroid): the mean vector per label, summed vector by vector with map-side combine."""
+    mean = Summarizer.mean(array_to_vector(vector))
+    return vectors.groupBy(label).agg(mean.alias("_m")).select(label, vector_to_array("_m").alias("centroid"))
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, query_key: str) -> DataFrame:
@@ -31,7 +28,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, query_key: str)
 
     ``vectors`` is (row_idx, v, pool), ``queries`` (query_key, q, pool): a query is ranked against
     the vectors of its pool, as ranking is against a candidate set. Each partition keeps k per
-    query before anything is shuffled.
+    query before anything is shuffled. A zero vector scores 0.
     """
     norm = lambda c: F.sqrt(dot(c, c))
     pairs = lookup_join(
@@ -39,6 +36,6 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, query_key: str)
         ["pool"], ["row_idx"],
     )
     scored = pairs.select(
-        query_key, "row_idx", (dot(F.col("q"), F.col("v")) / (F.col("_nq") * F.col("_nv"))).alias("score")
+        query_key, "row_idx", F.coalesce(F.try_divide(dot(F.col("q"), F.col("v")), F.col("_nq") * F.col("_nv")), F.lit(0.0)).alias("score")
     )
     return top_k(scored, [query_key], best_first(), k)

@@ -1,8 +1,10 @@
 """Which records satisfy a question's hard constraints.
 
-Questions are reduced to distinct signatures. A signature meets a record through hash keys
-(type, flag, category, each possibly "any"), and the range limits are checked on the joined row,
-so no pair is formed that differs on a category-like constraint.
+Questions are reduced to distinct signatures. A signature meets a record through hash keys: type,
+flag and category, each possibly "any", and one of its limits. A limit is a key too: values are
+replaced by the number of distinct limits they reach, and "reaches more than d" is the disjoint
+union of one dyadic interval per zero bit of d, of which a value lies in one per one bit of its
+own. So each pair meets through exactly one interval, and only the other limits are left to check.
 
 Counts, empty results and first-k lists never form (signature, record) pairs: records are first
 folded into cells, which are equal for every constraint any signature asks for.
@@ -10,20 +12,19 @@ folded into cells, which are equal for every constraint any signature asks for.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, part_of
 from .joins import lookup_join
-from .profile import WANTS, with_signature
-from .ranking import top_k
+from .profile import WANTS, lowered, with_signature
+from .ranking import running_sum, top_k
 
 ANY = "*"
-KEYS = ("k_type", "k_flag", "k_cat")
+KEYS = ("k_type", "k_flag", "k_cat", "k_range")
 # (limit on the signature, record column, sign that turns the test into "record >= limit")
 RANGES = (("max_fee", "fee", -1), ("own_score", "cutoff", -1), ("min_placement", "placement", 1))
-MAX_THRESHOLDS = 20_000
+NO_LIMIT = "-"
 
 
 def signatures(profiled: DataFrame) -> DataFrame:
@@ -33,21 +34,69 @@ def signatures(profiled: DataFrame) -> DataFrame:
     return cut(distinct.withColumn("sid", F.monotonically_increasing_id()))
 
 
-def _signature_keys(sigs: DataFrame) -> DataFrame:
+def _interval(limit: str | Column, level: Column, block: Column) -> Column:
+    """One dyadic interval of a limit's scale, as a key."""
+    name = F.lit(limit) if isinstance(limit, str) else limit
+    return F.concat_ws(":", name, level.cast("string"), block.cast("string"))
+
+
+def _shift(c: Column, level: Column) -> Column:
+    return F.call_function("shiftright", c, level)
+
+
+def _signature_keys(sigs: DataFrame, reached: dict[str, int]) -> DataFrame:
+    """Keys of slotted signatures. Of several limits the one that is highest on its scale of
+    ``reached`` steps leads; the intervals above it are the zero bits of the step below it."""
     any_cat = F.array(F.lit(ANY))
+    limits = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.col(f"s_{limit}").isNotNull(),
+                    F.struct(
+                        (F.col(f"s_{limit}") / F.lit(max(reached[limit], 1))).alias("share"),
+                        F.lit(limit).alias("limit"), (F.col(f"s_{limit}") - 1).alias("below"),
+                        F.lit(reached[limit].bit_length()).alias("bits"),
+                    ),
+                )
+                for limit, _, _ in RANGES
+            ]
+        )
+    )
+    lead = F.array_max(limits)
+    above = F.transform(
+        F.filter(F.sequence(F.lit(0), lead["bits"] - 1), lambda bit: _shift(lead["below"], bit) % 2 == 0),
+        lambda bit: _interval(lead["limit"], bit, _shift(lead["below"], bit) + 1),
+    )
     return (
         sigs.withColumn("k_type", F.coalesce("want_type", F.lit(ANY)))
         .withColumn("k_flag", F.when(F.col("want_flag"), F.lit("yes")).otherwise(ANY))
         .withColumn("k_cat", F.explode(F.when(F.size("want_cats") > 0, F.col("want_cats")).otherwise(any_cat)))
+        .withColumn("k_range", F.explode(F.when(F.size(limits) > 0, above).otherwise(F.array(F.lit(NO_LIMIT)))))
     )
 
 
-def _record_keys(records: DataFrame) -> DataFrame:
-    """A record can be asked for by its type or any type, and so on."""
+def _record_keys(records: DataFrame, reached: dict[str, int]) -> DataFrame:
+    """A slotted record can be asked for by its type or any type, and so on, and through each
+    interval its values lie in: the one bits of the steps they reach."""
+    none = F.array().cast("array<string>")
+
+    def inside(limit: str, value: str) -> Column:
+        step = F.col(f"s_{value}")
+        return F.transform(
+            F.filter(F.sequence(F.lit(0), F.lit(reached[limit].bit_length() - 1)), lambda bit: _shift(step, bit) % 2 == 1),
+            lambda bit: _interval(limit, bit, _shift(step, bit)),
+        )
+
+    ranges = [
+        F.when(F.col(f"s_{value}").isNotNull(), inside(limit, value)).otherwise(none)
+        for limit, value, _ in RANGES if reached[limit]
+    ]
     return (
         records.withColumn("k_type", F.explode(F.array_compact(F.array(F.col("type"), F.lit(ANY)))))
         .withColumn("k_flag", F.explode(F.array_compact(F.array(F.when(F.col("flag"), F.lit("yes")), F.lit(ANY)))))
         .withColumn("k_cat", F.explode(F.concat(F.col("categories"), F.array(F.lit(ANY)))))
+        .withColumn("k_range", F.explode(F.concat(F.array(F.lit(NO_LIMIT)), *ranges)))
     )
 
 
@@ -76,77 +125,75 @@ def is_eligible() -> Column:
     )
 
 
-def eligible_pairs(sigs: DataFrame, records: DataFrame) -> DataFrame:
-    """(sid, row_idx) for every record a signature admits."""
-    slim = records.select("row_idx", "type", "flag", "categories", *[value for _, value, _ in RANGES])
-    return lookup_join(
-        _record_keys(slim), _signature_keys(sigs), KEYS, ["row_idx"],
-        where=_within_limits() & _first_shared_category(),
-    ).select("sid", "row_idx")
+def _signed(column: str, sign: int) -> Column:
+    """As a double that must reach its limit; zero has no sign."""
+    return F.col(column).cast("double") * sign + F.lit(0.0)
 
 
-def _thresholds(sigs: DataFrame) -> dict[str, list[float] | None]:
-    """Per limit, its distinct values in ascending signed order; None when there are too many to
-    ship. One job for all of them."""
-    signed = F.array(
-        *[F.struct(F.lit(limit).alias("limit"), (F.col(limit) * sign).alias("t")) for limit, _, sign in RANGES]
-    )
-    bound = MAX_THRESHOLDS * len(RANGES)
-    rows = (
-        sigs.select(F.explode(signed).alias("v")).select("v.*").where("t IS NOT NULL").distinct()
-        .limit(bound + 1).collect()
-    )
-    if len(rows) > bound:
-        return {limit: None for limit, _, _ in RANGES}
-    return {limit: sorted(r["t"] for r in rows if r["limit"] == limit) for limit, _, _ in RANGES}
-
-
-def _slot(df: DataFrame, column: str, sign: int, thresholds: list[float] | None, out: str) -> DataFrame:
-    """How many thresholds a signed value reaches; the value itself if they were not shipped."""
-    signed = F.col(column).cast("double") * sign
-    if thresholds is None:
-        return df.withColumn(out, signed)
-    if not thresholds:
-        return df.withColumn(out, F.lit(0.0))
-    bounds = [float("-inf"), *thresholds, float("inf")]
-    bucketed = Bucketizer(
-        splits=bounds, inputCol="_signed", outputCol="_slot", handleInvalid="keep"
-    ).transform(df.withColumn("_signed", F.coalesce(signed, F.lit(0.0))))
-    return bucketed.withColumn(out, F.when(F.col(column).isNotNull(), F.col("_slot"))).drop("_signed", "_slot")
-
-
-def _slotted(sigs: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with range values replaced by threshold positions (same order, fewer values)."""
+def _slotted(sigs: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Both sides with range values replaced by the number of distinct limits they reach (same
+    order, fewer values), and how many limits there are of each kind.
+
+    Values and limits are ordered together, range-partitioned; nothing but three counts comes to
+    the driver.
+    """
     slim = records.select("row_idx", "type", "flag", "categories", *[value for _, value, _ in RANGES])
-    shipped = _thresholds(sigs)
+    seen = None
     for limit, value, sign in RANGES:
-        thresholds = shipped[limit]
-        slim = _slot(slim, value, sign, thresholds, f"s_{value}").drop(value)
-        sigs = _slot(sigs, limit, sign, thresholds, f"s_{limit}").withColumn(
-            f"s_{limit}", F.when(F.col(limit).isNotNull(), F.col(f"s_{limit}"))
-        )
-    return sigs, slim
+        for side, column, is_limit in ((sigs, limit, 1), (slim, value, 0)):
+            part = side.where(F.col(column).isNotNull()).select(
+                F.lit(limit).alias("limit"), _signed(column, sign).alias("v"), F.lit(is_limit).alias("is_limit")
+            )
+            seen = part if seen is None else seen.unionByName(part)
+    distinct = seen.groupBy("limit", "v").agg(F.max("is_limit").alias("is_limit"))
+    steps = cut(running_sum(distinct, "limit", "v", "is_limit", "step"))
+    reached = {limit: 0 for limit, _, _ in RANGES}
+    reached |= {r["limit"]: r["n"] for r in steps.groupBy("limit").agg(F.max("step").alias("n")).collect()}
+    for limit, value, sign in RANGES:
+        own = steps.where(F.col("limit") == limit)
+        for column in (value, limit):
+            scale = part_of(own.select(F.col("v").alias("_v"), F.col("step").alias(f"s_{column}")), steps)
+            if column == value:
+                keyed = slim.withColumn("_v", _signed(column, sign))
+                slim = lookup_join(keyed, scale, ["_v"], ["row_idx"], "left").drop("_v", column)
+            else:
+                keyed = sigs.withColumn("_v", _signed(column, sign))
+                sigs = lookup_join(keyed, scale, ["_v"], ["sid"], "left").drop("_v")
+    return sigs, slim, reached
+
+
+def _other_limits() -> Column:
+    test = _first_shared_category()
+    for limit, value, _ in RANGES:
+        test = test & (F.col(f"s_{limit}").isNull() | (F.col(f"s_{value}") >= F.col(f"s_{limit}")))
+    return test
+
+
+def eligible_pairs(sigs: DataFrame, records: DataFrame) -> DataFrame:
+    """(sid, row_idx) for every record a signature admits."""
+    slotted_sigs, slim, reached = _slotted(sigs, records)
+    return lookup_join(
+        _record_keys(slim, reached), cut(_signature_keys(slotted_sigs, reached)), KEYS, ["row_idx"],
+        where=_other_limits(),
+    ).select("sid", "row_idx")
 
 
 CELL = ("type", "flag", "categories", *[f"s_{value}" for _, value, _ in RANGES])
 
 
-def _cells_by_signature(sigs: DataFrame, cells: DataFrame) -> DataFrame:
-    test = _first_shared_category()
-    for limit, value, _ in RANGES:
-        test = test & (F.col(limit).isNull() | (F.col(f"s_{value}") >= F.col(f"s_{limit}")))
-    keyed = _signature_keys(sigs)
-    return lookup_join(_record_keys(cells), keyed, KEYS, CELL, where=test)
+def _cells_by_signature(sigs: DataFrame, cells: DataFrame, reached: dict[str, int]) -> DataFrame:
+    keyed = cut(_signature_keys(sigs, reached))
+    return lookup_join(_record_keys(cells, reached), keyed, KEYS, CELL, where=_other_limits())
 
 
 def eligible_summary(sigs: DataFrame, records: DataFrame) -> DataFrame:
     """(sig, n_eligible, first_row, row_sum) for every signature; first_row and row_sum, which
     identify the set, are NULL where it is empty."""
-    slotted_sigs, slim = _slotted(sigs, records)
+    slotted_sigs, slim, reached = _slotted(sigs, records)
     cells = slim.groupBy(*CELL).agg(
         F.count("*").alias("n"), F.min("row_idx").alias("first"), F.sum("row_idx").alias("total")
     )
-    merged = _cells_by_signature(slotted_sigs, cells).groupBy("sid").agg(
+    merged = _cells_by_signature(slotted_sigs, cells, reached).groupBy("sid").agg(
         F.sum("n").alias("n"), F.min("first").alias("first_row"), F.sum("total").alias("row_sum")
     )
     return sigs.join(merged, "sid", "left").select(
@@ -180,11 +227,11 @@ def only_constraint(profiled: DataFrame, *kept: str) -> DataFrame:
 
 def first_eligible(sigs: DataFrame, records: DataFrame, k: int) -> DataFrame:
     """(sid, row_idx): the first k admitted records in catalogue order."""
-    slotted_sigs, slim = _slotted(sigs, records)
+    slotted_sigs, slim, reached = _slotted(sigs, records)
     order = [F.col("row_idx").asc()]
     heads = top_k(slim, CELL, order, k).drop("rn")
     return top_k(
-        _cells_by_signature(slotted_sigs, heads).select("sid", "row_idx"), ["sid"], order, k
+        _cells_by_signature(slotted_sigs, heads, reached).select("sid", "row_idx"), ["sid"], order, k
     ).drop("rn")
 
 
@@ -199,10 +246,10 @@ def unique_counts(profiled: DataFrame, records: DataFrame) -> DataFrame:
 def question_counts(questions: DataFrame, profiled: DataFrame, records: DataFrame) -> DataFrame:
     """(qid, question, applied, n_eligible) for every question."""
     counts = cut(unique_counts(profiled, records))
-    return lookup_join(questions.withColumn("uq", F.lower("question")), counts, ["uq"], ["qid"])
+    return lookup_join(questions.withColumn("uq", lowered("question")), counts, ["uq"], ["qid"])
 
 
 def true_negatives(questions: DataFrame, profiled: DataFrame, records: DataFrame) -> DataFrame:
     """Questions whose constraints no record meets: an answer in itself, never widened."""
     empty = cut(unique_counts(profiled, records).where(F.col("applied") & (F.col("n_eligible") == 0)))
-    return lookup_join(questions.withColumn("uq", F.lower("question")), empty, ["uq"], ["qid"])
+    return lookup_join(questions.withColumn("uq", lowered("question")), empty, ["uq"], ["qid"])

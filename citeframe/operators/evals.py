@@ -1,4 +1,5 @@
-"""Scoring answers against evaluation cases. A NULL expectation is not checked."""
+"""Scoring answers against evaluation cases. A NULL expectation is not checked; a case without an
+answer fails."""
 
 from __future__ import annotations
 
@@ -30,6 +31,7 @@ def score(cases: DataFrame, answers: DataFrame, on: str) -> DataFrame:
 
     checks = F.array_compact(
         F.array(
+            F.when(F.col("_found").isNull(), F.lit("no answer")),
             F.when(
                 F.col("expected_answered") != said,
                 F.concat(
@@ -53,9 +55,10 @@ def score(cases: DataFrame, answers: DataFrame, on: str) -> DataFrame:
         texts_where("forbidden", True, "contains forbidden"),
     )
     return (
-        cases.join(answers, on)
+        cases.join(answers.withColumn("_found", F.lit(True)), on, "left")
         .withColumn("failures", failures)
         .withColumn("passed", F.size("failures") == 0)
+        .drop("_found")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constraints as C
@@ -12,10 +12,15 @@ from ..session import cut
 WANTS = ("want_type", "want_flag", "want_cats", "max_fee", "own_score", "min_placement")
 
 
+def lowered(text: str) -> Column:
+    """What a question is known by; a missing one is an empty one."""
+    return F.lower(F.coalesce(F.col(text), F.lit("")))
+
+
 def folded_questions(questions: DataFrame, text: str = "question") -> DataFrame:
     """Adds the normalised texts the extractors read, each computed once per row."""
     return (
-        questions.withColumn("_lower", F.lower(text))
+        questions.withColumn("_lower", lowered(text))
         .withColumn("_folded", C.folded(F.col("_lower")))
         .withColumn("_ungrouped", C.ungrouped(F.col("_folded")))
     )
@@ -51,7 +56,7 @@ def with_signature(profiled: DataFrame) -> DataFrame:
 def unique_questions(questions: DataFrame) -> DataFrame:
     """(uq, n_questions). Every rule works on the lower-cased question, so equal ones are
     answered once."""
-    return questions.groupBy(F.lower("question").alias("uq")).agg(F.count("*").alias("n_questions"))
+    return questions.groupBy(lowered("question").alias("uq")).agg(F.count("*").alias("n_questions"))
 
 
 def profiled_questions(questions: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -50,3 +50,20 @@ def distributed_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column
         .withColumn("rn", F.col("_pos") - F.col("_first") + F.col("_before") + 1)
         .drop("_part", "_pos", "_first", "_before")
     )
+
+
+def running_sum(df: DataFrame, group: str, order: str, value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over the rows of the group up to and with this one, in ``order`` (distinct
+    within a group), without gathering a group in one task: each range partition sums its own rows
+    and is shifted by the sums before it."""
+    ranged = df.repartitionByRange(group, order).withColumn("_part", F.spark_partition_id())
+    placed = cut(ranged)
+    own = Window.partitionBy("_part", group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # one row per (partition, group): at most groups + partitions rows
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_part", group).agg(F.sum(value).alias("_own"))
+    offsets = totals.withColumn("_before", F.coalesce(F.sum("_own").over(earlier), F.lit(0))).drop("_own")
+    return (
+        placed.withColumn("_sum", F.sum(value).over(own)).join(offsets, ["_part", group])
+        .withColumn(out, F.col("_sum") + F.col("_before")).drop("_part", "_sum", "_before")
+    )

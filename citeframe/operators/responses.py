@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as v
 from ..functions.text import strip
+from ..session import store
 from .retrieve import Retrieval
 
 NO_CITATIONS = "array<string>"
@@ -87,6 +88,7 @@ def cited(validated: DataFrame, questions: DataFrame) -> DataFrame:
 def check_citations(validated: DataFrame, retrieval: Retrieval, k: int) -> DataFrame:
     """Replaces citations by those retrieved for the question, in order and once each; none if
     the response does not answer. ``dropped`` counts the distinct ones that were not retrieved."""
+    validated = store(validated, "validated")
     kept = (
         retrieval.membership(cited(validated, retrieval.questions), k)
         .groupBy("resp_id")
@@ -135,3 +137,8 @@ def report(answers: DataFrame) -> DataFrame:
         {"ignoreNullFields": "false"},
     )
     return answers.select("qid", "resp_id", body.alias("json"))
+
+
+def save_report(answers: DataFrame, path: str) -> None:
+    """The report as text files whose names and lines follow the questions' order."""
+    report(answers).orderBy("qid", "resp_id").select(F.col("json").alias("value")).write.text(path)

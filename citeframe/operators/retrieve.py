@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import ENGLISH_STOPS, Vocabulary
-from ..session import cut, payload_bytes, shuffle_partitions
+from ..session import cut, payload_bytes, shuffle_partitions, store
 from ..sources.catalog import document
 from .eligibility import eligible_pairs, first_eligible, is_eligible, nothing_wanted, signatures
 from .entities import match_names, name_key
 from .joins import lookup_join
-from .profile import WANTS, profiled_questions
+from .profile import WANTS, lowered, profiled_questions
 from .ranking import best_first, distributed_rank, top_k
 from .tfidf import Index, cosine_pairs, top_pairs
 
@@ -31,18 +31,19 @@ class Retrieval:
 
     def __init__(
         self, records: DataFrame, questions: DataFrame, vocabulary: Vocabulary,
-        stops: tuple[str, ...] = ENGLISH_STOPS,
+        stops: tuple[str, ...] = ENGLISH_STOPS, idf: DataFrame | None = None,
     ):
+        """``idf``: weights fitted on another catalogue, kept as they are."""
         self.vocabulary = vocabulary
         # written once: routing, indexing and padding all read it
-        self.records = cut(records.withColumn("name_key", name_key(F.col("name"))))
-        self.questions = questions.withColumn("uq", F.lower("question"))
-        self.stops = stops
+        self.records = store(records.withColumn("name_key", name_key(F.col("name"))), "records")
+        self.questions = questions.withColumn("uq", lowered("question"))
+        self.stops, self.frozen = stops, idf
 
     @cached_property
     def index(self) -> Index:
         return Index(
-            self.records.select(*RECORD_SIDE, document().alias("doc")), "row_idx", "doc", stops=self.stops
+            self.records.select(*RECORD_SIDE, document().alias("doc")), "row_idx", "doc", self.frozen, stops=self.stops
         )
 
     # ---- routing -----------------------------------------------------------------------
@@ -166,7 +167,12 @@ class Retrieval:
         whole = self.pool(exhaustive=True).join(scored, ["uid", "row_idx"], "left").withColumn(
             "score", F.coalesce("score", F.lit(0.0))
         )
-        return self._spelled(distributed_rank(whole, ["uid"], best_first()))
+        # stored, as the range partitioner reads its input twice
+        return self._spelled(distributed_rank(store(whole, "pools"), ["uid"], best_first()))
+
+    def with_ids(self, ranked: DataFrame) -> DataFrame:
+        """Adds ``record_id``; records that pad many answers don't gather in one task."""
+        return lookup_join(ranked, cut(self.records.select("row_idx", "record_id")), ["row_idx"], ["uq"])
 
     def asked_as(self, route: str) -> DataFrame:
         """Distinct questions put on one route: all of them on the open one (constraints lifted),
@@ -186,16 +192,15 @@ class Retrieval:
         For a bounded question that is its k ranked records; for an exhaustive one the pool,
         tested on the pair itself rather than by writing the pool out.
         """
-        ids = self.records.select("row_idx", "record_id")
-        listed = self.ranked(k).select("uq", "row_idx").join(ids, "row_idx").select("uq", "record_id")
-        known = pairs.join(listed, ["uq", "record_id"], "left_semi")
-        wide = self.routed.where("exhaustive")
-        # hashed on the record: ids are spread however often a question is repeated
-        tested = (
-            pairs.join(wide.select("uq", "route", *WANTS), "uq")
-            .join(self.records.select("record_id", *RECORD_SIDE[1:]), "record_id")
+        spread = pairs.columns
+        listed = cut(self.with_ids(self.ranked(k)).select("uq", "record_id"))
+        known = lookup_join(pairs, listed, ["uq", "record_id"], spread, "left_semi")
+        wide = cut(self.routed.where("exhaustive").select("uq", "route", *WANTS))
+        sides = cut(self.records.select("record_id", *RECORD_SIDE[1:]))
+        tested = lookup_join(lookup_join(pairs, wide, ["uq"], spread), sides, ["record_id"], spread)
+        by_name = lookup_join(
+            tested.where(F.col("route") == NAMED), self.named, ["uq", "name_key"], spread, "left_semi"
         )
-        by_name = tested.where(F.col("route") == NAMED).join(self.named, ["uq", "name_key"], "left_semi")
         by_rule = tested.where((F.col("route") != NAMED) & is_eligible())
         columns = pairs.columns
         return known.select(columns).unionByName(by_name.select(columns)).unionByName(by_rule.select(columns))

@@ -14,13 +14,8 @@ from ..session import cut, fits_broadcast, part_of, shuffle_partitions, store
 from .joins import lookup_join
 from .ranking import top_k
 
-# Terms in at least this share of the texts are looked up by broadcast instead of by shuffle.
-# There can be no more of them than 1/share times the terms of an average text.
-HOT_SHARE = 1 / 200
 # Terms in more than this share of the texts are kept out of the first pass of a top-k.
 COMMON_SHARE = 1 / 10
-# With fewer pairs to form than this, the extra passes cost more than they save.
-PRUNE_FROM_PAIRS = 50_000_000
 # Scores are compared at nine decimals; bounds leave room for that.
 MARGIN = 1e-8
 
@@ -74,26 +69,9 @@ def document_frequencies(counts: DataFrame, n_docs: Column) -> DataFrame:
 
 
 def weigh(counts: DataFrame, idf: DataFrame, spread: str) -> DataFrame:
-    """Adds ``idf`` to each counted term; terms outside the vocabulary are dropped.
-
-    Common terms come from a broadcast whose size the share bounds. Their rows carry a key that
-    meets nothing, so the shuffle for the rest has no hot term in it.
-    """
-    is_hot = F.col("df") >= F.col("n_docs") * HOT_SHARE
-    hot = idf.where(is_hot).select("term", F.col("idf").alias("_hot"))
-    rest = idf.where(~is_hot).select(F.col("term").alias("_key"), F.col("idf").alias("_rest"))
-    looked_up = counts.join(F.broadcast(hot), "term", "left").withColumn(
-        "_key",
-        F.when(F.col("_hot").isNull(), F.col("term")).otherwise(
-            F.concat(F.lit("\u0000"), F.col(spread).cast("string"))
-        ),
-    )
-    return (
-        looked_up.join(rest, "_key", "left")
-        .withColumn("idf", F.coalesce("_hot", "_rest"))
-        .drop("_key", "_hot", "_rest")
-        .where(F.col("idf").isNotNull())
-    )
+    """Adds ``idf`` (stored, so that its size is known) to each counted term; terms outside the
+    vocabulary are dropped."""
+    return lookup_join(counts, idf.select("term", "df", "n_docs", "idf"), ["term"], [spread])
 
 
 def norms(weighed: DataFrame, key: str) -> DataFrame:
@@ -106,8 +84,8 @@ def query_vector(queries: DataFrame, idf: DataFrame, key: str, text: str, **opti
     """(key, term, df, coef, is_common), cut: the normalised query weight with the record side's idf
     folded in, so scoring needs only raw counts from the record side."""
     counts = term_counts(with_terms(queries.select(key, text), text, **options))
-    is_common = (F.col("df") > F.col("n_docs") * COMMON_SHARE).alias("is_common")
-    weighed = counts.join(idf.select("term", "df", "idf", is_common), "term")
+    is_common = F.col("df") > F.col("n_docs") * COMMON_SHARE
+    weighed = lookup_join(counts, idf.select("term", "df", "n_docs", "idf"), ["term"], [key]).withColumn("is_common", is_common)
     w = F.col("tf") * F.col("idf")
     length = F.sqrt(F.sum(w * w).over(Window.partitionBy(key)))
     return cut(weighed.select(key, "term", "df", (w * F.col("idf") / length).alias("coef"), "is_common"))
@@ -138,7 +116,7 @@ def cosine_pairs(
 
 def top_pairs(
     counts: DataFrame, doc_norms: DataFrame, vector: DataFrame, query_key: str, doc_key: str, k: int,
-    where: Column | None = None, prune_from: int = PRUNE_FROM_PAIRS,
+    where: Column | None = None,
 ) -> DataFrame:
     """(query, doc, score): exact scores of at least every pair among a query's k best.
 
@@ -146,10 +124,8 @@ def top_pairs(
     the other terms give a k-th best so far; where the most that common terms could add to any
     document stays below it, a document without a rarer term cannot be among the k best, and of
     the others only those within that reach are scored in full. The remaining queries are scored
-    against everything they share a term with, as all are when there are few pairs to form.
+    against everything they share a term with.
     """
-    if (vector.agg(F.sum("df")).first()[0] or 0) < prune_from:
-        return cosine_pairs(counts, doc_norms, vector, query_key, doc_key, where=where)
     order = [F.col("score").desc(), F.col(doc_key).asc()]
     rare = part_of(vector.where(~F.col("is_common")), vector)
     common = vector.where("is_common")
@@ -187,19 +163,32 @@ def top_pairs(
     return completed.unionByName(cosine_pairs(counts, doc_norms, rest, query_key, doc_key, where=where))
 
 
+def with_zero_rows(keys: DataFrame, found: DataFrame, key: str, *numbers: str) -> DataFrame:
+    """A row for every key: a text without (known) terms has the zero vector."""
+    rest = [c for c in found.columns if c not in (key, *numbers)]
+    zeros = [F.coalesce(F.col(n), F.lit(0)).alias(n) for n in numbers]
+    return keys.select(key).join(found, key, "left").select(key, *zeros, *rest)
+
+
 class Index:
-    """TF-IDF tables of one corpus: term counts written once, the rest derived from them."""
+    """TF-IDF tables of one corpus: term counts written once, the rest derived from them.
+
+    With ``idf`` (term, df, n_docs, idf), the vocabulary fitted on another corpus, terms and weights
+    are those; else they are fitted on this one.
+    """
 
-    def __init__(self, docs: DataFrame, key: str, text: str, **options):
+    def __init__(self, docs: DataFrame, key: str, text: str, idf: DataFrame | None = None, **options):
         self.key, self.text, self.options = key, text, options
+        self.keys = docs.select(key)
         # One text grows into many times its size, so texts are dealt out evenly first.
         dealt = docs.repartition(shuffle_partitions(docs), key)
         self.counts = store(term_counts(with_terms(dealt, text, **options)), "counts")
         n_docs = docs.agg(F.count("*").alias("n")).scalar()
-        self.idf = document_frequencies(self.counts, n_docs)
+        self.idf = store(document_frequencies(self.counts, n_docs), "idf") if idf is None else idf
 
     def norms(self) -> DataFrame:
-        return norms(weigh(self.counts.select(self.key, "term", "tf"), self.idf, self.key), self.key)
+        found = norms(weigh(self.counts.select(self.key, "term", "tf"), self.idf, self.key), self.key)
+        return with_zero_rows(self.keys, found, self.key, "norm", "n_terms")
 
     @cached_property
     def doc_norms(self) -> DataFrame:

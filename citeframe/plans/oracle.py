@@ -43,15 +43,21 @@ REC = f"""rec AS (
     regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g') AS name_key
   FROM raw)"""
 
-DOC = """doc AS (
-  SELECT row_idx, concat(name, ' (', record_id, ') in ', city, ', ', state, '. Type: ', type,
-    '. Courses offered: ', array_to_string(course_list, ', '), '. Annual fees: Rs ', CAST(fee AS VARCHAR),
-    ' per year. Last year cutoff: ', CAST(cutoff AS VARCHAR), ' percent aggregate (hard minimum). Total seats: ',
-    CAST(seats AS VARCHAR), '. ', CASE WHEN flag THEN 'hostel available' ELSE 'no hostel' END,
-    '. NAAC grade: ', grade, '. ',
-    CASE WHEN placement = 0 THEN 'placement not reported / not applicable'
+def _shown(column: str) -> str:
+    return f"coalesce(CAST({column} AS VARCHAR), {_text(v.MISSING)})"
+
+
+_CUTOFF = f"coalesce(CASE WHEN cutoff = floor(cutoff) THEN CAST(CAST(cutoff AS BIGINT) AS VARCHAR) END, {_shown('cutoff')})"
+
+DOC = f"""doc AS (
+  SELECT row_idx, concat({_shown('name')}, ' (', record_id, ') in ', {_shown('city')}, ', ', {_shown('state')}, '. Type: ', {_shown('type')},
+    '. Courses offered: ', array_to_string(course_list, ', '), '. Annual fees: Rs ', {_shown('fee')},
+    ' per year. Last year cutoff: ', {_CUTOFF}, ' percent aggregate (hard minimum). Total seats: ',
+    {_shown('seats')}, '. ', CASE WHEN flag THEN 'hostel available' ELSE 'no hostel' END,
+    '. NAAC grade: ', {_shown('grade')}, '. ',
+    CASE WHEN coalesce(placement, 0) = 0 THEN 'placement not reported / not applicable'
          ELSE concat('average placement ', CAST(placement AS VARCHAR), ' lakhs per annum') END,
-    '. Established ', CAST(established AS VARCHAR), '. ', about) AS doc
+    '. Established ', {_shown('established')}, '. ', {_shown('about')}) AS doc
   FROM rec)"""
 
 _HALF = "|".join(v.HALF_YEAR_TERMS)
@@ -90,8 +96,8 @@ PROF = f"""prof AS (
         TRY_CAST(regexp_extract(trim(substr(uq, 1, strpos(uq, 'placement') - 1)), '(\\d+(?:\\.\\d+)?)\\s*(?:lakhs?|lpa|l)?$', 1) AS DOUBLE)
       ) END AS min_placement,
       regexp_matches(uq, '\\b({v.EXHAUSTIVE_WORDS})\\b') AS exhaustive
-    FROM (SELECT qid, question, lower(question) AS uq,
-            regexp_replace(regexp_replace(lower(question), '(\\d),(\\d)', '\\1\\2', 'g'), '(\\d),(\\d)', '\\1\\2', 'g') AS uc
+    FROM (SELECT qid, question, lower(coalesce(question, '')) AS uq,
+            regexp_replace(regexp_replace(lower(coalesce(question, '')), '(\\d),(\\d)', '\\1\\2', 'g'), '(\\d),(\\d)', '\\1\\2', 'g') AS uc
           FROM q) t) t)"""
 
 _ELIGIBLE = """(p.want_type IS NULL OR r.type = p.want_type) AND (NOT p.want_flag OR r.flag)
@@ -108,7 +114,7 @@ COUNTED = f"""counted AS (
 
 _STOPS = _list(_P.name_stops)
 
-NAMES = f"""uqs AS (SELECT DISTINCT lower(question) AS uq, regexp_replace(lower(question), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g') AS clean FROM q),
+NAMES = f"""uqs AS (SELECT DISTINCT lower(coalesce(question, '')) AS uq, regexp_replace(lower(coalesce(question, '')), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g') AS clean FROM q),
 names AS (SELECT name_key, words, list_filter(words, lambda w: NOT list_contains({_STOPS}, w)) AS own
   FROM (SELECT DISTINCT name_key, list_filter(regexp_split_to_array(name_key, '\\s+'), lambda w: w <> '') AS words FROM rec) t),
 bigrams AS (SELECT name_key, words[i] AS a, words[i + 1] AS b
@@ -190,16 +196,15 @@ _ROUTE_POOL = f"""SELECT p.uq, r.row_idx, p.exhaustive FROM routed p JOIN rec r
 RANKED = RETRIEVAL + ",\n" + _ranked(_ROUTE_POOL)
 KEPT = "kept AS (SELECT o.uq, o.rn, o.row_idx, o.score, r.record_id FROM ordered o JOIN rec r USING (row_idx) WHERE o.exhaustive OR o.rn <= 5)"
 
-CONTEXT = f"""para AS (SELECT row_idx, concat('[', record_id, '] ', name, ' | ', city, ', ', state, ' | ', type,
+CONTEXT = f"""para AS (SELECT row_idx, concat('[', record_id, '] ', {_shown('name')}, ' | ', {_shown('city')}, ', ', {_shown('state')}, ' | ', {_shown('type')},
     chr(10), '  courses: ', array_to_string(course_list, ', '),
-    chr(10), '  annual_fees_inr: ', CAST(fee AS VARCHAR), ' (per year)',
-    chr(10), '  last_year_cutoff_pct: ', CAST(cutoff AS VARCHAR),
-    chr(10), '  total_seats: ', CAST(seats AS VARCHAR), ' | hostel_available: ', CASE WHEN flag THEN 'True' ELSE 'False' END,
-    chr(10), '  naac_grade: ', grade, ' | avg_placement_lpa: ', CAST(placement AS VARCHAR),
-    chr(10), '  established_year: ', CAST(established AS VARCHAR), chr(10), '  about: ', about) AS txt FROM rec),
-blocks AS (SELECT kept.uq, CAST(floor((rn - 1) / 1000) AS BIGINT) AS block, count(*) AS n_records,
-    string_agg(txt, concat(chr(10), chr(10)) ORDER BY rn) AS context
-  FROM kept JOIN para USING (row_idx) GROUP BY kept.uq, CAST(floor((rn - 1) / 1000) AS BIGINT))"""
+    chr(10), '  annual_fees_inr: ', {_shown('fee')}, ' (per year)',
+    chr(10), '  last_year_cutoff_pct: ', {_CUTOFF},
+    chr(10), '  total_seats: ', {_shown('seats')}, ' | hostel_available: ', CASE WHEN flag THEN 'True' ELSE 'False' END,
+    chr(10), '  naac_grade: ', {_shown('grade')}, ' | avg_placement_lpa: ', {_shown('placement')},
+    chr(10), '  established_year: ', {_shown('established')}, chr(10), '  about: ', {_shown('about')}) AS txt FROM rec),
+blocks AS (SELECT kept.uq, count(*) AS n_records, string_agg(txt, concat(chr(10), chr(10)) ORDER BY rn) AS context
+  FROM kept JOIN para USING (row_idx) JOIN uprof u ON u.uq = kept.uq AND NOT u.exhaustive GROUP BY kept.uq)"""
 
 RESP = f"resp AS ({_view(views.RESPONSES)})"
 _TRIMMED = "regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g')"
@@ -311,15 +316,16 @@ CASES = f"""cases AS (SELECT qid, case_id, expected_answered,
   FROM ({_view(views.CASES)}) c),
 scored AS (SELECT case_id, resp_id, list_concat(
     list_filter([
-      CASE WHEN expected_answered <> answered THEN concat('answered=', CASE WHEN answered THEN 'True' ELSE 'False' END,
+      CASE WHEN answered IS NULL THEN 'no answer' END,
+      CASE WHEN expected_answered <> coalesce(answered, false) THEN concat('answered=', CASE WHEN coalesce(answered, false) THEN 'True' ELSE 'False' END,
         ', expected=', CASE WHEN expected_answered THEN 'True' ELSE 'False' END) END,
-      CASE WHEN expected_citations IS NOT NULL AND list_sort(expected_citations) <> list_sort(citations)
-        THEN concat('citations=', {_quoted("citations")}, ', expected=', {_quoted("expected_citations")}) END,
-      CASE WHEN any_of IS NOT NULL AND NOT list_has_any(any_of, citations)
-        THEN concat('citations=', {_quoted("citations")}, ' matched none of ', {_quoted("any_of")}) END], lambda x: x IS NOT NULL),
-    list_transform(list_filter(required, lambda s: NOT contains(lower(answer), lower(s))), lambda s: concat('missing required substring: ''', s, '''')),
-    list_transform(list_filter(forbidden, lambda s: contains(lower(answer), lower(s))), lambda s: concat('contains forbidden substring: ''', s, ''''))
-  ) AS failures FROM cases JOIN final USING (qid))"""
+      CASE WHEN expected_citations IS NOT NULL AND list_sort(expected_citations) <> list_sort(coalesce(citations, CAST([] AS VARCHAR[])))
+        THEN concat('citations=', {_quoted("coalesce(citations, CAST([] AS VARCHAR[]))")}, ', expected=', {_quoted("expected_citations")}) END,
+      CASE WHEN any_of IS NOT NULL AND NOT list_has_any(any_of, coalesce(citations, CAST([] AS VARCHAR[])))
+        THEN concat('citations=', {_quoted("coalesce(citations, CAST([] AS VARCHAR[]))")}, ' matched none of ', {_quoted("any_of")}) END], lambda x: x IS NOT NULL),
+    list_transform(list_filter(required, lambda s: NOT contains(lower(coalesce(answer, '')), lower(s))), lambda s: concat('missing required substring: ''', s, '''')),
+    list_transform(list_filter(forbidden, lambda s: contains(lower(coalesce(answer, '')), lower(s))), lambda s: concat('contains forbidden substring: ''', s, ''''))
+  ) AS failures FROM cases LEFT JOIN (SELECT qid, resp_id, coalesce(answer, '') AS answer, coalesce(citations, CAST([] AS VARCHAR[])) AS citations, answered FROM final) f USING (qid))"""
 
 
 def _with(*parts: str) -> str:
@@ -338,6 +344,8 @@ FROM (SELECT DISTINCT {wanted} AS wanted, {key} AS k FROM prof WHERE {asked}) w
 ORACLES: dict[str, str] = {
     "catalog_scan": _with(RAW, REC, """SELECT row_idx, record_id, name, city, state, type, fee, cutoff, seats, flag, grade, placement,
   established, array_to_string(course_list, '|') AS course_list, array_to_string(categories, '|') AS categories FROM rec"""),
+    "catalog_csv": _with(RAW, REC, """SELECT row_number() OVER (ORDER BY record_id) - 1 AS row_idx, record_id, name, fee, cutoff, seats, flag, grade,
+  placement, established, about, array_to_string(course_list, '|') AS course_list FROM rec"""),
     "catalog_document": _with(RAW, REC, DOC, "SELECT row_idx, length(doc) AS n_chars, md5(doc) AS doc_md5 FROM doc"),
     "extract_budget": _with(Q, PROF, "SELECT qid, max_fee AS budget FROM prof"),
     "extract_cutoff": _with(Q, PROF, "SELECT qid, own_score AS cutoff FROM prof"),
@@ -360,7 +368,7 @@ FROM (SELECT DISTINCT want_type, want_flag, want_cats, max_fee, own_score, min_p
     "eligibility_counts": _with(CATALOG_BASE, COUNTED, "SELECT qid, applied, n_eligible FROM counted"),
     "true_negatives": _with(CATALOG_BASE, COUNTED, "SELECT qid, question FROM counted WHERE applied AND n_eligible = 0"),
     "true_negative_answers": _with(CATALOG_BASE, NAMES, COUNTED, f"""SELECT qid, {_text(v.NO_MATCH_ANSWER)} AS answer, '' AS citations, false AS answered,
-  {_text(v.NO_MATCH_REASON)} AS reason_if_unanswered FROM counted WHERE applied AND n_eligible = 0 AND lower(question) NOT IN (SELECT uq FROM hit)"""),
+  {_text(v.NO_MATCH_REASON)} AS reason_if_unanswered FROM counted WHERE applied AND n_eligible = 0 AND lower(coalesce(question, '')) NOT IN (SELECT uq FROM hit)"""),
     "named_bigram": _with(RAW, REC, Q, NAMES, "SELECT uq, name_key FROM hit_bigram"),
     "named_two_words": _with(RAW, REC, Q, NAMES, "SELECT uq, name_key FROM hit_words"),
     "named_full": _with(RAW, REC, Q, NAMES, "SELECT uq, name_key FROM hit_full"),
@@ -368,18 +376,25 @@ FROM (SELECT DISTINCT want_type, want_flag, want_cats, max_fee, own_score, min_p
 FROM hit JOIN rec ON rec.name_key = hit.name_key GROUP BY hit.uq, hit.name_key"""),
     "tokens_count": _with(_terms("documents", "doc_id", "text", "dt"), """SELECT doc_id, len(toks) AS n_tokens, len(list_distinct(toks)) AS n_distinct,
   md5(array_to_string(toks, ' ')) AS tokens_md5 FROM dt_tok"""),
-    "ngram_tf": _with(_terms("documents", "doc_id", "text", "dt"), """SELECT doc_id, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_occurrences, max(tf) AS max_tf,
-  CAST(sum(CASE WHEN contains(term, ' ') THEN tf ELSE 0 END) AS BIGINT) AS n_bigrams, max(term) AS last_term FROM dt GROUP BY doc_id"""),
+    "ngram_tf": _with(_terms("documents", "doc_id", "text", "dt"), """SELECT doc_id, coalesce(n_terms, 0) AS n_terms, coalesce(n_occurrences, 0) AS n_occurrences, coalesce(max_tf, 0) AS max_tf,
+  coalesce(n_bigrams, 0) AS n_bigrams, last_term FROM (SELECT doc_id, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_occurrences, max(tf) AS max_tf,
+  CAST(sum(CASE WHEN contains(term, ' ') THEN tf ELSE 0 END) AS BIGINT) AS n_bigrams, max(term) AS last_term FROM dt GROUP BY doc_id) t RIGHT JOIN documents USING (doc_id)"""),
     "idf_table": _with(_terms("documents", "doc_id", "text", "dt"), _idf("documents", "doc_id", "dt"), "SELECT term, df, round(idf, 9) AS idf FROM idf"),
     "tfidf_norms": _with(_terms("documents", "doc_id", "text", "dt"), _idf("documents", "doc_id", "dt"), _norms("dt", "doc_id", "dn"),
-                         "SELECT doc_id, n_terms, round(norm, 6) AS norm FROM dn"),
+                         "SELECT doc_id, coalesce(n_terms, 0) AS n_terms, round(coalesce(norm, 0), 6) AS norm FROM documents LEFT JOIN dn USING (doc_id)"),
     "tfidf_cosine": _with(BENCH_INDEX, "SELECT item_id, count(*) AS n_docs, round(max(score), 6) AS max_score, round(sum(score), 6) AS sum_score FROM cos GROUP BY item_id"),
     "tfidf_topk": _with(BENCH_INDEX, """SELECT item_id, rn, doc_id, round(score, 6) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rn FROM cos) t WHERE rn <= 5"""),
     "tfidf_transform_frozen": _with(_terms("documents", "doc_id", "text", "dt"), _idf("documents", "doc_id", "dt"),
                                     "turns AS (SELECT concat(CAST(conv_id AS VARCHAR), ':', CAST(turn AS VARCHAR)) AS turn_id, text FROM conversations)",
                                     _terms("turns", "turn_id", "text", "ct"), _norms("ct", "turn_id", "cn"),
-                                    "SELECT turn_id, n_terms AS n_known, round(norm, 6) AS norm FROM cn"),
+                                    "SELECT turn_id, coalesce(n_terms, 0) AS n_known, round(coalesce(norm, 0), 6) AS norm FROM turns LEFT JOIN cn USING (turn_id)"),
+    "tfidf_frozen_topk": _with(_terms("documents", "doc_id", "text", "fit"), _idf("documents", "doc_id", "fit"),
+                               "turns AS (SELECT concat(CAST(conv_id AS VARCHAR), ':', CAST(turn AS VARCHAR)) AS turn_id, text FROM conversations)",
+                               _terms("turns", "turn_id", "text", "dt"), _terms("benchmark", "item_id", "text", "qt"),
+                               _norms("dt", "turn_id", "dn"), _norms("qt", "item_id", "qn"), _cosine("item_id", "turn_id"),
+                               """SELECT item_id, rn, turn_id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, turn_id) AS rn FROM cos) t WHERE rn <= 5"""),
     "dense_cosine_topk": """WITH pos AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),
 cen AS (SELECT label, list(x ORDER BY i) AS q FROM (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM pos GROUP BY label, i) t GROUP BY label),
 sc AS (SELECT CAST(e.label AS BIGINT) AS label, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.q) AS score FROM embeddings e JOIN cen c ON c.label = e.label)
@@ -393,11 +408,13 @@ FROM prof p JOIN ordered o ON o.uq = p.uq JOIN rec r USING (row_idx) WHERE NOT o
     "retrieve_exhaustive": _with(RANKED, "SELECT o.uq, o.rn, r.record_id, round(o.score, 6) AS score FROM ordered o JOIN rec r USING (row_idx) WHERE o.exhaustive"),
     "retrieve_route_counts": _with(RETRIEVAL, """SELECT t.route, t.exhaustive, count(*) AS n_questions, count(DISTINCT t.uq) AS n_distinct
 FROM prof p JOIN routed t ON t.uq = p.uq GROUP BY t.route, t.exhaustive"""),
-    "context_block": _with(RANKED, KEPT, CONTEXT, f"""SELECT u.uq, coalesce(b.block, 0) AS block, coalesce(b.n_records, 0) AS n_records,
+    "context_block": _with(RANKED, KEPT, CONTEXT, f"""SELECT u.uq, coalesce(b.n_records, 0) AS n_records,
   length(coalesce(b.context, {_text(v.EMPTY_CONTEXT)})) AS n_chars, md5(coalesce(b.context, {_text(v.EMPTY_CONTEXT)})) AS context_md5
-FROM uprof u LEFT JOIN blocks b ON b.uq = u.uq"""),
-    "prompt_rows": _with(RANKED, KEPT, CONTEXT, f"""SELECT qid, block, length(t) AS n_chars, md5(t) AS prompt_md5 FROM (
-  SELECT p.qid, b.block, concat({_text(v.PROMPT_HEAD)}, b.context, {_text(v.PROMPT_QUESTION)}, p.question, {_text(v.PROMPT_TAIL)}) AS t
+FROM uprof u LEFT JOIN blocks b ON b.uq = u.uq WHERE NOT u.exhaustive"""),
+    "context_paragraphs": _with(RANKED, CONTEXT.split(",\nblocks AS")[0], """SELECT o.uq, o.rn, length(txt) AS n_chars, md5(txt) AS text_md5
+FROM ordered o JOIN para USING (row_idx) WHERE o.exhaustive"""),
+    "prompt_rows": _with(RANKED, KEPT, CONTEXT, f"""SELECT qid, length(t) AS n_chars, md5(t) AS prompt_md5 FROM (
+  SELECT p.qid, concat({_text(v.PROMPT_HEAD)}, b.context, {_text(v.PROMPT_QUESTION)}, coalesce(p.question, ''), {_text(v.PROMPT_TAIL)}) AS t
   FROM prof p JOIN blocks b ON b.uq = p.uq) x"""),
     "json_object_extract": _with(RESP, f"SELECT resp_id, {_OBJECT} AS object FROM resp"),
     "response_validate": _with(RESP, VALID, "SELECT resp_id, answer, array_to_string(citations, '|') AS citations, answered, reason_if_unanswered, valid, quarantined FROM val"),
@@ -413,13 +430,29 @@ FROM uprof u LEFT JOIN blocks b ON b.uq = u.uq"""),
   {_redact("l.reason")} AS reason_if_unanswered, l.model, CASE WHEN l.model IS NOT NULL THEN l.input_tokens END AS input_tokens,
   CASE WHEN l.model IS NOT NULL THEN l.output_tokens END AS output_tokens, CASE WHEN l.model IS NOT NULL THEN l.latency_s END AS latency_s,
   {_half_up("c.cost_inr", 4)} AS cost_inr FROM qlog l LEFT JOIN costed c USING (seq)"""),
+    "log_summary_active": _with(LOG, PRICED, f"SELECT model, {_SUMMARY} FROM costed WHERE {_ACTIVE} GROUP BY model"),
+    "log_missing": _with(LOG, PRICED, f"SELECT model, {_SUMMARY} FROM costed WHERE false GROUP BY model"),
+    "pipeline_log": _with(ANSWERS, f"""prices(model, usd_in, usd_out) AS (VALUES {", ".join(f"({_text(m)}, CAST({i} AS DOUBLE), CAST({o} AS DOUBLE))" for m, i, o in v.PRICES)})""", f"""SELECT
+  CASE WHEN f.resp_id < 0 THEN -f.qid ELSE f.resp_id END AS seq, {_redact("q.question")} AS question, {_redact("f.answer")} AS answer,
+  array_to_string(f.citations, '|') AS citations, f.answered, {_redact("f.reason_if_unanswered")} AS reason_if_unanswered, r.model,
+  r.input_tokens, r.output_tokens, {_half_up(f"(r.input_tokens / 1e6 * coalesce(p.usd_in, d.usd_in) + r.output_tokens / 1e6 * coalesce(p.usd_out, d.usd_out)) * {v.USD_TO_INR}", 4)} AS cost_inr
+FROM final f JOIN q USING (qid) LEFT JOIN resp r ON r.resp_id = f.resp_id AND r.error_type IS NULL
+LEFT JOIN prices p ON p.model = r.model CROSS JOIN (SELECT * FROM prices WHERE model = {_text(v.DEFAULT_MODEL)}) d"""),
     "log_cost_rows": _with(LOG, PRICED, f"SELECT {_redact('question')} AS question, model, input_tokens, output_tokens, latency_s, {_half_up('cost_inr', 6)} AS cost_inr FROM costed"),
     "cost_report_json": _with(LOG, PRICED, f"""SELECT 'entry' AS kind, seq, model, question, input_tokens, latency_s,
   CAST(NULL AS BIGINT) AS queries_measured, CAST(NULL AS DOUBLE) AS cost_inr_per_1000_queries FROM costed
 UNION ALL SELECT 'summary', -1, model, NULL, NULL, NULL, count(*), {_half_up('avg(cost_inr) * 1000', 2)} FROM costed WHERE {_ACTIVE} GROUP BY model"""),
+    "cost_report_saved": _with(LOG, PRICED, f"""SELECT 'entry' AS kind, model, count(*) AS n, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+  CAST(NULL AS DOUBLE) AS cost_inr_per_1000_queries FROM costed GROUP BY model
+UNION ALL SELECT 'summary', model, 1, NULL, {_half_up('avg(cost_inr) * 1000', 2)} FROM costed WHERE {_ACTIVE} GROUP BY model"""),
     "cost_per_query": _with(LOG, PRICED, f"SELECT seq, model, {_half_up('cost_usd', 9)} AS cost_usd, {_half_up('cost_inr', 6)} AS cost_inr FROM costed"),
     "cost_summary_active": _with(LOG, PRICED, f"SELECT model, {_SUMMARY} FROM costed WHERE {_ACTIVE} GROUP BY model"),
     "cost_by_model": _with(LOG, PRICED, f"SELECT model, {_SUMMARY} FROM costed GROUP BY model"),
+    "cases_json": _with(Q, CASES.split(",\nscored AS")[0], """SELECT case_id, CAST(qid AS VARCHAR) AS question, expected_answered,
+  array_to_string(expected_citations, '|') AS expected_citations, array_to_string(any_of, '|') AS any_of,
+  array_to_string(required, '|') AS required, array_to_string(forbidden, '|') AS forbidden FROM cases"""),
+    "answer_report_saved": _with(ANSWERS, """SELECT answered, count(*) AS n, CAST(sum(length(CAST(to_json({'answer': answer, 'citations': citations, 'answered': answered,
+  'reason_if_unanswered': reason_if_unanswered}) AS VARCHAR))) AS BIGINT) AS n_chars FROM final GROUP BY answered"""),
     "eval_score": _with(ANSWERS, CASES, "SELECT case_id, resp_id, len(failures) = 0 AS passed, array_to_string(failures, '; ') AS failures FROM scored"),
     "eval_pass_rate": _with(ANSWERS, CASES, """SELECT CAST(coalesce(sum(CASE WHEN len(failures) = 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_passed, count(*) AS n_total,
   round(sum(CASE WHEN len(failures) = 0 THEN 1 ELSE 0 END) * 100 / CAST(nullif(count(*), 0) AS DOUBLE), 4) AS pass_pct FROM scored"""),

@@ -12,7 +12,7 @@ from ..functions import pii
 from ..functions.text import tokens
 from ..functions.vocab import ENGLISH_STOPS, PARTS
 from ..operators import costs, dense, eligibility, entities, evals, profile, redact, responses, tfidf
-from ..operators.context import context_blocks, contexts_for, no_match_answers, prompts
+from ..operators.context import context_blocks, contexts_for, no_match_answers, paragraphs, prompts
 from ..operators.joins import lookup_join
 from ..operators.ranking import best_first, top_k
 from ..operators.retrieve import CONSTRAINED, OPEN, Retrieval
@@ -48,10 +48,6 @@ def _documents(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", "text")
 
 
-def _ids(retrieval):
-    return retrieval.records.select("row_idx", "record_id")
-
-
 # ---- catalogue ---------------------------------------------------------------------------
 
 
@@ -64,6 +60,20 @@ def catalog_scan(spark, sf):
     )
 
 
+@query
+def catalog_csv(spark, sf):
+    """The catalogue as a CSV file, read back with its own schema and numbered by business key."""
+    path = fresh_path(spark, "catalog-csv")
+    views.catalog_raw(spark, sf).select(*[F.col(views.CSV_FROM[f.name]).alias(f.name) for f in catalog.CSV_SCHEMA.fields]).write.option(
+        "header", True
+    ).option("quote", '"').option("escape", '"').csv(path)
+    numbered = catalog.number_rows(catalog.read_catalog_csv(spark, path), "record_id")
+    return catalog.normalise(numbered, PARTS).select(
+        F.col("row_idx").cast("long").alias("row_idx"), "record_id", "name", "fee", "cutoff", "seats", "flag", "grade", "placement",
+        "established", "about", F.array_join("course_list", "|").alias("course_list"),
+    )
+
+
 @query
 def catalog_document(spark, sf):
     return catalog.corpus(_records(spark, sf)).select(
@@ -240,11 +250,12 @@ def _document_idf(spark, sf):
 @query
 def ngram_tf(spark, sf):
     counts = _document_counts(spark, sf)
-    return counts.groupBy("doc_id").agg(
+    found = counts.groupBy("doc_id").agg(
         F.count("*").alias("n_terms"), F.sum("tf").alias("n_occurrences"), F.max("tf").alias("max_tf"),
         F.sum(F.when(F.col("term").contains(" "), F.col("tf")).otherwise(0)).alias("n_bigrams"),
         F.max("term").alias("last_term"),
     )
+    return tfidf.with_zero_rows(_documents(spark, sf), found, "doc_id", "n_terms", "n_occurrences", "max_tf", "n_bigrams")
 
 
 @query
@@ -290,11 +301,25 @@ def tfidf_transform_frozen(spark, sf):
         F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text"
     )
     counts = tfidf.term_counts(tfidf.with_terms(turns, "text"))
-    return tfidf.norms(tfidf.weigh(counts, idf, "turn_id"), "turn_id").select(
+    found = tfidf.norms(tfidf.weigh(counts, idf, "turn_id"), "turn_id")
+    return tfidf.with_zero_rows(turns, found, "turn_id", "n_terms", "norm").select(
         "turn_id", F.col("n_terms").alias("n_known"), F.round("norm", 6).alias("norm")
     )
 
 
+@query
+def tfidf_frozen_topk(spark, sf):
+    """Conversation turns ranked for benchmark items by weights fitted on the documents."""
+    turns = views.table(spark, sf, "conversations").select(
+        F.concat_ws(":", "conv_id", "turn").alias("row_idx"), "text"
+    )
+    index = tfidf.Index(turns, "row_idx", "text", store(_document_idf(spark, sf), "idf"))
+    scored = index.scores(views.table(spark, sf, "benchmark").select("item_id", "text"), "item_id", "text")
+    return top_k(scored, ["item_id"], best_first(), K).select(
+        "item_id", F.col("rn").cast("long").alias("rn"), F.col("row_idx").alias("turn_id"), F.round("score", 6).alias("score")
+    )
+
+
 @query
 def dense_cosine_topk(spark, sf):
     vectors = views.table(spark, sf, "embeddings").select(
@@ -313,7 +338,7 @@ def dense_cosine_topk(spark, sf):
 
 
 def _with_ids(ranked, retrieval, *columns):
-    return ranked.join(_ids(retrieval), "row_idx").select(
+    return retrieval.with_ids(ranked).select(
         *columns, F.col("rn").cast("long").alias("rn"), "record_id", F.round("score", 6).alias("score")
     )
 
@@ -348,26 +373,28 @@ def retrieve_route_counts(spark, sf):
     return _retrieval(spark, sf).route_counts()
 
 
-def _blocks(run):
-    ranked = run.ranked(K).select("uq", "rn", "row_idx").unionByName(
-        run.ranked_whole().select("uq", "rn", "row_idx")
+@query
+def context_block(spark, sf):
+    run = _retrieval(spark, sf)
+    bounded = run.routed.where(~F.col("exhaustive"))
+    return contexts_for(bounded, context_blocks(run.ranked(K), run.records)).select(
+        "uq", "n_records", F.length("context").cast("long").alias("n_chars"), F.md5("context").alias("context_md5")
     )
-    return context_blocks(ranked, run.records)
 
 
 @query
-def context_block(spark, sf):
+def context_paragraphs(spark, sf):
     run = _retrieval(spark, sf)
-    return contexts_for(run.unique, _blocks(run)).select(
-        "uq", "block", "n_records", F.length("context").cast("long").alias("n_chars"), F.md5("context").alias("context_md5")
+    return paragraphs(run.ranked_whole(), run.records).select(
+        "uq", F.col("rn").cast("long").alias("rn"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5")
     )
 
 
 @query
 def prompt_rows(spark, sf):
     run = _retrieval(spark, sf)
-    return prompts(run.questions, cut(_blocks(run))).select(
-        "qid", "block", F.length("prompt").cast("long").alias("n_chars"), F.md5("prompt").alias("prompt_md5")
+    return prompts(run.questions, cut(context_blocks(run.ranked(K), run.records))).select(
+        "qid", F.length("prompt").cast("long").alias("n_chars"), F.md5("prompt").alias("prompt_md5")
     )
 
 
@@ -482,6 +509,45 @@ def log_roundtrip(spark, sf):
     )
 
 
+@query
+def log_summary_active(spark, sf):
+    """Summary of the active model from the log as it lies on disk, bad lines and all."""
+    path = fresh_path(spark, "querylog")
+    querylog.append_log(_entries(spark, sf), path)
+    _entries(spark, sf).select(
+        F.when(F.col("seq") % 3 == 0, "").when(F.col("seq") % 3 == 1, F.concat(F.lit('{"seq": '), F.col("seq"), F.lit(", broken")))
+        .otherwise(F.concat(F.lit('{"seq": '), F.col("seq") + 10**9, F.lit(', "question": "no cost"}'))).alias("value")
+    ).write.mode("append").text(path)
+    calls = costs.with_cost(querylog.measured_calls(querylog.read_log(spark, path)))
+    return costs.active_summary(calls, "seq")
+
+
+@query
+def log_missing(spark, sf):
+    """A log that was never written has no calls and no summary."""
+    rows = querylog.read_log(spark, fresh_path(spark, "no-log"))
+    return costs.cost_by_model(costs.with_cost(querylog.measured_calls(rows)))
+
+
+@query
+def pipeline_log(spark, sf):
+    """Final answers in the log, read back: no cost where no model was called or the call failed."""
+    calls = views.responses(spark, sf).where("error_type IS NULL").select(
+        "resp_id", "model", "input_tokens", "output_tokens", "latency_s"
+    )
+    asked = views.questions(spark, sf)
+    # a question's answers: as many as it got responses
+    entries = _final(spark, sf).join(calls, "resp_id", "left").join(asked, "qid").withColumn(
+        "seq", F.when(F.col("resp_id") < 0, -F.col("qid")).otherwise(F.col("resp_id"))
+    )
+    path = fresh_path(spark, "querylog")
+    querylog.append_log(costs.with_cost(entries), path)
+    return querylog.read_log(spark, path).select(
+        "seq", "question", "result.answer", F.array_join("result.citations", "|").alias("citations"), "result.answered",
+        "result.reason_if_unanswered", "cost.model", "cost.input_tokens", "cost.output_tokens", "cost.cost_inr",
+    )
+
+
 @query
 def log_cost_rows(spark, sf):
     calls = costs.with_cost(querylog.measured_calls(_logged(spark, sf)))
@@ -506,6 +572,18 @@ def cost_report_json(spark, sf):
     )
 
 
+@query
+def cost_report_saved(spark, sf):
+    """The saved report, read back from its files."""
+    path = fresh_path(spark, "cost-report")
+    costs.save_report(_measured(spark, sf), "seq", path)
+    read = lambda name, kind: F.get_json_object("value", f"$.{name}").cast(kind)
+    return spark.read.text(path).groupBy("kind", read("model", "string").alias("model")).agg(
+        F.count("*").alias("n"), F.sum(read("input_tokens", "long")).alias("input_tokens"),
+        F.max(read("cost_inr_per_1000_queries", "double")).alias("cost_inr_per_1000_queries"),
+    )
+
+
 @query
 def cost_per_query(spark, sf):
     return _measured(spark, sf).select(
@@ -526,6 +604,31 @@ def cost_by_model(spark, sf):
 # ---- evaluation --------------------------------------------------------------------------
 
 
+@query
+def cases_json(spark, sf):
+    """Cases as a JSON array on disk, absent checks left out, read back."""
+    path = fresh_path(spark, "cases")
+    wanted = case_source.from_delimited(views.cases(spark, sf))
+    renamed = wanted.withColumnsRenamed(
+        {"case_id": "id", "any_of": "expected_citations_any_of", "required": "required_substrings", "forbidden": "forbidden_substrings"}
+    ).withColumn("question", F.col("qid").cast("string"))
+    case_source.write_cases(renamed.drop("qid"), path)
+    return case_source.read_cases(spark, path).select(
+        "case_id", "question", "expected_answered", F.array_join("expected_citations", "|").alias("expected_citations"),
+        F.array_join("any_of", "|").alias("any_of"), *[F.coalesce(F.array_join(c, "|"), F.lit("")).alias(c) for c in ("required", "forbidden")],
+    )
+
+
+@query
+def answer_report_saved(spark, sf):
+    """The batch report as text in question order, read back."""
+    path = fresh_path(spark, "answers")
+    responses.save_report(_final(spark, sf), path)
+    return spark.read.text(path).groupBy(F.get_json_object("value", "$.answered").cast("boolean").alias("answered")).agg(
+        F.count("*").alias("n"), F.sum(F.length("value")).alias("n_chars")
+    )
+
+
 def _scored(spark, sf):
     wanted = case_source.from_delimited(views.cases(spark, sf))
     return evals.score(wanted, _final(spark, sf), "qid")

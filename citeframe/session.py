@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from weakref import WeakKeyDictionary
@@ -47,13 +49,36 @@ def shared_dir(spark: SparkSession) -> str:
     if current is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="citeframe-"))
+        own = tempfile.mkdtemp(prefix="citeframe-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(own)
         current = spark.sparkContext.getCheckpointDir()
     return current
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Where this application keeps what it writes between its jobs."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _on_store(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _on_store(spark, path)
+    return files.exists(place)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this application stored between its jobs, once its results are read or written."""
+    files, place = _on_store(spark, run_dir(spark))
+    files.delete(place, True)
 
 
 # payloads measured while relations were written; an entry goes when its DataFrame does
@@ -67,8 +92,13 @@ def _payload(df: DataFrame) -> list[Column]:
         kind = field.dataType.typeName()
         if kind == "string":
             text = text + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
+        elif kind == "array" and field.dataType.elementType.typeName() == "string":
+            lengths = F.transform(F.col(field.name), lambda x: F.coalesce(F.octet_length(x), F.lit(0)) + 16)
+            text = text + F.coalesce(F.aggregate(lengths, F.lit(0), lambda a, b: a + b), F.lit(0))
+        elif kind == "array" and field.dataType.elementType.typeName() not in ("array", "struct", "map", "binary"):
+            text = text + F.coalesce(F.size(F.col(field.name)), F.lit(0)) * 8
         elif kind in ("array", "struct", "map"):
-            text = text + F.octet_length(F.to_json(F.struct(F.col(field.name))))
+            text = text + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(field.name)))), F.lit(0))
     return [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(text), F.lit(0)).alias("b")]
 
 

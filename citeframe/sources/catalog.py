@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import split_list, yes_no
-from ..functions.vocab import Vocabulary
+from ..functions.vocab import MISSING, Vocabulary
 from ..functions.constraints import offered_categories
 
 CSV_SCHEMA = T.StructType(
@@ -78,22 +78,34 @@ def normalise(raw: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     )
 
 
+def shown(column: str) -> Column:
+    """A field as text; a missing one is marked, so that it never takes the record with it."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(MISSING))
+
+
+def whole(column: str) -> Column:
+    """A figure as text, without decimals where it has none."""
+    c = F.col(column)
+    return F.coalesce(F.when(c == F.floor(c), F.floor(c).cast("string")), c.cast("string"), F.lit(MISSING))
+
+
 def document() -> Column:
     """The record as one text, worded so that questions and records share terms."""
     figures = F.when(
-        F.col("placement") == 0, F.lit("placement not reported / not applicable")
+        F.coalesce("placement", F.lit(0.0)) == 0, F.lit("placement not reported / not applicable")
     ).otherwise(
         F.concat(F.lit("average placement "), F.col("placement").cast("string"), F.lit(" lakhs per annum"))
     )
     hostel = F.when(F.col("flag"), F.lit("hostel available")).otherwise(F.lit("no hostel"))
+    courses = F.coalesce(F.array_join("course_list", ", "), F.lit(MISSING))
     return F.concat(
-        F.col("name"), F.lit(" ("), F.col("record_id"), F.lit(") in "), F.col("city"), F.lit(", "),
-        F.col("state"), F.lit(". Type: "), F.col("type"), F.lit(". Courses offered: "),
-        F.array_join("course_list", ", "), F.lit(". Annual fees: Rs "), F.col("fee").cast("string"),
-        F.lit(" per year. Last year cutoff: "), F.col("cutoff").cast("string"),
-        F.lit(" percent aggregate (hard minimum). Total seats: "), F.col("seats").cast("string"),
-        F.lit(". "), hostel, F.lit(". NAAC grade: "), F.col("grade"), F.lit(". "), figures,
-        F.lit(". Established "), F.col("established").cast("string"), F.lit(". "), F.col("about"),
+        shown("name"), F.lit(" ("), shown("record_id"), F.lit(") in "), shown("city"), F.lit(", "),
+        shown("state"), F.lit(". Type: "), shown("type"), F.lit(". Courses offered: "),
+        courses, F.lit(". Annual fees: Rs "), shown("fee"),
+        F.lit(" per year. Last year cutoff: "), whole("cutoff"),
+        F.lit(" percent aggregate (hard minimum). Total seats: "), shown("seats"),
+        F.lit(". "), hostel, F.lit(". NAAC grade: "), shown("grade"), F.lit(". "), figures,
+        F.lit(". Established "), shown("established"), F.lit(". "), shown("about"),
     )
 
 

@@ -6,21 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.redact import redact_columns
+from ..session import exists
 
 COST_FIELDS = "input_tokens bigint, output_tokens bigint, latency_s double, model string, cost_inr double"
 RESULT_FIELDS = "answer string, citations array<string>, answered boolean, reason_if_unanswered string"
-SCHEMA = f"question string, result struct<{RESULT_FIELDS}>, cost struct<{COST_FIELDS}>, _corrupt_record string"
+SCHEMA = f"seq bigint, question string, result struct<{RESULT_FIELDS}>, cost struct<{COST_FIELDS}>, _corrupt_record string"
 
 
 def log_rows(entries: DataFrame) -> DataFrame:
     """Nested log rows from flat entries. Every text is masked, and only in the log: the
-    entries keep theirs. ``cost`` is NULL where no model was called."""
+    entries keep theirs. ``cost`` is NULL where no model was called; ``seq`` tells the order of
+    the calls, NULL if the entries have none."""
+    if "seq" not in entries.columns:
+        entries = entries.withColumn("seq", F.lit(None).cast("long"))
     masked = redact_columns(entries, ["question", "answer", "reason_if_unanswered"])
     cost = F.struct(
         "input_tokens", "output_tokens", "latency_s", "model", F.round("cost_inr", 4).alias("cost_inr")
     )
     return masked.select(
-        "question",
+        "seq", "question",
         F.struct("answer", "citations", "answered", "reason_if_unanswered").alias("result"),
         F.when(F.col("model").isNotNull(), cost).alias("cost"),
     )
@@ -31,9 +35,10 @@ def append_log(entries: DataFrame, path: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """All readable rows; blank and malformed lines are skipped."""
-    rows = spark.read.schema(SCHEMA).option("mode", "PERMISSIVE").json(path)
-    return readable(rows)
+    """All readable rows; blank and malformed lines are skipped, a missing log is an empty one."""
+    if not exists(spark, path):
+        return readable(spark.createDataFrame([], SCHEMA))
+    return readable(spark.read.schema(SCHEMA).option("mode", "PERMISSIVE").json(path))
 
 
 def readable(rows: DataFrame) -> DataFrame:
@@ -46,4 +51,4 @@ def measured_calls(rows: DataFrame) -> DataFrame:
     complete = F.lit(True)
     for name in needed:
         complete = complete & F.col(name).isNotNull()
-    return rows.where(complete).select(*needed)
+    return rows.where(complete).select("seq", *needed)

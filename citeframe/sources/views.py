@@ -20,16 +20,17 @@ SELECT p.p_partkey AS row_idx,
        n.n_name AS state,
        p.p_type AS type,
        concat(p.p_brand, '; ', p.p_type, ';  ; size ', CAST(p.p_size AS STRING)) AS courses,
-       CAST(round(p.p_retailprice * 100) AS BIGINT) AS fee,
-       CAST(50 + p.p_size AS DOUBLE) AS cutoff,
+       CASE WHEN p.p_partkey % 89 = 7 THEN NULL ELSE CAST(round(p.p_retailprice * 100) AS BIGINT) END AS fee,
+       CAST(50 + p.p_size AS DOUBLE) + CASE WHEN p.p_partkey % 9 = 4 THEN 0.5 ELSE 0 END AS cutoff,
        CAST(coalesce(l.n_lines, 0) AS BIGINT) AS seats,
        CASE p.p_partkey % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN ' yes ' WHEN 2 THEN 'No' END AS flag_text,
-       CASE WHEN p.p_size <= 10 THEN 'A+' WHEN p.p_size <= 30 THEN 'A' ELSE 'B++' END AS grade,
-       CASE WHEN p.p_size = 7 OR l.avg_qty IS NULL THEN CAST(0 AS DOUBLE)
+       CASE WHEN p.p_partkey % 61 = 5 THEN NULL WHEN p.p_size <= 10 THEN 'A+' WHEN p.p_size <= 30 THEN 'A' ELSE 'B++' END AS grade,
+       CASE WHEN p.p_partkey % 71 = 9 THEN NULL WHEN p.p_size = 7 OR l.avg_qty IS NULL THEN CAST(0 AS DOUBLE)
             ELSE round(l.avg_qty / 5, 1) END AS placement,
        CAST(coalesce(l.first_year, 1990) AS BIGINT) AS established,
-       concat('Ships as ', p.p_brand, ' stock in size ', CAST(p.p_size AS STRING),
-              ' for the ', lower(p.p_type), ' range.') AS about
+       CASE WHEN p.p_partkey % 53 = 3 THEN NULL ELSE
+         concat('Ships as ', p.p_brand, ' stock in size ', CAST(p.p_size AS STRING),
+                ' for the ', lower(p.p_type), ' range.') END AS about
 FROM {part} p
 JOIN {nation} n ON n.n_nationkey = p.p_partkey % 25
 LEFT JOIN (SELECT l_partkey, avg(l_quantity) AS avg_qty, count(*) AS n_lines,
@@ -40,7 +41,7 @@ LEFT JOIN (SELECT l_partkey, avg(l_quantity) AS avg_qty, count(*) AS n_lines,
 QUESTIONS = """
 SELECT qid,
   CASE template
-    WHEN 0 THEN concat('budget ', CAST(45 + j % 6 AS STRING), 'k per sem')
+    WHEN 0 THEN CASE WHEN j % 9 = 4 THEN 'budget 0k' ELSE concat('budget ', CAST(45 + j % 6 AS STRING), 'k per sem') END
     WHEN 1 THEN concat('Fees under 0.9', CAST(j % 10 AS STRING), ' lakh')
     WHEN 2 THEN concat('costing 9', CAST(j % 10 AS STRING), ',', CAST(100 + (j % 8) * 100 AS STRING), ' per year')
     WHEN 3 THEN concat('I scored ', CAST(55 + j % 40 AS STRING), '% and want ', wanted)
@@ -54,7 +55,8 @@ SELECT qid,
         ELSE concat('more ', split_part(p_name, ' ', 2), 's please') END
     WHEN 7 THEN concat('compare ', CASE j % 3 WHEN 0 THEN 'engineering' WHEN 1 THEN 'B.Tech' ELSE 'law' END,
                        ' with ', CASE j % 4 WHEN 0 THEN 'MBA' WHEN 1 THEN 'medical' WHEN 2 THEN 'design' ELSE 'media' END)
-    WHEN 8 THEN concat('score high, ', CAST(60 + j % 35 AS STRING), ' last year')
+    WHEN 8 THEN CASE j % 8 WHEN 5 THEN NULL WHEN 6 THEN 'scored 0 percent overall' WHEN 7 THEN 'placement above 0, 0 lakh budget'
+           ELSE concat('score high, ', CAST(60 + j % 35 AS STRING), ' last year') END
     WHEN 9 THEN concat(CASE WHEN j % 5 = 0 THEN 'all stock in size ' ELSE 'stock in size ' END, CAST(1 + j % 50 AS STRING), ' please')
     WHEN 10 THEN concat('min placement ', CAST(4 + j % 4 AS STRING), ' under ', CAST(92 + j % 8 AS STRING), 'k')
     ELSE 'scored 30% under 10k'
@@ -62,7 +64,7 @@ SELECT qid,
 FROM (SELECT c.c_custkey AS qid, c.c_custkey % 12 AS template,
              CAST(floor(c.c_custkey / 12) AS BIGINT) AS j, p.p_name, p.p_type,
              CASE c.c_nationkey % 3 WHEN 0 THEN 'economy' WHEN 1 THEN 'promo' ELSE 'standard' END AS wanted
-      FROM {customer} c JOIN {part} p ON p.p_partkey = c.c_custkey) q
+      FROM {customer} c LEFT JOIN {part} p ON p.p_partkey = c.c_custkey) q
 """
 
 RESPONSES = """
@@ -134,6 +136,14 @@ FROM {customer} c
 """
 
 
+# Fields of the catalogue's CSV file and the columns of the view they come from.
+CSV_FROM = {
+    "college_id": "record_id", "name": "name", "city": "city", "state": "state", "type": "type", "courses_offered": "courses",
+    "annual_fees_inr": "fee", "last_year_cutoff_pct": "cutoff", "total_seats": "seats", "hostel_available": "flag_text",
+    "naac_grade": "grade", "avg_placement_lpa": "placement", "established_year": "established", "about": "about",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

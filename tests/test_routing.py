@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 import goldens as g
 from citeframe.functions.vocab import COLLEGES
 from citeframe.operators import eligibility
-from citeframe.operators.context import context_blocks
+from citeframe.operators.context import context_blocks, paragraph, paragraphs
 from citeframe.operators.retrieve import Retrieval
-from citeframe.sources.catalog import CSV_SCHEMA, normalise, number_rows, read_catalog_csv
+from citeframe.sources.catalog import CSV_SCHEMA, document, normalise, number_rows, read_catalog_csv
 
 
 @pytest.fixture(scope="module")
@@ -82,14 +82,51 @@ def test_counts_agree_with_pairs(run):
     )
     both = eligibility.eligible_summary(sigs, run.records).join(pairs, "sid", "left")
     assert both.where("n_eligible <> coalesce(n, 0) OR coalesce(n, 0) <> coalesce(d, 0)").count() == 0
-    # also when no threshold list is shipped
-    limit = eligibility.MAX_THRESHOLDS
-    try:
-        eligibility.MAX_THRESHOLDS = 0
-        again = eligibility.eligible_summary(sigs, run.records).join(pairs, "sid", "left")
-        assert again.where("n_eligible <> coalesce(n, 0)").count() == 0
-    finally:
-        eligibility.MAX_THRESHOLDS = limit
+
+
+LIMITS = [None, 0.0, -0.0, 1.0, 70.0, 82.0, 98_000.0, 1e9, float("inf")]
+
+
+def test_odd_limits_against_every_pair(spark, records):
+    """Zero, infinite and missing limits, alone and together, also for records that lack the figure."""
+    from citeframe.operators.profile import WANTS
+
+    sparse = records.withColumns(
+        {
+            "fee": F.when(F.col("row_idx") % 4 != 1, F.col("fee")),
+            "cutoff": F.when(F.col("row_idx") % 5 != 2, F.col("cutoff")),
+            "placement": F.when(F.col("row_idx") % 6 != 3, F.col("placement")),
+        }
+    )
+    rows = [(a, b, c) for a in LIMITS for b in LIMITS for c in LIMITS if (a, b, c) != (None, None, None)]
+    wanted = spark.createDataFrame(rows, "max_fee double, own_score double, min_placement double")
+    for kind, flag, cats in ((None, False, []), ("Private", True, []), (None, False, ["mba", "law"])):
+        sigs = wanted.select(
+            F.monotonically_increasing_id().alias("sid"), F.lit(kind).cast("string").alias("want_type"),
+            F.lit(flag).alias("want_flag"), F.array(*[F.lit(c) for c in cats]).cast("array<string>").alias("want_cats"),
+            "max_fee", "own_score", "min_placement",
+        ).withColumn("sig", F.to_json(F.struct(*WANTS))).cache()
+        plain = sigs.crossJoin(sparse).where(eligibility.is_eligible()).groupBy("sid").agg(
+            F.count("*").alias("n"), F.sort_array(F.collect_list("row_idx")).alias("ids")
+        )
+        plain = {r["sid"]: list(r["ids"]) for r in plain.collect()}
+        pairs: dict[int, list[int]] = {}
+        for r in eligibility.eligible_pairs(sigs, sparse).collect():
+            pairs.setdefault(r["sid"], []).append(r["row_idx"])
+        assert {k: sorted(ids) for k, ids in pairs.items()} == plain
+        counts = {r["sid"]: r["n_eligible"] for r in eligibility.eligible_summary(sigs, sparse).collect()}
+        assert counts == {r["sid"]: len(plain.get(r["sid"], [])) for r in sigs.collect()}
+        heads: dict[int, list[int]] = {}
+        for r in eligibility.first_eligible(sigs, sparse, 3).collect():
+            heads.setdefault(r["sid"], []).append(r["row_idx"])
+        assert {k: sorted(ids) for k, ids in heads.items()} == {k: ids[:3] for k, ids in plain.items()}
+
+
+def test_nothing_eligible_is_never_padded(spark, records):
+    rows = [(0, "scored 0 percent overall"), (1, "0 lakh budget"), (2, "budget " + "9" * 400), (3, "placement above " + "9" * 400)]
+    asked = Retrieval(records, spark.createDataFrame(rows, "qid long, question string"), COLLEGES)
+    found: dict[str, int] = {r["uq"]: r["count"] for r in asked.ranked(5).groupBy("uq").count().collect()}
+    assert found == {rows[2][1]: 5}
 
 
 def test_a_further_constraint_never_widens(spark, records):
@@ -106,14 +143,19 @@ def test_a_further_constraint_never_widens(spark, records):
                 assert n[f"{a}, {b}".lower()] <= n[a], (a, b)
 
 
-def test_long_pools_are_split_into_blocks(run):
-    wide = run.ranked_whole()
-    one = context_blocks(wide, run.records)
-    many = context_blocks(wide, run.records, size=4)
-    assert one.agg(F.max("block")).first()[0] == 0
-    whole = {r["uq"]: r["context"] for r in one.collect()}
-    parts: dict[str, list[str]] = {}
-    for r in many.orderBy("uq", "block").collect():
-        assert r["n_records"] <= 4
-        parts.setdefault(r["uq"], []).append(r["context"])
-    assert {q: "\n\n".join(p) for q, p in parts.items()} == whole
+def test_paragraphs_and_blocks_tell_the_same(run):
+    top = run.ranked(5)
+    texts: dict[str, list] = {}
+    for r in paragraphs(top, run.records).collect():
+        texts.setdefault(r["uq"], []).append((r["rn"], r["text"]))
+    blocks = {r["uq"]: (r["n_records"], r["context"]) for r in context_blocks(top, run.records).collect()}
+    assert blocks == {q: (len(t), "\n\n".join(x for _, x in sorted(t))) for q, t in texts.items()}
+
+
+def test_a_record_with_missing_fields_is_kept_and_marked(run):
+    bare = run.records.where("record_id = 'C001'").withColumns(
+        {c: F.lit(None).cast(t) for c, t in (("about", "string"), ("grade", "string"), ("fee", "long"), ("placement", "double"))}
+    )
+    text = bare.select(paragraph().alias("t")).first()["t"]
+    assert text.count("not stated") == 4 and "last_year_cutoff_pct: " in text and ".0\n" not in text
+    assert bare.select(document().alias("d")).first()["d"].count("not stated") == 3
