@@ -11,7 +11,7 @@ contexts, so that each node there gives one maximal repeat with all its occurren
 Before that, occurrences with equal context (all bytes a repeat over this anchor could cover) are folded to one
 with a count by a pre-aggregated group-by: most of a large group of copies never meets as rows. Only distinct
 contexts of buckets with several of them are compared. A bucket with over ``BUCKET`` distinct contexts is not
-gathered: its windows are counted by hash over the whole cluster, with the same result.
+gathered: its windows meet by hash over the whole cluster, with the same result.
 
 Defined results: null and empty texts have no bytes and lose none; texts under ``WIDTH`` bytes lose none; repeated
 rows are occurrences of each other; an empty table gives an empty result; extra columns are ignored.
@@ -33,8 +33,10 @@ from .rows import KEYS, keyed
 
 WIDTH = 200
 GRAM = 24
-# Distinct contexts of an anchor that a task compares; beyond, windows are counted by hash.
+# Distinct contexts of an anchor that a task compares; beyond, windows meet by hash over the cluster,
 BUCKET = 4096
+# and beyond this many in salted parts.
+SPLIT = 1 << 20
 
 
 # ---- anchors -------------------------------------------------------------------------------
@@ -197,47 +199,154 @@ def bucket_cover(width: int):
     return cover
 
 
-def window_hashes(width: int):
-    """Contexts -> a row for each of their windows: two hashes and the bytes before the anchor."""
+# A crowded anchor's contexts are not gathered. Rows (anchor, place, hash of a string there) of all its contexts are
+# sorted instead, and next to each other stand those that hold the same string at the same place.
+PLACED = ["anchor", "place", "h1", "h2", "salt"]
+
+
+def placed(pick, *bounds: str):
+    """Contexts -> a row for each (place, string) that ``pick`` lists of left, right and ``bounds``."""
 
     def explode(batches):
         for batch in batches:
-            rows, offsets, hashes = [], [], []
-            for k, (left, right) in enumerate(zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())):
-                whole = left[::-1] + right
-                for before in range(max(0, width - len(right)), len(left) + 1):
-                    rows.append(k)
-                    offsets.append(before)
-                    start = len(left) - before
-                    hashes.append(xxhash.xxh3_128_digest(whole[start : start + width]))
-            halves = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("anchor").take(take), batch.column("context").take(take), pa.array(offsets, pa.int32()),
-                 pa.array(halves[:, 0]), pa.array(halves[:, 1])],
-                ["anchor", "context", "before", "h1", "h2"],
-            )
+            for start in range(0, batch.num_rows, 1000):
+                piece = batch.slice(start, 1000)
+                rows, places, digests = [], [], []
+                for k, one in enumerate(zip(*(piece.column(c).to_pylist() for c in ("left", "right", *bounds)))):
+                    for place, string in pick(*one):
+                        rows.append(k)
+                        places.append(place)
+                        digests.append(xxhash.xxh3_128_digest(string))
+                halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+                take = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*(piece.column(c).take(take) for c in ("anchor", "context", "m")), pa.array(places, pa.int32()),
+                     pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                    ["anchor", "context", "m", "place", "h1", "h2"],
+                )
 
     return explode
 
 
+def steps(width: int, gram: int) -> int:
+    return max(1, -(-(width - gram) // 8))
+
+
+def sides(width: int, gram: int):
+    """What a context has right of the anchor's start (places above 0) and left of it (below), in steps."""
+
+    def pick(left, right):
+        step = steps(width, gram)
+        for size in range(gram + step, len(right) + 1, step):
+            yield size, right[:size]
+        for size in range(step, len(left) + 1, step):
+            yield -size, left[:size]
+
+    return pick
+
+
+def windows(width: int):
+    """The windows that reach at most ``low`` bytes before the anchor and ``high`` from it on, by bytes before it."""
+
+    def pick(left, right, low, high):
+        whole = left[::-1] + right
+        for before in range(max(0, width - high), low + 1):
+            start = len(left) - before
+            yield before, whole[start : start + width]
+
+    return pick
+
+
+def neighbours(first: bool):
+    """Sorted rows -> those next to one with equal ``PLACED`` and another context; or the first of each ``PLACED``."""
+
+    def mark(batches):
+        last, known = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if last is None else pa.concat_tables([last, table])
+            columns = {c: table.column(c).to_numpy() for c in (*PLACED, "context")}
+            same = np.logical_and.reduce([columns[c][1:] == columns[c][:-1] for c in PLACED])
+            hit = np.zeros(table.num_rows, bool)
+            if first:
+                hit[1:] = ~same
+                hit[0] = last is None or known
+            else:
+                same &= columns["context"][1:] != columns["context"][:-1]
+                hit[1:] = same
+                hit[:-1] |= same
+                hit[0] |= known
+            last, known = table.slice(table.num_rows - 1), bool(hit[-1])
+            yield from table.slice(0, table.num_rows - 1).filter(pa.array(hit[:-1])).to_batches()
+        if last is not None and known:
+            yield from last.to_batches()
+
+    return mark
+
+
+def alike(contexts: DataFrame, explode, split: int) -> DataFrame:
+    """(anchor, context, place) of the strings that another context of the anchor has at the same place.
+
+    Anchors with over ``split`` contexts are salted by context; the first rows of their salts meet again without.
+    """
+
+    def meet(rows, salt, first):
+        rows = rows.withColumn("salt", salt).repartition(*PLACED).sortWithinPartitions(*PLACED, "context")
+        return rows.mapInArrow(neighbours(first), rows.schema)
+
+    salt = F.expr(f"pmod(context, ceil(m / {split}))").cast("long")
+    near = meet(contexts.mapInArrow(explode, STRINGS), salt, False)
+    crowd = meet(contexts.where(F.col("m") > split).mapInArrow(explode, STRINGS), salt, True)
+    far = meet(crowd.drop("salt"), F.lit(0).cast("long"), False)
+    return near.unionByName(far).select("anchor", "context", "place")
+
+
+def crowded_cover(contexts: DataFrame, width: int, gram: int, split: int) -> DataFrame:
+    """``bucket_cover`` for contexts of crowded anchors, spread over the cluster.
+
+    What a context shares with another on either side of the anchor, in steps, bounds the windows it can share.
+    """
+    step = steps(width, gram)
+    shared = alike(contexts, placed(sides(width, gram)), split)
+    reach = shared.groupBy(F.col("anchor").alias("_anchor"), F.col("context").alias("_context")).agg(
+        F.max(F.greatest(-F.col("place"), F.lit(0))).alias("_low"), F.max(F.greatest(F.col("place"), F.lit(gram))).alias("_high")
+    )
+    bounded = contexts.join(reach, (F.col("anchor") == F.col("_anchor")) & (F.col("context") == F.col("_context")), "left")
+    bounded = bounded.select(
+        *contexts.columns,
+        F.least(F.octet_length("left"), F.coalesce("_low", F.lit(0)) + (step - 1)).alias("low"),
+        F.least(F.octet_length("right"), F.coalesce("_high", F.lit(gram)) + (step - 1)).alias("high"),
+    )
+    bounded = store(bounded.where(F.col("low") + F.col("high") >= width), "bounded")
+    return alike(bounded, placed(windows(width), "low", "high"), split).groupBy("anchor", "context").agg(
+        F.max("place").alias("before"), (F.lit(width) - F.min("place")).cast("int").alias("after")
+    )
+
+
 # ---- operator ------------------------------------------------------------------------------
 
 
 CONTEXTS = "anchor long, context long, m long, left binary, right binary"
 COVER = "anchor long, context long, before int, after int"
-WINDOWS = "anchor long, context long, before int, h1 long, h2 long"
+STRINGS = "anchor long, context long, m long, place int, h1 long, h2 long"
 
 
 def cut_contexts(width: int, gram: int):
-    """(text, its anchors) -> a row per anchor with its contexts."""
+    """(text, its anchors) -> a row per anchor with its contexts; of repeated rows that share a task, once."""
 
     def cut(batches):
+        seen = set()
         for batch in batches:
+            names = list(zip(*(batch.column(c).to_pylist() for c in KEYS)))
             data, ends = flat(batch.column("_text"))
             raw = data.tobytes()
             spots = batch.column("spots")
             for k in range(batch.num_rows):
+                if names[k] in seen:
+                    continue
+                seen.add(names[k])
                 text = raw[ends[k] : ends[k + 1]]
                 own = spots[k].values
                 at = own.field("at").to_pylist()
@@ -252,7 +361,7 @@ def cut_contexts(width: int, gram: int):
 
 
 def covered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM,
-            bucket: int = BUCKET) -> DataFrame:
+            bucket: int = BUCKET, split: int = SPLIT) -> DataFrame:
     """(keys, start, stop): byte runs of repeated strings, overlapping, for each document that has some."""
     found = store(anchors(docs, doc_id, text, width, gram), "anchors")
     folded = found.groupBy("anchor", "context").agg(
@@ -267,19 +376,12 @@ def covered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     # of each text once, whatever number of rows repeats it, and all of its anchors
     spots = wanted.groupBy("_row_id_w", "_row_hash_w").agg(F.collect_list(F.struct("at", "anchor", "context", "m")).alias("spots"))
     cut = cut_contexts(width, gram)
-    strings = store(texts.join(spots, same).select("_text", "spots").mapInArrow(cut, CONTEXTS), "strings")
+    strings = store(texts.join(spots, same).select(*KEYS, "_text", "spots").mapInArrow(cut, CONTEXTS), "strings")
     small = strings.where(F.col("m") <= bucket).repartition("anchor").sortWithinPartitions("anchor")
     answers = small.select("anchor", "context", "left", "right").mapInArrow(bucket_cover(width), COVER)
     large = strings.where(F.col("m") > bucket)
     if not large.isEmpty():
-        windows = large.select("anchor", "context", "left", "right").mapInArrow(window_hashes(width), WINDOWS)
-        windows = store(windows.distinct(), "windows")
-        # with the anchor at the same place, equal windows of two contexts lie in two places
-        same_window = ["anchor", "before", "h1", "h2"]
-        often = windows.groupBy(*same_window).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-        wide = windows.join(often, same_window).groupBy("anchor", "context").agg(
-            F.max("before").alias("before"), (F.lit(width) - F.min("before")).cast("int").alias("after")
-        )
+        wide = crowded_cover(large, width, gram, split)
         answers = answers.unionByName(wide)
     # an occurrence with its like elsewhere is repeated as far as its context goes
     full = folded.where("n > 1").select("anchor", "context", F.lit(1 << 30).alias("before"), F.lit(1 << 30).alias("after"))
@@ -321,9 +423,9 @@ def removal(texts: pa.Array, runs: pa.Array) -> pa.Array:
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM,
-           bucket: int = BUCKET) -> DataFrame:
+           bucket: int = BUCKET, split: int = SPLIT) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the runs (starts, stops)."""
-    runs = covered(docs, doc_id, text, width, gram, bucket)
+    runs = covered(docs, doc_id, text, width, gram, bucket, split)
     gathered = runs.groupBy(*KEYS).agg(F.collect_set(F.struct("start", "stop")).alias("_runs"))
     gathered = gathered.select(F.col("_row_id").alias("_i"), F.col("_row_hash").alias("_h"), "_runs")
     own = keyed(docs, doc_id, text).select(*KEYS, text_column(docs, text).alias("_text"))

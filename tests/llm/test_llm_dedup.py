@@ -160,14 +160,14 @@ def removed(texts, width):
     return out
 
 
-@pytest.mark.parametrize("bucket", [repeats.BUCKET, 2])
-def test_repeats_match_brute_force(spark, bucket):
+@pytest.mark.parametrize("bucket, split", [(repeats.BUCKET, repeats.SPLIT), (2, repeats.SPLIT), (2, 3)])
+def test_repeats_match_brute_force(spark, bucket, split):
     core = prose(60, 200)
     texts = [(i, t[:6000] if t else t) for i, t in odd_texts()]
     # a common passage with other bytes around it, cut at every place
     texts += [(200 + k, prose(300 + k, 20) + core[k * 7 : 700 + k * 11] + prose(400 + k, 20)) for k in range(20)]
     want = Counter((i, *r) for (i, _), r in zip(texts, removed([(t or "").encode() for _, t in texts], 200)))
-    got = repeats.report(documents(spark, texts), bucket=bucket)
+    got = repeats.report(documents(spark, texts), bucket=bucket, split=split)
     assert Counter(tuple(r)[:5] for r in got.collect()) == want
 
 
