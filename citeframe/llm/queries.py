@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, exact_dedup, language, licenses, mixing, pii, repeats, simhash, toxicity
+from . import chunk_dedup, decontaminate, exact_dedup, fim, language, licenses, mixing, pii, repeats, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,6 +78,14 @@ def op10_chunk_dedup(spark, sf_dir):
     return chunk_dedup.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_fill_in_middle(spark, sf_dir):
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    digest = {"output_sha256": F.col("output"), "restored_sha256": fim.restored(F.col("output"), F.col("form"))}
+    made = made.withColumns({name: F.sha2(value.cast("binary"), 256) for name, value in digest.items()})
+    return made.drop("output")
+
+
 # ---- SQL -------------------------------------------------------------------------------------
 
 ORACLES["op8_exact_dedup"] = r"""
@@ -109,3 +117,22 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+
+# The restored text is the text itself: the round trip is exact.
+ORACLES["op13_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || CAST(doc_id AS VARCHAR)) AS h,
+                  regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+c AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS UBIGINT) % (len(u) + 1) AS a, CAST('0x' || h[9:16] AS UBIGINT) % (len(u) + 1) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                       OR CAST('0x' || h[17:24] AS UBIGINT) % 100 >= 50 THEN 'plain'
+                  WHEN CAST('0x' || h[25:32] AS UBIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, coalesce(array_to_string(u[1:least(a, b)], ''), '') AS pre,
+             coalesce(array_to_string(u[least(a, b) + 1:greatest(a, b)], ''), '') AS mid,
+             coalesce(array_to_string(u[greatest(a, b) + 1:n], ''), '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
