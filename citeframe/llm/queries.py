@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, exact_dedup, fim, language, licenses, mixing, pii, repeats, simhash, toxicity
+from . import chunk_dedup, decontaminate, exact_dedup, fim, language, licenses, minhash, mixing, pii, repeats, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,6 +78,11 @@ def op10_chunk_dedup(spark, sf_dir):
     return chunk_dedup.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_fill_in_middle(spark, sf_dir):
     made = fim.transform(table(spark, sf_dir, "documents"))
@@ -136,3 +141,19 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix
        sha256(text) AS restored_sha256
 FROM p
 """
+
+# Sets meet by their shingles; components by the smallest id reachable.
+ORACLES["op11_minhash_near_dedup"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(ws[i:i + 3], ' ')) AS h
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 3) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s AS a JOIN s AS b ON a.h = b.h AND a.doc_id <> b.doc_id
+      JOIN n AS na ON na.doc_id = a.doc_id JOIN n AS nb ON nb.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+r AS (SELECT doc_id, doc_id AS root FROM documents
+      UNION SELECT l.b AS doc_id, r.root FROM r JOIN l ON l.a = r.doc_id)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept
+FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
