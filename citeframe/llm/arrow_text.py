@@ -40,6 +40,17 @@ def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[np.ndarr
         first = last
 
 
+def runs(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, length) of consecutive runs of texts of at most ``limit`` bytes or one text."""
+    _, ends = flat(texts)
+    first = 0
+    while first < len(texts):
+        last = int(ends.searchsorted(ends[first] + limit, side="right")) - 1
+        last = min(max(last, first + 1), len(texts))
+        yield first, last - first
+        first = last
+
+
 def folding_table(kept: bytes | None = None) -> bytes:
     """256 bytes for ``bytes.translate``: A-Z to a-z; with ``kept``, all ASCII outside it to a space."""
     table = bytearray(range(256))

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import flat, text_column
+from .arrow_text import runs, text_column
 
 SEED = 42
 # Per cent of texts that are transformed, and of these, that put the suffix first.
@@ -88,17 +88,6 @@ def transformed(texts: pa.Array, h1: pa.Array, h2: pa.Array, h3: pa.Array, h4: p
     return pa.StructArray.from_arrays([n, form, *sizes, output], ["n", "form", "prefix_chars", "middle_chars", "output"])
 
 
-def runs(texts: pa.Array, limit: int = RUN_BYTES):
-    """(start, length) of consecutive runs of texts of at most ``limit`` bytes or one text."""
-    _, ends = flat(texts)
-    first = 0
-    while first < len(texts):
-        last = int(ends.searchsorted(ends[first] + limit, side="right")) - 1
-        last = min(max(last, first + 1), len(texts))
-        yield first, last - first
-        first = last
-
-
 def draws(doc_id: Column, seed: int) -> list[Column]:
     """The first four 8-digit groups of the hash of seed and id, as unsigned integers."""
     digits = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"), 256)
@@ -115,7 +104,7 @@ def transform(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed:
         texts = texts.cast(pa.string())
         parts = [
             transformed(texts.slice(a, size), *(h.slice(a, size) for h in (h1, h2, h3, h4)), rate, suffix_first)
-            for a, size in runs(texts)
+            for a, size in runs(texts, RUN_BYTES)
         ]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([
             ("n", pa.int64()), ("form", pa.string()), ("prefix_chars", pa.int64()), ("middle_chars", pa.int64()), ("output", pa.string()),

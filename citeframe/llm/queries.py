@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, exact_dedup, fim, language, licenses, minhash, mixing, pii, repeats, simhash, toxicity
+from . import alignment, chunk_dedup, decontaminate, exact_dedup, fim, language, licenses, minhash, mixing, pii, repeats, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,6 +83,11 @@ def op11_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_cross_tokenizer_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"))[0]
+
+
 @query
 def op13_fill_in_middle(spark, sf_dir):
     made = fim.transform(table(spark, sf_dir, "documents"))

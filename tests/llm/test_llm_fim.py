@@ -6,7 +6,7 @@ import re
 import pytest
 from cases import documents, empty, odd, odd_texts, prose
 
-from citeframe.llm import fim, queries
+from citeframe.llm import arrow_text, fim, queries
 
 UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 
@@ -43,13 +43,13 @@ def test_fim_matches_brute_force_and_round_trips(spark, rate, suffix_first):
     assert {r["form"] for r in rows} == {"plain", "spm", "psm"}
 
 
-def test_fim_works_in_runs_and_on_empty_tables(spark, monkeypatch):
+def test_fim_works_in_runs_and_on_empty_tables(spark):
     assert fim.transform(empty(spark)).columns == ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"]
     assert fim.transform(empty(spark)).count() == 0
     import pyarrow as pa
 
     texts = pa.array(["abc", None, "", "x" * 50, "y"])
-    assert list(fim.runs(texts, 4)) == [(0, 3), (3, 1), (4, 1)]
+    assert list(arrow_text.runs(texts, 4)) == [(0, 3), (3, 1), (4, 1)]
 
 
 def test_fim_query_hashes_its_outputs(spark, tmp_path):
