@@ -116,6 +116,20 @@ def test_multiplicity_planes_add_up():
     assert [links[k] for k in range(5)] == times.tolist()
 
 
+def test_both_engines_give_the_same_ids():
+    files = [(FOLDER / name).read_bytes() for name in (alignment.BYTE_FILE, alignment.PIECE_FILE)]
+    both = alignment.Tokenizers(*files)
+    assert both.fast is not None
+    rng = np.random.default_rng(2)
+    settled = [chr(c) for c in range(1, 0xD800) if alignment.SETTLED.fullmatch(chr(c))]
+    some = settled[:400] + list("  \n\t'stdmlvre  0123 ..!?") * 40
+    texts = ["".join(rng.choice(alphabet, rng.integers(1, 60))) for alphabet in (settled, some) for _ in range(3000)]
+    texts += [prose(k, 40) for k in range(50)] + [t for _, t in odd_tokens() if t]
+    slow = [x.ids for x in both.a.encode_batch(texts, add_special_tokens=False)]
+    assert both.encode_a(texts) == slow
+    assert sum(alignment.SETTLED.fullmatch(t) is not None for t in texts) > 6000
+
+
 def test_empty_table(spark):
     got, pairs = alignment.align(empty(spark))
     assert got.count() == 0 and pairs.count() == 0
