@@ -11,10 +11,11 @@ Each class is posted under its coordinate-value pairs. Two sets of Jaccard simil
 * collisions of classes that meet are counted over the whole signatures, abandoned half way where hopeless, and
   pairs above the threshold and within the exact size bound stay.
 
-Links are confirmed on full sets. First each class is tested against its best partner with a smaller number, which
-connects groups of near copies by fewer links than members. Lists that still hold several components are merged
-once more; whatever meets there across two components is tested, in tiles of bounded size, until one link
-joins them. So no link between components is lost, and no group is written as all its pairs.
+Links are confirmed on full sets. First each class is tested against its best partner of smaller number, which
+connects groups of near copies by fewer links than members. Candidates also make clusters of classes, a
+spanning forest for each list. In clusters that hold several components still, the classes outside the largest are
+asked against all others, in blocks of bounded size, until one link joins two components. So no link between
+components is lost, and no group is written as all its pairs.
 
 Defined results: null and empty texts and texts without words have empty sets and are linked with nothing;
 texts of fewer words than a shingle have one element, all their words; repeated rows are separate rows of one
@@ -34,7 +35,7 @@ from ..session import store
 from .arrow_text import pieces, text_column
 from .components import components
 from .rows import KEYS, keyed, one_of_each
-from .simhash import shingle_hashes
+from .simhash import hook, shingle_hashes
 
 SHINGLE = 4
 SEED = 42
@@ -42,10 +43,12 @@ SEED = 42
 PERCENT = 80
 COORDINATES = 64
 MATCHES = 34
-# Classes of a list that meet in one task; longer lists are dealt out.
-TILE = 1024
-# Members of two components that are tested against each other in one task
-TEST_TILE = 64
+# Classes of a list that meet in one task; longer lists are cut to tiles. Followers of a leader are dealt out likewise.
+TILE = 4096
+# Classes outside a cluster's largest component that are asked together, and classes they are asked against in one task
+BLOCK, STRETCH = 128, 8192
+# Streamed classes compared at once, and full sets tested between two looks at what is joined already
+STREAMED, ASKED = 512, 32
 # Pairs compared at once
 COMPARED = 1 << 16
 # Small tables are replicated up to this payload.
@@ -163,20 +166,18 @@ def prefixes(classes: DataFrame, matches: int) -> DataFrame:
     return store(own.select("cid", F.explode(first).alias("p")).select("p.key", "cid", "p.freq"), "prefixes")
 
 
-def dealt(lists: DataFrame, carried: DataFrame, columns: list[str], pairwise: bool, tile: int) -> DataFrame:
-    """Lists with the columns of their classes, sorted by list for a task. Lists over ``tile`` are dealt out:
-    ``pairwise`` so that any two classes meet, else so that each meets some."""
-    joined = lists.join(carried, "cid")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("freq") / (tile // 2 if pairwise else tile))).cast("int")
-    here = F.pmod(F.xxhash64("cid", "key"), parts).cast("int")
-    if pairwise:
-        there = F.when(F.col("freq") > tile, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(here))
-        tiles = joined.withColumn("_here", F.when(F.col("freq") > tile, here).otherwise(0)).withColumn("_there", F.explode(there))
-        pair = F.when(F.col("freq") > tile, F.xxhash64(F.least("_here", "_there"), F.greatest("_here", "_there"))).otherwise(0)
-        joined = tiles.withColumn("part", pair)
-    else:
-        joined = joined.withColumn("part", here.cast("long"))
-    return joined.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "cid", *columns)
+def dealt(lists: DataFrame, classes: DataFrame, tile: int) -> DataFrame:
+    """Lists with the sizes and signatures of their classes, sorted for a task. Lists over ``tile`` are cut to tiles,
+    one for each pair of halves of a tile, so that any two classes still meet."""
+    joined = lists.join(classes.select("cid", "n", "sig"), "cid")
+    long = F.col("freq") > tile
+    parts = F.ceil(F.col("freq") / (tile // 2)).cast("int")
+    here = F.when(long, F.pmod(F.xxhash64("cid", "key"), parts).cast("int")).otherwise(0)
+    there = F.when(long, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
+    tiles = joined.withColumn("_here", here).withColumn("_there", F.explode(there))
+    part = F.when(long, F.xxhash64(F.least("_here", "_there"), F.greatest("_here", "_there"))).otherwise(0)
+    dealt_out = tiles.withColumn("part", part).repartition("key", "part").sortWithinPartitions("key", "part", "cid")
+    return dealt_out.select("key", "part", "cid", "n", "sig")
 
 
 def collisions(i: np.ndarray, j: np.ndarray, sigs: np.ndarray, matches: int):
@@ -194,8 +195,8 @@ def collisions(i: np.ndarray, j: np.ndarray, sigs: np.ndarray, matches: int):
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def meetings(ends: np.ndarray, n: np.ndarray, sigs: np.ndarray, matches: int, percent: int, other=None):
-    """Pairs (i, j, collisions), i < j, within each list; lists end at ``ends``. ``other``: only pairs that differ in it."""
+def meetings(ends: np.ndarray, n: np.ndarray, sigs: np.ndarray, matches: int, percent: int):
+    """Pairs (i, j, collisions), i < j, within each list; lists end at ``ends``."""
     starts = np.concatenate(([0], ends[:-1]))
     row_end = np.repeat(ends, ends - starts)
     step, left = 1, np.arange(len(n))
@@ -205,8 +206,6 @@ def meetings(ends: np.ndarray, n: np.ndarray, sigs: np.ndarray, matches: int, pe
             return
         i, j = left, left + step
         fit = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
-        if other is not None:
-            fit &= other[i] != other[j]
         yield collisions(i[fit], j[fit], sigs, matches)
         step += 1
 
@@ -237,9 +236,9 @@ def split(table: pa.Table) -> tuple[pa.Table, pa.Table]:
     return table.slice(0, last), table.slice(last)
 
 
-def best_partners(lists: DataFrame, classes: DataFrame, matches: int, percent: int, tile: int) -> DataFrame:
-    """(x, y): for each class that meets candidates, that of smaller number that it agrees with most, null if all
-    have larger ones."""
+def partners(lists: DataFrame, classes: DataFrame, matches: int, percent: int, tile: int) -> DataFrame:
+    """(x, y, roots) for each class that meets candidates: y is the one of smaller number that it agrees with most
+    (null if all have larger ones), roots the smallest members of the trees that candidates make of its lists."""
 
     def best(batches):
         for ends, (cid, n, sig) in lists_of(batches, ["cid", "n", "sig"]):
@@ -247,46 +246,21 @@ def best_partners(lists: DataFrame, classes: DataFrame, matches: int, percent: i
             score = np.zeros(len(cid), np.int64)
             partner = np.full(len(cid), -1, np.int64)
             met = np.zeros(len(cid), bool)
+            tree = np.arange(len(cid))
             for i, j, count in meetings(ends, n, sigs, matches, percent):
-                # a step pairs each row with one other at most, to either side
-                for x, y in ((i, j), (j, i)):
-                    met[x] = True
-                    better = (cid[x] > cid[y]) & ((count > score[x]) | (count == score[x]) & (cid[y] < partner[x]))
-                    score[x[better]], partner[x[better]] = count[better], cid[y[better]]
+                met[i] = met[j] = True
+                tree = hook(tree, i, j)
+                # lists are sorted by class; a step pairs each row with one before it at most
+                better = (cid[i] < cid[j]) & ((count > score[j]) | (count == score[j]) & (cid[i] < partner[j]))
+                score[j[better]], partner[j[better]] = count[better], cid[i[better]]
             got = np.flatnonzero(met)
-            yield pa.RecordBatch.from_arrays([pa.array(cid[got]), pa.array(partner[got]), pa.array(score[got])], ["x", "y", "m"])
+            columns = [cid[got], partner[got], score[got], cid[tree[got]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["x", "y", "m", "root"])
 
-    met = dealt(lists, classes.select("cid", "n", "sig"), ["n", "sig"], False, tile)
-    met = met.mapInArrow(best, "x long, y long, m long")
-    best_of = met.groupBy("x").agg(F.max(F.struct("m", (-F.col("y")).alias("y"))).alias("b"))
-    return best_of.select("x", F.when(F.col("b.m") > 0, -F.col("b.y")).alias("y"))
-
-
-def triples(rows: np.ndarray) -> pa.RecordBatch:
-    rows = np.unique(rows, axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], ["lo", "hi", "cid"])
-
-
-def crossings(lists: DataFrame, classes: DataFrame, matches: int, percent: int, tile: int) -> DataFrame:
-    """(lo, hi, cid): classes of component lo or hi that meet a candidate of the other one. ``classes`` has comp."""
-    mixed = lists.join(classes.select("cid", "comp"), "cid").groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
-    mixed = store(mixed.where("a <> b").select("key"), "mixed")
-    lists = lookup_join(lists, mixed, ["key"], ["cid"], limit=REPLICATED)
-
-    def cross(batches):
-        for ends, (cid, n, sig, comp) in lists_of(batches, ["cid", "n", "sig", "comp"]):
-            cid, n, sigs, comp = np.asarray(cid), np.asarray(n), fixed(sig, np.uint32), np.asarray(comp)
-            held = np.zeros((0, 3), np.int64)
-            for i, j, _ in meetings(ends, n, sigs, matches, percent, comp):
-                lo, hi = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
-                held = np.concatenate((held, np.stack((lo, hi, cid[i]), axis=1), np.stack((lo, hi, cid[j]), axis=1)))
-                if len(held) > COMPARED:
-                    yield triples(held)
-                    held = held[:0]
-            yield triples(held)
-
-    met = dealt(lists, classes.select("cid", "n", "sig", "comp"), ["n", "sig", "comp"], True, tile)
-    return met.mapInArrow(cross, "lo long, hi long, cid long").distinct()
+    met = dealt(lists, classes, tile).mapInArrow(best, "x long, y long, m long, root long")
+    # a class stands in at most as many lists as it has coordinates, or tiles of them
+    found = met.groupBy("x").agg(F.max(F.struct("m", (-F.col("y")).alias("y"))).alias("b"), F.collect_set("root").alias("roots"))
+    return found.select("x", F.when(F.col("b.m") > 0, -F.col("b.y")).alias("y"), "roots")
 
 
 # ---- confirming links ----------------------------------------------------------------------
@@ -367,54 +341,79 @@ def confirmed_partners(pairs: DataFrame, sets: DataFrame, percent: int) -> DataF
     return rows.select("y", "salt", "role", "cid", "shingles").mapInArrow(confirm, "a long, b long")
 
 
-def confirmed_crossings(met: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
-    """(lo, hi) of components that a link joins. ``met``: (lo, hi, cid), ``comps``: (cid, comp)."""
-
-    def confirm(batches):
-        for group in groups_of(batches):
-            lo, hi = group[0][0], group[0][1]
-            left = [np.frombuffer(s, np.uint64) for _, _, upper, s in group if not upper]
-            right = [s for _, _, upper, s in group if upper]
-            if not left or not right:
-                continue
-            values, sizes = np.frombuffer(b"".join(right), np.uint64), np.array([len(s) // 8 for s in right])
-            if any(similar(one, values, sizes, percent).any() for one in left):
-                yield pa.RecordBatch.from_pydict({"a": pa.array([lo], pa.int64()), "b": pa.array([hi], pa.int64())})
+def crossings(members: DataFrame, sets: DataFrame, matches: int, percent: int, block: int, stretch: int) -> DataFrame:
+    """(a, b): components of one cluster that a link joins. ``members``: (cid, cluster, comp, sig) of all classes that
+    have candidates. Classes outside a cluster's largest component are asked against all its classes: blocks
+    of them are held, the classes stream by in stretches."""
+    sizes = store(members.groupBy("cluster", "comp").agg(F.count("*").alias("n")), "sizes")
+    largest = sizes.groupBy("cluster").agg(
+        F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("comps")
+    ).where("comps > 1")
+    shape = largest.select(
+        "cluster", F.col("top.comp").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("blocks"),
+        F.ceil(F.col("all") / stretch).cast("int").alias("stretches"),
+    )
+    mixed = store(lookup_join(members, store(shape, "clusters"), ["cluster"], ["cid"], limit=REPLICATED), "mixed")
+    h = F.xxhash64("cid", F.lit(3))
+    asked = mixed.where("comp <> top").withColumn("block", F.pmod(h, F.col("blocks")).cast("int"))
+    asked = asked.withColumn("stretch", F.explode(F.sequence(F.lit(0), F.col("stretches") - 1)))
+    stream = mixed.withColumn("stretch", F.pmod(h, F.col("stretches")).cast("int"))
+    stream = stream.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["cluster", "block", "stretch"]
+    rows = asked.select(*keys, F.lit(0).alias("role"), "cid", "comp", "sig").unionByName(
+        stream.select(*keys, F.lit(1).alias("role"), "cid", "comp", "sig")
+    )
+    rows = rows.join(sets, "cid").repartition(*keys).sortWithinPartitions(*keys, "role")
 
-    def groups_of(batches):
-        key, held = None, []
+    def test(batches):
+        key, held, joined = None, None, set()
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("lo", "hi", "t", "u", "upper", "shingles")]
-            for lo, hi, t, u, upper, s in zip(*columns):
-                if (lo, hi, t, u) != key and held:
-                    yield held
-                    held = []
-                key = lo, hi, t, u
-                held.append((lo, hi, upper, s))
-        if held:
-            yield held
-
-    sided = store(met.join(comps, "cid").select("lo", "hi", "cid", (F.col("comp") == F.col("hi")).alias("upper")), "crossings")
-    counts = sided.groupBy("lo", "hi").agg(F.count_if("upper").alias("ups"), F.count_if(~F.col("upper")).alias("lows"))
-    counts = counts.select(
-        "lo", "hi", F.ceil(F.col("lows") / tile).cast("int").alias("ts"), F.ceil(F.col("ups") / tile).cast("int").alias("us")
-    ).where("ts > 1 or us > 1")
-    tiled = lookup_join(sided, store(counts, "crowded"), ["lo", "hi"], ["cid"], "left", limit=REPLICATED)
-    tiled = tiled.withColumns({"ts": F.coalesce("ts", F.lit(1)), "us": F.coalesce("us", F.lit(1))})
-    h = F.xxhash64("cid", F.lit(3))
-    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    one_of = lambda n: F.array(F.pmod(h, F.col(n)).cast("int"))
-    tiled = tiled.withColumn("t", F.explode(F.when(F.col("upper"), all_of("ts")).otherwise(one_of("ts"))))
-    tiled = tiled.withColumn("u", F.explode(F.when(F.col("upper"), one_of("us")).otherwise(all_of("us"))))
-    rows = tiled.join(sets, "cid").repartition("lo", "hi", "t", "u").sortWithinPartitions("lo", "hi", "t", "u")
-    return rows.select("lo", "hi", "t", "u", "upper", "shingles").mapInArrow(confirm, "a long, b long").distinct()
+            names = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in (*keys, "role")], axis=1)
+            edges = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
+            for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(names)]):
+                if start == stop:
+                    continue
+                part, here = batch.slice(start, stop - start), tuple(names[start, :3].tolist())
+                if here != key:
+                    key, held, joined = here, [], set()
+                if names[start, 3] == 0:
+                    held.append(part)
+                    continue
+                before = len(joined)
+                for at in range(0, part.num_rows, STREAMED):
+                    ask(held, part.slice(at, STREAMED), joined, matches, percent)
+                if len(joined) > before:
+                    yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in joined]), "b": pa.array([b for _, b in joined])})
+
+    return rows.select(*keys, "role", "comp", "sig", "shingles").mapInArrow(test, "a long, b long").distinct()
+
+
+def ask(held: list[pa.RecordBatch], stream: pa.RecordBatch, joined: set, matches: int, percent: int) -> None:
+    """Tests the held classes against the streamed ones of other components; adds pairs of components to ``joined``,
+    each as soon as one link is found."""
+    comps, sigs = np.asarray(stream.column("comp")), fixed(stream.column("sig"), np.uint32)
+    shingles = stream.column("shingles").to_pylist()
+    sizes = np.fromiter((len(v) // 8 for v in shingles), np.int64, len(shingles))
+    for part in held:
+        for comp, sig, own in zip(part.column("comp").to_pylist(), fixed(part.column("sig"), np.uint32), part.column("shingles").to_pylist()):
+            one = np.frombuffer(own, np.uint64)
+            count = (sigs == sig).sum(axis=1)
+            fit = np.minimum(sizes, len(one)) * 100 >= np.maximum(sizes, len(one)) * percent
+            open_ = np.flatnonzero((count >= matches) & fit & (comps != comp))
+            open_ = open_[np.argsort(-count[open_], kind="stable")]
+            while len(open_):
+                open_ = open_[[(min(comp, c), max(comp, c)) not in joined for c in comps[open_].tolist()]]
+                now, open_ = open_[:ASKED], open_[ASKED:]
+                if len(now):
+                    hit = similar(one, np.frombuffer(b"".join([shingles[k] for k in now.tolist()]), np.uint64), sizes[now], percent)
+                    joined.update((min(comp, c), max(comp, c)) for c in comps[now[hit]].tolist())
 
 
 # ---- operator ------------------------------------------------------------------------------
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT,
-            matches: int = MATCHES, tile: int = TILE, test_tile: int = TEST_TILE) -> DataFrame:
+            matches: int = MATCHES, tile: int = TILE, block: int = BLOCK, stretch: int = STRETCH) -> DataFrame:
     """A row per document: KEYS, n, component_id and class, which names its component; empty sets have their own id
     and class."""
     slim = store(signatures(docs, doc_id, text, width), "slim")
@@ -424,21 +423,21 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     )
     classes = store(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     lists = prefixes(classes, matches)
-    pairs = store(best_partners(lists, classes, matches, percent, tile), "partners")
-    # classes of lists that are dealt out may have partners that they have not met yet
-    wanted = pairs.select(F.col("x").alias("cid")).unionByName(lists.where(F.col("freq") > tile).select("cid")).distinct()
-    wanted = store(classes.join(wanted, "cid").select("of._row_id", "of._row_hash", "cid"), "wanted")
+    met = store(partners(lists, classes, matches, percent, tile), "partners")
+    wanted = store(classes.join(met.select(F.col("x").alias("cid")), "cid").select("of._row_id", "of._row_hash", "cid"), "wanted")
     sets = full_sets(docs, doc_id, text, width, wanted)
-    pairs = pairs.where("y is not null")
-    links = store(confirmed_partners(pairs, sets, percent), "confirmed")
-    first = store(components(links), "components")
-    comps = classes.join(first.withColumnRenamed("node", "cid"), "cid", "left")
-    comps = store(comps.select("cid", "n", "sig", F.coalesce("root", "cid").alias("comp")), "comps")
-    met = crossings(lists, comps, matches, percent, tile)
-    across = store(confirmed_crossings(met, comps.select("cid", "comp"), sets, percent, test_tile), "across")
+    links = store(confirmed_partners(met.where("y is not null").select("x", "y"), sets, percent), "confirmed")
+    comps = components(links).select(F.col("node").alias("cid"), F.col("root").alias("comp"))
+    near = components(met.select(F.col("x").alias("a"), F.explode("roots").alias("b")))
+    clusters = near.select(F.col("node").alias("cid"), F.col("root").alias("cluster"))
+    members = met.select(F.col("x").alias("cid")).join(clusters, "cid", "left").join(comps, "cid", "left")
+    members = members.select("cid", F.coalesce("cluster", "cid").alias("cluster"), F.coalesce("comp", "cid").alias("comp"))
+    members = store(members.join(classes.select("cid", "sig"), "cid"), "members")
+    across = store(crossings(members, sets, matches, percent, block, stretch), "across")
     merged = components(across).select(F.col("node").alias("comp"), F.col("root").alias("top"))
-    final = comps.select("cid", "comp").join(merged, "comp", "left").select("cid", F.coalesce("top", "comp").alias("top"))
-    final = store(classes.select("cid", "digest", "least", "rows").join(final, "cid"), "final")
+    tops = members.select("cid", "comp").join(merged, "comp", "left").select("cid", F.coalesce("top", "comp").alias("top"))
+    final = classes.join(tops, "cid", "left").select("cid", "digest", "least", "rows", F.coalesce("top", "cid").alias("top"))
+    final = store(final, "final")
     roots = final.groupBy("top").agg(F.min("least").alias("component_id"), F.count("*").alias("of_top"))
     total = slim.count()
     hot = max(256, total // 10_000)

@@ -64,11 +64,11 @@ def near_copies():
     return texts
 
 
-@pytest.mark.parametrize("tile,test_tile", [(1024, 64), (8, 2)])
-def test_near_duplicates_match_brute_force(spark, tile, test_tile):
+@pytest.mark.parametrize("tile,block,stretch", [(4096, 128, 8192), (8, 3, 5)])
+def test_near_duplicates_match_brute_force(spark, tile, block, stretch):
     texts = odd_texts() + near_copies()
     want, _ = expected(texts)
-    got = minhash.near_duplicates(documents(spark, texts), tile=tile, test_tile=test_tile).collect()
+    got = minhash.near_duplicates(documents(spark, texts), tile=tile, block=block, stretch=stretch).collect()
     assert Counter(tuple(r) for r in got) == want
 
 
@@ -77,7 +77,7 @@ def test_links_across_components_are_tested_even_if_no_best_partner_links(spark)
     base = prose(70, 300).split()
     texts = [(k, edited(base, 6, k)) for k in range(30)]
     want, _ = expected(texts)
-    got = minhash.near_duplicates(documents(spark, texts), tile=4, test_tile=1).collect()
+    got = minhash.near_duplicates(documents(spark, texts), tile=4, block=1, stretch=2).collect()
     assert Counter(tuple(r) for r in got) == want
 
 
