@@ -46,7 +46,7 @@ MATCHES = 34
 # Classes of a list that meet in one task; longer lists are cut to tiles. Followers of a leader are dealt out likewise.
 TILE = 4096
 # Classes outside a cluster's largest component that are asked together, and classes they are asked against in one task
-BLOCK, STRETCH = 128, 8192
+BLOCK, STRETCH = 128, 1024
 # Streamed classes compared at once, and full sets tested between two looks at what is joined already
 STREAMED, ASKED = 512, 32
 # Pairs compared at once
@@ -277,7 +277,8 @@ def full_sets(docs: DataFrame, doc_id: str, text: str, width: int, wanted: DataF
             yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(found, pa.binary())], ["cid", "shingles"])
 
     whole = keyed(docs, doc_id, text).select("_row_id", "_row_hash", text_column(docs, text).alias("_text"))
-    mine = whole.join(
+    # by shuffles at every size: the wanted keys grow with the documents
+    mine = whole.hint("merge").join(
         wanted.withColumnsRenamed({"_row_id": "_i", "_row_hash": "_h"}),
         F.col("_row_id").eqNullSafe(F.col("_i")) & (F.col("_row_hash") == F.col("_h")),
     )
