@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
-from ..session import cut
+from ..session import cut, store
 from ..sources.catalog import shown, whole
 from .joins import lookup_join
 
+if TYPE_CHECKING:
+    from .retrieve import Retrieval
+
+# Between two paragraphs of a context
+SEPARATOR = "\n\n"
+
 
 def paragraph() -> Column:
     """One record, labelled with its id, every figure verbatim."""
@@ -41,7 +49,7 @@ def context_blocks(ranked: DataFrame, records: DataFrame) -> DataFrame:
     return (
         paragraphs(ranked, records).groupBy("uq")
         .agg(F.array_sort(F.collect_list(F.struct("rn", "text"))).alias("_p"))
-        .select("uq", F.size("_p").cast("long").alias("n_records"), F.array_join(F.col("_p.text"), "\n\n").alias("context"))
+        .select("uq", F.size("_p").cast("long").alias("n_records"), F.array_join(F.col("_p.text"), SEPARATOR).alias("context"))
     )
 
 
@@ -63,6 +71,54 @@ def prompts(questions: DataFrame, blocks: DataFrame) -> DataFrame:
     return lookup_join(questions, blocks, ["uq"], ["qid"]).select("qid", filled.alias("prompt"))
 
 
+def prompt_parts(run: Retrieval, k: int) -> DataFrame:
+    """(qid, part, kind, pool, first, last, n_chars, text) for each question that has records, bounded or exhaustive; its
+    prompt is its parts in order.
+
+    Part 0 is the head; a part of kind ``record`` has the number of its record's rank; one of kind ``range`` stands for
+    the places ``first`` to ``last`` of ``pool``, in order, and has the rank of the first of them; the question comes
+    last. A paragraph that is not the first brings the blank line before it along. So a prompt is complete without
+    being put together in one row, and pools that questions share are not written out for each.
+    """
+    texts = cut(run.records.select("row_idx", paragraph().alias("text")))
+    none = {"pool": F.lit(None).cast("string"), "first": F.lit(None).cast("long"), "last": F.lit(None).cast("long")}
+    names = cut(run.unique.select("uid", "uq"))
+    scored = lookup_join(run.whole.scored.select("uid", "rn", "row_idx"), names, ["uid"], ["row_idx"]).drop("uid")
+    shown_one_by_one = run.ranked(k).select("rn", "row_idx", "uq").unionByName(scored.select("rn", "row_idx", "uq"))
+    lead = F.when(F.col("rn") > 1, SEPARATOR).otherwise("")
+    records = lookup_join(shown_one_by_one, texts, ["row_idx"], ["uq"]).select(
+        "uq", F.col("rn").cast("long").alias("part"), F.lit("record").alias("kind"), F.concat(lead, "text").alias("text")
+    )
+    records = records.withColumns({**none, "n_chars": F.length("text").cast("long"), "n": F.lit(1).cast("long")})
+    size = F.col("last") - F.col("first") + 1
+    gaps = len(SEPARATOR) * (size - F.when(F.col("rn") == 1, 1).otherwise(0))
+    ranges = lookup_join(run.whole.ranges(), names, ["uid"], ["first"]).select(
+        "uq", F.col("rn").cast("long").alias("part"), F.lit("range").alias("kind"), F.lit(None).cast("string").alias("text"), "pool",
+        "first", "last", (F.col("chars") + gaps).alias("n_chars"), size.alias("n"),
+    )
+    body = store(records.unionByName(ranges), "parts")
+    sizes = cut(body.groupBy("uq").agg(F.sum("n").alias("n")))
+    asked = cut(lookup_join(run.questions.select("qid", "question", "uq"), sizes, ["uq"], ["qid"]))
+    ends = F.explode(
+        F.array(
+            F.struct(F.lit(0).cast("long").alias("part"), F.lit("head").alias("kind"), F.lit(v.PROMPT_HEAD).alias("text")),
+            F.struct(
+                (F.col("n") + 1).alias("part"), F.lit("question").alias("kind"),
+                F.concat(F.lit(v.PROMPT_QUESTION), F.coalesce("question", F.lit("")), F.lit(v.PROMPT_TAIL)).alias("text"),
+            ),
+        )
+    )
+    frame = asked.select("qid", ends.alias("e")).select("qid", "e.*").withColumns({**none, "n_chars": F.length("text").cast("long")})
+    shared = lookup_join(body.drop("n"), cut(asked.select("qid", "uq")), ["uq"], ["part"]).drop("uq")
+    return frame.unionByName(shared)
+
+
+def pool_texts(run: Retrieval) -> DataFrame:
+    """(pool, place, text): what the ranges of ``prompt_parts`` stand for."""
+    texts = cut(run.records.select("row_idx", paragraph().alias("text")))
+    return lookup_join(run.whole.dictionary, texts, ["row_idx"], ["pool"]).select("pool", "place", "text")
+
+
 def no_match_answers(negatives: DataFrame) -> DataFrame:
     """The fixed answer for questions whose constraints nothing meets."""
     return negatives.select(

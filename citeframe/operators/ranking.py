@@ -52,6 +52,28 @@ def distributed_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column
     )
 
 
+def placed(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """Adds ``place``, the row number in the group by ``order`` (distinct within it), and ``before``, the sum of ``value`` over
+    the rows before, without gathering a group in one task: each range partition numbers and sums its own rows and
+    is shifted by the partitions before it."""
+    ranged = cut(df.repartitionByRange(group, order).withColumn("_part", F.spark_partition_id()))
+    own = Window.partitionBy("_part", group).orderBy(order)
+    # one row per (partition, group): at most groups + partitions rows
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_part", group).agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
+    offsets = totals.select(
+        "_part", group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_rows"),
+        F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_sum"),
+    )
+    numbered = ranged.withColumns({
+        "_rn": F.row_number().over(own),
+        "_own": F.coalesce(F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    })
+    return numbered.join(offsets, ["_part", group]).select(
+        *df.columns, (F.col("_rows") + F.col("_rn")).alias("place"), (F.col("_sum") + F.col("_own")).alias("before")
+    )
+
+
 def running_sum(df: DataFrame, group: str, order: str, value: str, out: str) -> DataFrame:
     """Sum of ``value`` over the rows of the group up to and with this one, in ``order`` (distinct
     within a group), without gathering a group in one task: each range partition sums its own rows

@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import ENGLISH_STOPS, Vocabulary
-from ..session import cut, payload_bytes, shuffle_partitions, store
+from ..session import cut, payload_bytes, store
 from ..sources.catalog import document
-from .eligibility import eligible_pairs, first_eligible, is_eligible, nothing_wanted, signatures
+from .eligibility import first_eligible, is_eligible, nothing_wanted, signatures
 from .entities import match_names, name_key
 from .joins import lookup_join
+from .pools import WholePools
 from .profile import WANTS, lowered, profiled_questions
-from .ranking import best_first, distributed_rank, top_k
+from .ranking import best_first, top_k
 from .tfidf import Index, cosine_pairs, top_pairs
 
 NAMED, CONSTRAINED, OPEN = "named", "constrained", "open"
@@ -77,27 +78,17 @@ class Retrieval:
         """(uid, name_key) of the named questions in ``asked``."""
         return self.named.join(asked.select("uq", "uid"), "uq").select("uid", "name_key")
 
+    def pools(self, exhaustive: bool) -> WholePools:
+        return WholePools(self, self.routed.where(F.col("exhaustive") == exhaustive))
+
+    @cached_property
+    def whole(self) -> WholePools:
+        """What exhaustive questions are answered from."""
+        return self.pools(exhaustive=True)
+
     def pool(self, exhaustive: bool) -> DataFrame:
         """(uid, row_idx) written out: as large as the answer to an exhaustive question."""
-        names = cut(self._named_pool(self._asked(NAMED, exhaustive)))
-        named = lookup_join(self.records.select("row_idx", "name_key"), names, ["name_key"], ["row_idx"])
-        limited = self._asked(CONSTRAINED, exhaustive)
-        sigs = signatures(limited)
-        members = cut(limited.select("uid", "sig").join(sigs.select("sid", "sig"), "sig").select("uid", "sid"))
-        constrained = lookup_join(eligible_pairs(sigs, self.records), members, ["sid"], ["row_idx"])
-        # Every record answers every open question: a row for each is the result itself. Records
-        # are dealt into shares, each of which meets the questions once.
-        shares = shuffle_partitions(self.records)
-        wanted = self._asked(OPEN, exhaustive).select(
-            "uid", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")
-        )
-        dealt = self.records.select("row_idx", F.pmod(F.xxhash64("row_idx"), F.lit(shares)).cast("int").alias("share"))
-        opened = lookup_join(dealt, cut(wanted), ["share"], ["row_idx"])
-        return (
-            named.select("uid", "row_idx")
-            .unionByName(constrained.select("uid", "row_idx"))
-            .unionByName(opened.select("uid", "row_idx"))
-        )
+        return self.pools(exhaustive).members()
 
     def first_of_pool(self, asked: DataFrame, k: int) -> DataFrame:
         """(uid, row_idx): each pool's first k records in catalogue order, pools left unformed."""
@@ -145,7 +136,8 @@ class Retrieval:
 
     def _spelled(self, ranked: DataFrame) -> DataFrame:
         """Question texts back in place of their numbers."""
-        return ranked.join(self.unique.select("uid", "uq"), "uid").select("uq", "rn", "row_idx", "score")
+        texts = cut(self.unique.select("uid", "uq"))
+        return lookup_join(ranked, texts, ["uid"], ["row_idx"]).select("uq", "rn", "row_idx", "score")
 
     def ranked(self, k: int, asked: DataFrame | None = None) -> DataFrame:
         """(uq, rn, row_idx, score): the k best of each pool; records without a shared term score
@@ -163,16 +155,21 @@ class Retrieval:
 
     def ranked_whole(self) -> DataFrame:
         """(uq, rn, row_idx, score) for exhaustive questions: the whole pool, however large."""
-        scored = self.scores(self.routed.where("exhaustive"))
-        whole = self.pool(exhaustive=True).join(scored, ["uid", "row_idx"], "left").withColumn(
-            "score", F.coalesce("score", F.lit(0.0))
-        )
-        # stored, as the range partitioner reads its input twice
-        return self._spelled(distributed_rank(store(whole, "pools"), ["uid"], best_first()))
-
-    def with_ids(self, ranked: DataFrame) -> DataFrame:
+        return self._spelled(self.whole.ranked())
+
+    def ranked_by_question(self, k: int) -> DataFrame:
+        """(qid, rn, row_idx, score) for every question, bounded or exhaustive. Equal questions share their rows
+        until here."""
+        ranked = store(self.ranked(k).unionByName(self.ranked_whole()), "answers")
+        sizes = cut(ranked.groupBy("uq").agg(F.max("rn").alias("n")))
+        asked = lookup_join(self.questions.select("qid", "uq"), sizes, ["uq"], ["qid"])
+        # a row for each rank of each question, which then finds its record
+        ranks = asked.select("qid", "uq", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("rn"))
+        return lookup_join(ranks, ranked, ["uq", "rn"], ["qid"]).select("qid", "rn", "row_idx", "score")
+
+    def with_ids(self, ranked: DataFrame, asker: str = "uq") -> DataFrame:
         """Adds ``record_id``; records that pad many answers don't gather in one task."""
-        return lookup_join(ranked, cut(self.records.select("row_idx", "record_id")), ["row_idx"], ["uq"])
+        return lookup_join(ranked, cut(self.records.select("row_idx", "record_id")), ["row_idx"], [asker])
 
     def asked_as(self, route: str) -> DataFrame:
         """Distinct questions put on one route: all of them on the open one (constraints lifted),

@@ -206,6 +206,17 @@ CONTEXT = f"""para AS (SELECT row_idx, concat('[', record_id, '] ', {_shown('nam
 blocks AS (SELECT kept.uq, count(*) AS n_records, string_agg(txt, concat(chr(10), chr(10)) ORDER BY rn) AS context
   FROM kept JOIN para USING (row_idx) JOIN uprof u ON u.uq = kept.uq AND NOT u.exhaustive GROUP BY kept.uq)"""
 
+# Records that score, one by one; the others of an exhaustive question's pool as ranges of places between those.
+PARTS = ",\n".join([KEPT, CONTEXT.split(",\nblocks AS")[0], """laid AS (SELECT k.uq, k.rn, k.row_idx, u.exhaustive, txt,
+    NOT u.exhaustive OR round(k.score, 9) > 0 AS alone, row_number() OVER (PARTITION BY k.uq ORDER BY k.row_idx) AS place
+  FROM kept k JOIN para USING (row_idx) JOIN uprof u ON u.uq = k.uq),
+gapped AS (SELECT *, sum(CASE WHEN alone THEN 1 ELSE 0 END) OVER (PARTITION BY uq ORDER BY place) AS gap FROM laid),
+parts AS (SELECT uq, rn AS part, 'record' AS kind, CAST(NULL AS BIGINT) AS first_place, CAST(NULL AS BIGINT) AS last_place,
+    length(t) AS n_chars, md5(t) AS text_md5
+  FROM (SELECT *, concat(CASE WHEN rn > 1 THEN concat(chr(10), chr(10)) ELSE '' END, txt) AS t FROM gapped WHERE alone) a
+  UNION ALL SELECT uq, min(rn), 'range', min(place), max(place),
+    CAST(sum(length(txt) + 2) - CASE WHEN min(rn) = 1 THEN 2 ELSE 0 END AS BIGINT), NULL FROM gapped WHERE NOT alone GROUP BY uq, gap)"""])
+
 RESP = f"resp AS ({_view(views.RESPONSES)})"
 _TRIMMED = "regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g')"
 _OBJECT = f"""CASE WHEN regexp_extract({_TRIMMED}, '(?s)\\{{.*\\}}') <> '' THEN regexp_extract({_TRIMMED}, '(?s)\\{{.*\\}}') ELSE {_TRIMMED} END"""
@@ -416,6 +427,14 @@ FROM ordered o JOIN para USING (row_idx) WHERE o.exhaustive"""),
     "prompt_rows": _with(RANKED, KEPT, CONTEXT, f"""SELECT qid, length(t) AS n_chars, md5(t) AS prompt_md5 FROM (
   SELECT p.qid, concat({_text(v.PROMPT_HEAD)}, b.context, {_text(v.PROMPT_QUESTION)}, coalesce(p.question, ''), {_text(v.PROMPT_TAIL)}) AS t
   FROM prof p JOIN blocks b ON b.uq = p.uq) x"""),
+    "prompt_parts": _with(RANKED, PARTS, f"""SELECT qid, part, kind, first_place, last_place, n_chars, text_md5 FROM parts JOIN prof p USING (uq)
+UNION ALL SELECT p.qid, 0, 'head', NULL, NULL, length({_text(v.PROMPT_HEAD)}), md5({_text(v.PROMPT_HEAD)}) FROM prof p WHERE uq IN (SELECT uq FROM kept)
+UNION ALL SELECT qid, n + 1, 'question', NULL, NULL, length(t), md5(t) FROM (
+  SELECT p.qid, k.n, concat({_text(v.PROMPT_QUESTION)}, coalesce(p.question, ''), {_text(v.PROMPT_TAIL)}) AS t
+  FROM prof p JOIN (SELECT uq, count(*) AS n FROM kept GROUP BY uq) k ON k.uq = p.uq) x"""),
+    "prompt_sizes": _with(RANKED, PARTS, f"""SELECT p.qid, length(concat({_text(v.PROMPT_HEAD)}, c.context, {_text(v.PROMPT_QUESTION)}, coalesce(p.question, ''), {_text(v.PROMPT_TAIL)})) AS n_chars, c.n_records
+FROM prof p JOIN (SELECT uq, count(*) AS n_records, string_agg(txt, concat(chr(10), chr(10)) ORDER BY rn) AS context FROM laid GROUP BY uq) c ON c.uq = p.uq"""),
+    "retrieve_all": _with(RANKED, KEPT, "SELECT p.qid, k.rn, k.record_id, round(k.score, 6) AS score FROM prof p JOIN kept k ON k.uq = p.uq"),
     "json_object_extract": _with(RESP, f"SELECT resp_id, {_OBJECT} AS object FROM resp"),
     "response_validate": _with(RESP, VALID, "SELECT resp_id, answer, array_to_string(citations, '|') AS citations, answered, reason_if_unanswered, valid, quarantined FROM val"),
     "citation_check": _with(ANSWERS, "SELECT resp_id, cites AS citations, dropped FROM checked"),

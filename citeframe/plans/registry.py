@@ -11,7 +11,7 @@ from ..functions import constraints as C
 from ..functions import pii
 from ..functions.text import tokens
 from ..functions.vocab import ENGLISH_STOPS, PARTS
-from ..operators import costs, dense, eligibility, entities, evals, profile, redact, responses, tfidf
+from ..operators import context, costs, dense, eligibility, entities, evals, profile, redact, responses, tfidf
 from ..operators.context import context_blocks, contexts_for, no_match_answers, paragraphs, prompts
 from ..operators.joins import lookup_join
 from ..operators.ranking import best_first, top_k
@@ -398,6 +398,31 @@ def prompt_rows(spark, sf):
     )
 
 
+@query
+def prompt_parts(spark, sf):
+    """Every question that has records: its prompt in parts."""
+    return context.prompt_parts(_retrieval(spark, sf), K).select(
+        "qid", "part", "kind", F.col("first").alias("first_place"), F.col("last").alias("last_place"), "n_chars",
+        F.md5("text").alias("text_md5"),
+    )
+
+
+@query
+def prompt_sizes(spark, sf):
+    """The length of every question's prompt, added up from its parts."""
+    parts = context.prompt_parts(_retrieval(spark, sf), K)
+    return parts.groupBy("qid").agg(
+        F.sum("n_chars").alias("n_chars"), (F.max("part") - 1).alias("n_records"),
+    )
+
+
+@query
+def retrieve_all(spark, sf):
+    """Every question's records, bounded or exhaustive."""
+    run = _retrieval(spark, sf)
+    return run.with_ids(run.ranked_by_question(K), "qid").select("qid", "rn", "record_id", F.round("score", 6).alias("score"))
+
+
 # ---- responses ---------------------------------------------------------------------------
 
 

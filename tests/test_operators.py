@@ -10,7 +10,7 @@ from citeframe import session
 from citeframe.functions.vocab import PRICES
 from citeframe.operators import costs, entities, evals, responses, tfidf
 from citeframe.operators.joins import lookup_join
-from citeframe.operators.ranking import best_first, distributed_rank, top_k
+from citeframe.operators.ranking import best_first, distributed_rank, placed, top_k
 from citeframe.sources import cases as case_source
 from citeframe.sources import querylog
 
@@ -48,6 +48,17 @@ def test_distributed_rank_matches_the_window(spark):
     assert whole.where(F.col("rn") != 5000 - F.col("row_idx")).count() == 0
 
 
+def test_placed_matches_the_window(spark):
+    df = spark.range(5000).select(
+        (F.col("id") * 7919 % 5000).alias("row_idx"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("g"),
+        (F.col("id") % 11).alias("size"),
+    )
+    w = Window.partitionBy("g").orderBy("row_idx")
+    want = df.withColumn("place", F.row_number().over(w)).withColumn("before", F.sum("size").over(w) - F.col("size"))
+    got = placed(df, "g", "row_idx", "size")
+    assert rows(got.select("g", "row_idx", "place", "before")) == rows(want.select("g", "row_idx", "place", "before"))
+
+
 def brute_force_names(questions, names, stops):
     import re
 

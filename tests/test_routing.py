@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import goldens as g
 from citeframe.functions.vocab import COLLEGES
 from citeframe.operators import eligibility
-from citeframe.operators.context import context_blocks, paragraph, paragraphs
+from citeframe.functions import vocab as v
+from citeframe.operators.context import context_blocks, paragraph, paragraphs, pool_texts, prompt_parts
 from citeframe.operators.retrieve import Retrieval
 from citeframe.sources.catalog import CSV_SCHEMA, document, normalise, number_rows, read_catalog_csv
 
@@ -75,6 +76,50 @@ def test_ranking_stays_in_the_pool(run):
             assert len(got) == min(5, len(pool)) and set(got) <= pool, q
 
 
+def test_prompt_parts_put_together_are_the_prompts(spark, records):
+    """Of all questions with records: bounded ones, and exhaustive ones over every kind of pool."""
+    asked = [q for q, _, _ in g.ROUTES] + ["any zzz", "Any ZZZ", "every zzz with fees under 2 lakh", "any bca zzz"]
+    run = Retrieval(records, spark.createDataFrame(list(enumerate(asked)), "qid long, question string"), COLLEGES)
+    texts = {r["row_idx"]: r["text"] for r in records.select("row_idx", paragraph().alias("text")).collect()}
+    ranked: dict[int, list[tuple[int, int]]] = {}
+    for r in run.ranked_by_question(5).collect():
+        ranked.setdefault(r["qid"], []).append((r["rn"], r["row_idx"]))
+    places = {(r["pool"], r["place"]): r["text"] for r in pool_texts(run).collect()}
+    got: dict[int, list] = {}
+    for r in prompt_parts(run, 5).orderBy("qid", "part").collect():
+        got.setdefault(r["qid"], []).append(r)
+    empty = {i for i, (_, _, pool) in enumerate(g.ROUTES) if not pool}
+    assert got.keys() == ranked.keys() == set(range(len(asked))) - empty
+    kinds = set()
+    for qid, parts in got.items():
+        said = ""
+        for r in parts:
+            kinds.add(r["kind"])
+            if r["kind"] == "range":
+                own = [places[r["pool"], k] for k in range(r["first"], r["last"] + 1)]
+                text = ("\n\n" if r["part"] > 1 else "") + "\n\n".join(own)
+            else:
+                text = r["text"]
+            assert len(text) == r["n_chars"]
+            said += text
+        context = "\n\n".join(texts[row] for _, row in sorted(ranked[qid]))
+        assert said == v.PROMPT_HEAD + context + v.PROMPT_QUESTION + asked[qid] + v.PROMPT_TAIL
+    assert kinds == {"head", "record", "range", "question"}
+
+
+def test_pools_are_shared_and_ranges_sparse(spark, records):
+    """Many questions over one pool: no row a member, however large the pool."""
+    asked = ["show every college", "SHOW EVERY COLLEGE", "list each place", "all with hostel", "all hostel ones", "any zzz", None]
+    run = Retrieval(records, spark.createDataFrame(list(enumerate(asked)), "qid long, question string"), COLLEGES)
+    sizes = {r["pool"].split(":")[0]: r["n"] for r in run.whole.sizes.collect()}
+    assert sizes["open"] == 15 and run.whole.dictionary.count() == sum(r["n"] for r in run.whole.sizes.collect())
+    scored, ranges = run.whole.scored.groupBy("uid").count(), run.whole.ranges().groupBy("uid").count()
+    counts = ranges.withColumnRenamed("count", "r").join(scored, "uid", "left").fillna(0)
+    assert counts.where("r > count + 1").count() == 0
+    whole = run.ranked_whole().groupBy("uq").agg(F.count("*").alias("n"), F.countDistinct("rn").alias("d"), F.max("rn").alias("m"))
+    assert whole.where("n <> d or n <> m").count() == 0 and whole.count() >= 4
+
+
 def test_counts_agree_with_pairs(run):
     sigs = eligibility.signatures(run.unique)
     pairs = eligibility.eligible_pairs(sigs, run.records).groupBy("sid").agg(
