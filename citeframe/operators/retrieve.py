@@ -21,7 +21,7 @@ from .joins import lookup_join
 from .pools import WholePools
 from .profile import WANTS, lowered, profiled_questions
 from .ranking import best_first, top_k
-from .tfidf import Index, cosine_pairs, top_pairs
+from .tfidf import Index, cosine_pairs
 
 NAMED, CONSTRAINED, OPEN = "named", "constrained", "open"
 RECORD_SIDE = ("row_idx", "name_key", "type", "flag", "categories", "fee", "cutoff", "placement")
@@ -124,7 +124,8 @@ class Retrieval:
         if k is None:
             by_rule = cosine_pairs(counts, norms, free, "uid", "row_idx", where=is_eligible())
         else:
-            by_rule = top_pairs(counts, norms, free, "uid", "row_idx", k, where=is_eligible())
+            sides = self.records.select(*[c for c in RECORD_SIDE if c != "name_key"])
+            by_rule = self.index.block_max(free).top_pairs(free, "uid", k, sides, is_eligible())
         names = self._named_pool(asked.where(F.col("route") == NAMED))
         by_name = cosine_pairs(
             counts.select("row_idx", "name_key", "term", "tf"), norms, cut(vector.join(names, "uid")),

@@ -11,14 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens, with_bigrams
 from ..functions.vocab import ENGLISH_STOPS
 from ..session import cut, fits_broadcast, part_of, shuffle_partitions, store
+from .blockmax import BlockMax
 from .joins import lookup_join
-from .ranking import top_k
-
-# Terms in more than this share of the texts are kept out of the first pass of a top-k.
-COMMON_SHARE = 1 / 10
-# Scores are compared at nine decimals; bounds leave room for that.
-MARGIN = 1e-8
-
 
 def with_terms(
     texts: DataFrame, text: str, stops: Sequence[str] = ENGLISH_STOPS, bigrams: bool = True
@@ -75,20 +69,21 @@ def weigh(counts: DataFrame, idf: DataFrame, spread: str) -> DataFrame:
 
 
 def norms(weighed: DataFrame, key: str) -> DataFrame:
-    """(key, norm, n_terms): Euclidean length of each text's tf-idf vector."""
+    """(key, norm, n_terms, lead): Euclidean length of each text's tf-idf vector, and its heaviest term."""
     w = F.col("tf") * F.col("idf")
-    return weighed.groupBy(key).agg(F.sqrt(F.sum(w * w)).alias("norm"), F.count("*").alias("n_terms"))
+    return weighed.groupBy(key).agg(
+        F.sqrt(F.sum(w * w)).alias("norm"), F.count("*").alias("n_terms"), F.max(F.struct(w, "term"))["term"].alias("lead")
+    )
 
 
 def query_vector(queries: DataFrame, idf: DataFrame, key: str, text: str, **options) -> DataFrame:
-    """(key, term, df, coef, is_common), cut: the normalised query weight with the record side's idf
+    """(key, term, coef), cut: the normalised query weight with the record side's idf
     folded in, so scoring needs only raw counts from the record side."""
     counts = term_counts(with_terms(queries.select(key, text), text, **options))
-    is_common = F.col("df") > F.col("n_docs") * COMMON_SHARE
-    weighed = lookup_join(counts, idf.select("term", "df", "n_docs", "idf"), ["term"], [key]).withColumn("is_common", is_common)
+    weighed = lookup_join(counts, idf.select("term", "df", "n_docs", "idf"), ["term"], [key])
     w = F.col("tf") * F.col("idf")
     length = F.sqrt(F.sum(w * w).over(Window.partitionBy(key)))
-    return cut(weighed.select(key, "term", "df", (w * F.col("idf") / length).alias("coef"), "is_common"))
+    return cut(weighed.select(key, "term", (w * F.col("idf") / length).alias("coef")))
 
 
 def cosine_pairs(
@@ -102,6 +97,7 @@ def cosine_pairs(
     Vectors too large for that are met by a salted shuffle on the term. Rows are divided by their
     document's norm before they are multiplied into pairs.
     """
+    doc_norms = doc_norms.select(doc_key, "norm")
     if fits_broadcast(vector):
         asked_terms = F.broadcast(vector.select(*on).distinct())
         # The number is spelled out because adaptive execution would otherwise merge partitions
@@ -114,55 +110,6 @@ def cosine_pairs(
     )
 
 
-def top_pairs(
-    counts: DataFrame, doc_norms: DataFrame, vector: DataFrame, query_key: str, doc_key: str, k: int,
-    where: Column | None = None,
-) -> DataFrame:
-    """(query, doc, score): exact scores of at least every pair among a query's k best.
-
-    A common term joins a query to a large share of the documents but can add little. Scores over
-    the other terms give a k-th best so far; where the most that common terms could add to any
-    document stays below it, a document without a rarer term cannot be among the k best, and of
-    the others only those within that reach are scored in full. The remaining queries are scored
-    against everything they share a term with.
-    """
-    order = [F.col("score").desc(), F.col(doc_key).asc()]
-    rare = part_of(vector.where(~F.col("is_common")), vector)
-    common = vector.where("is_common")
-    terms = F.broadcast(common.select("term").distinct()) if fits_broadcast(vector) else common.select("term").distinct()
-    peaks = (
-        counts.select(doc_key, "term", "tf").join(terms, "term", "left_semi").join(doc_norms, doc_key)
-        .groupBy("term").agg(F.max(F.col("tf") / F.col("norm")).alias("peak"))
-    )
-    reach = common.join(peaks, "term").groupBy(query_key).agg(F.sum(F.col("coef") * F.col("peak")).alias("reach"))
-    kth = (
-        top_k(cosine_pairs(counts, doc_norms, rare, query_key, doc_key, where=where), [query_key], order, k)
-        .groupBy(query_key).agg(F.count("*").alias("n"), F.min("score").alias("kth"))
-    )
-    within = F.coalesce("reach", F.lit(0.0)) + MARGIN
-    bounds = cut(
-        vector.select(query_key).distinct().join(kth, query_key, "left").join(reach, query_key, "left")
-        .select(query_key, (F.col("kth") - within).alias("floor"),
-                F.coalesce((F.col("n") >= k) & (within < F.col("kth")), F.lit(False)).alias("settled"))
-    )
-    settled = bounds.where("settled").select(query_key, "floor")
-    open_queries = bounds.where(~F.col("settled")).select(query_key)
-    near = cut(
-        cosine_pairs(
-            counts, doc_norms, part_of(rare.join(settled, query_key, "left_semi"), vector), query_key, doc_key, where=where
-        ).join(settled, query_key).where("score >= floor").select(query_key, doc_key)
-    )
-    scaled = lookup_join(counts.select(doc_key, "term", "tf"), near, [doc_key], [doc_key, "term"]).join(
-        doc_norms.select(doc_key, "norm"), doc_key
-    )
-    completed = (
-        lookup_join(scaled, part_of(vector.select(query_key, "term", "coef"), vector), [query_key, "term"], [doc_key])
-        .groupBy(query_key, doc_key).agg(F.sum(F.col("tf") / F.col("norm") * F.col("coef")).alias("score"))
-    )
-    rest = part_of(vector.join(open_queries, query_key, "left_semi"), vector)
-    return completed.unionByName(cosine_pairs(counts, doc_norms, rest, query_key, doc_key, where=where))
-
-
 def with_zero_rows(keys: DataFrame, found: DataFrame, key: str, *numbers: str) -> DataFrame:
     """A row for every key: a text without (known) terms has the zero vector."""
     rest = [c for c in found.columns if c not in (key, *numbers)]
@@ -192,8 +139,19 @@ class Index:
 
     @cached_property
     def doc_norms(self) -> DataFrame:
-        """(key, norm), written once: a row per text."""
-        return store(self.norms().select(self.key, "norm"), "norms")
+        """(key, norm, lead), written once: a row per text."""
+        return store(self.norms().select(self.key, "norm", "lead"), "norms")
+
+    def block_max(self, vector: DataFrame) -> BlockMax:
+        """Postings of the terms of ``vector`` (cut) in blocks with their largest impacts."""
+        asked = part_of(vector.select("term").distinct(), vector)
+        counts = lookup_join(self.counts.select(self.key, "term", "tf"), asked, ["term"], [self.key], "left_semi")
+        return BlockMax(part_of(counts, self.counts), self.doc_norms, self.key)
+
+    def top_pairs(self, queries: DataFrame, key: str, text: str, k: int) -> DataFrame:
+        """(query key, doc key, score): exact scores of at least every pair among a query's k best."""
+        vector = self.vector(queries, key, text)
+        return self.block_max(vector).top_pairs(vector, key, k)
 
     def vector(self, queries: DataFrame, key: str, text: str) -> DataFrame:
         return query_vector(queries, self.idf, key, text, **self.options)

@@ -272,14 +272,14 @@ def tfidf_norms(spark, sf):
     )
 
 
-def _benchmark_scores(spark, sf):
-    index = tfidf.Index(_documents(spark, sf), "doc_id", "text")
-    return index.scores(views.table(spark, sf, "benchmark").select("item_id", "text"), "item_id", "text")
+def _items(spark, sf):
+    return views.table(spark, sf, "benchmark").select("item_id", "text")
 
 
 @query
 def tfidf_cosine(spark, sf):
-    return _benchmark_scores(spark, sf).groupBy("item_id").agg(
+    index = tfidf.Index(_documents(spark, sf), "doc_id", "text")
+    return index.scores(_items(spark, sf), "item_id", "text").groupBy("item_id").agg(
         F.count("*").alias("n_docs"), F.round(F.max("score"), 6).alias("max_score"),
         F.round(F.sum("score"), 6).alias("sum_score"),
     )
@@ -287,7 +287,8 @@ def tfidf_cosine(spark, sf):
 
 @query
 def tfidf_topk(spark, sf):
-    scored = _benchmark_scores(spark, sf).withColumnRenamed("doc_id", "row_idx")
+    index = tfidf.Index(_documents(spark, sf), "doc_id", "text")
+    scored = index.top_pairs(_items(spark, sf), "item_id", "text", K).withColumnRenamed("doc_id", "row_idx")
     return top_k(scored, ["item_id"], best_first(), K).select(
         "item_id", F.col("rn").cast("long").alias("rn"), F.col("row_idx").alias("doc_id"),
         F.round("score", 6).alias("score"),
@@ -314,7 +315,7 @@ def tfidf_frozen_topk(spark, sf):
         F.concat_ws(":", "conv_id", "turn").alias("row_idx"), "text"
     )
     index = tfidf.Index(turns, "row_idx", "text", store(_document_idf(spark, sf), "idf"))
-    scored = index.scores(views.table(spark, sf, "benchmark").select("item_id", "text"), "item_id", "text")
+    scored = index.top_pairs(_items(spark, sf), "item_id", "text", K)
     return top_k(scored, ["item_id"], best_first(), K).select(
         "item_id", F.col("rn").cast("long").alias("rn"), F.col("row_idx").alias("turn_id"), F.round("score", 6).alias("score")
     )
