@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import ENGLISH_STOPS, Vocabulary
-from ..session import cut, payload_bytes, store
+from ..session import cut, part_of, payload_bytes, store
 from ..sources.catalog import document
 from .eligibility import first_eligible, is_eligible, nothing_wanted, signatures
 from .entities import match_names, name_key
@@ -57,7 +57,8 @@ class Retrieval:
     @cached_property
     def named(self) -> DataFrame:
         """(uq, name_key), cut for reuse."""
-        return cut(match_names(self.unique.select("uq"), self.records, self.vocabulary.name_stops))
+        texts = part_of(self.unique.select("uq", F.col("uid").alias("n")), self.unique)
+        return cut(match_names(texts, self.records, self.vocabulary.name_stops))
 
     @cached_property
     def routed(self) -> DataFrame:

@@ -274,3 +274,35 @@ def test_cost_stream_equals_batch(spark, tmp_path):
         latest = spark.read.parquet(str(tmp_path / "out")).drop("epoch")
         assert rows(latest.select(batch.columns)) == rows(batch)
         querylog.append_log(entries, path)
+
+
+def test_substrings_by_their_rarest_gram(spark):
+    rng = random.Random(8)
+    word = lambda a, b: "".join(rng.choices("abc é", k=rng.randint(a, b)))
+    texts, patterns = {word(0, 14) for _ in range(150)}, {word(1, 6) for _ in range(120)} | {"zzz", "abcz"}
+    t = spark.createDataFrame([(x,) for x in texts], "t string")
+    p = spark.createDataFrame([(x,) for x in patterns], "p string")
+    assert rows(entities.substring_pairs(t, p)) == sorted((x, y) for x in texts for y in patterns if y in x)
+    assert entities.substring_pairs(t, p.limit(0)).count() == 0
+
+
+def test_a_long_question_makes_rows_for_its_words_not_their_pairs(spark):
+    from citeframe.session import cut, store
+
+    names = [f"word{k} word{k + 1} common" for k in range(5000)]
+    table = entities.distinct_names(spark.createDataFrame([(x,) for x in names], "name string"), ("of",))
+    pairs = cut(entities.name_word_pairs(table).select("w1", "w2").distinct())
+    said = store(spark.createDataFrame([(1, f"word{k}") for k in range(5000)] + [(1, "common"), (2, "common")], "n long, word string"), "said")
+    led = lookup_join(said.withColumnRenamed("word", "w1"), pairs, ["w1"], ["n"])
+    assert led.count() < 4 * 5000
+    question = " ".join(f"word{k}" for k in range(0, 5000, 2))
+    unique = spark.createDataFrame([(question + " common",), ("common",)], "uq string")
+    got = {r["name_key"] for r in entities.match_two_words(unique, table).collect()}
+    assert got == set(names[:-1])
+
+
+def test_blank_and_empty_names(spark):
+    records = spark.createDataFrame([("&&",), ("",), (None,), ("  ",), ("a",)], "name string")
+    unique = spark.createDataFrame([("x y",), ("x  y",), ("",), ("banana",)], "uq string")
+    got = {(r["uq"], r["name_key"]) for r in entities.match_names(unique, records, ("of",)).collect()}
+    assert got == {(q, "") for q in ("x y", "x  y", "", "banana")} | {("x  y", "  "), ("banana", "a")}
