@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constraints as C
 from ..functions.vocab import Vocabulary
 from ..session import cut
+from .ranking import running_sum
 
 WANTS = ("want_type", "want_flag", "want_cats", "max_fee", "own_score", "min_placement")
 
@@ -86,3 +87,38 @@ def constraint_profile(profiled: DataFrame) -> DataFrame:
         F.max("min_placement").alias("max_floor"),
         F.sum(F.when(F.col("exhaustive"), n).otherwise(0)).alias("n_exhaustive"),
     )
+
+
+def constraint_values(profiled: DataFrame) -> DataFrame:
+    """(kind, value, n_questions): how often each type, flag and category is asked for."""
+    kinds = F.array(
+        F.struct(F.lit("type").alias("kind"), F.col("want_type").alias("value")),
+        F.struct(F.lit("flag").alias("kind"), F.when(F.col("want_flag"), F.lit("yes")).alias("value")),
+    )
+    categories = F.transform("want_cats", lambda c: F.struct(F.lit("category").alias("kind"), c.alias("value")))
+    asked = profiled.select("n_questions", F.explode(F.concat(kinds, categories)).alias("k")).where("k.value is not null")
+    return asked.groupBy("k.kind", "k.value").agg(F.sum("n_questions").alias("n_questions"))
+
+
+def constraint_histogram(profiled: DataFrame, buckets: int) -> DataFrame:
+    """(kind, bucket, low, high, n_values, n_questions): for each numeric kind of constraint, values in order are dealt to
+    buckets of about equal numbers of questions; a value's questions are in one bucket.
+
+    Distinct values are counted first; their running sums come from range partitions, so no kind is gathered in one task.
+    """
+    kinds = F.array(
+        F.struct(F.lit("budget").alias("kind"), F.col("max_fee").alias("value")),
+        F.struct(F.lit("cutoff").alias("kind"), F.col("own_score").alias("value")),
+        F.struct(F.lit("floor").alias("kind"), F.col("min_placement").alias("value")),
+    )
+    asked = profiled.select("n_questions", F.explode(kinds).alias("k")).where("k.value is not null")
+    values = asked.groupBy(F.col("k.kind").alias("kind"), F.col("k.value").alias("value")).agg(F.sum("n_questions").alias("n"))
+    placed = running_sum(values, "kind", "value", "n", "upto")
+    # a row for each kind
+    totals = F.broadcast(placed.groupBy("kind").agg(F.max("upto").alias("total")))
+    # the middle of a value's questions says where it belongs
+    middle = (2 * F.col("upto") - F.col("n")) * buckets
+    bucket = F.floor(middle / (2 * F.col("total"))).cast("long").alias("bucket")
+    return placed.join(totals, "kind").withColumn("bucket", bucket).groupBy("kind", "bucket").agg(
+        F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n_values"), F.sum("n").alias("n_questions")
+    )

@@ -358,6 +358,16 @@ ORACLES: dict[str, str] = {
     "catalog_csv": _with(RAW, REC, """SELECT row_number() OVER (ORDER BY record_id) - 1 AS row_idx, record_id, name, fee, cutoff, seats, flag, grade,
   placement, established, about, array_to_string(course_list, '|') AS course_list FROM rec"""),
     "catalog_document": _with(RAW, REC, DOC, "SELECT row_idx, length(doc) AS n_chars, md5(doc) AS doc_md5 FROM doc"),
+    "constraint_values": _with(Q, PROF, """SELECT kind, value, count(*) AS n_questions FROM (
+  SELECT 'type' AS kind, want_type AS value FROM prof WHERE want_type IS NOT NULL
+  UNION ALL SELECT 'flag', 'yes' FROM prof WHERE want_flag
+  UNION ALL SELECT 'category', unnest(want_cats) FROM prof) t GROUP BY kind, value"""),
+    "constraint_histogram": _with(Q, PROF, """vals AS (SELECT kind, value, count(*) AS n FROM (
+  SELECT 'budget' AS kind, max_fee AS value FROM prof UNION ALL SELECT 'cutoff', own_score FROM prof
+  UNION ALL SELECT 'floor', min_placement FROM prof) t WHERE value IS NOT NULL GROUP BY kind, value),
+upto AS (SELECT *, sum(n) OVER (PARTITION BY kind ORDER BY value) AS upto, sum(n) OVER (PARTITION BY kind) AS total FROM vals)""",
+        """SELECT kind, bucket, min(value) AS low, max(value) AS high, count(*) AS n_values, CAST(sum(n) AS BIGINT) AS n_questions FROM (
+  SELECT *, CAST(floor((2 * upto - n) * 10 / (2.0 * total)) AS BIGINT) AS bucket FROM upto) t GROUP BY kind, bucket"""),
     "extract_budget": _with(Q, PROF, "SELECT qid, max_fee AS budget FROM prof"),
     "extract_cutoff": _with(Q, PROF, "SELECT qid, own_score AS cutoff FROM prof"),
     "extract_placement": _with(Q, PROF, "SELECT qid, min_placement AS placement FROM prof"),
@@ -450,6 +460,12 @@ FROM prof p JOIN (SELECT uq, count(*) AS n_records, string_agg(txt, concat(chr(1
   CASE WHEN l.model IS NOT NULL THEN l.output_tokens END AS output_tokens, CASE WHEN l.model IS NOT NULL THEN l.latency_s END AS latency_s,
   {_half_up("c.cost_inr", 4)} AS cost_inr FROM qlog l LEFT JOIN costed c USING (seq)"""),
     "log_summary_active": _with(LOG, PRICED, f"SELECT model, {_SUMMARY} FROM costed WHERE {_ACTIVE} GROUP BY model"),
+    "log_batches": _with(LOG, PRICED, f"""SELECT concat('calls-', CAST(l.seq % 4 AS VARCHAR)) AS batch, l.seq, {_redact("l.question")} AS question,
+  {_redact("l.answer")} AS answer, l.model, CASE WHEN l.model IS NOT NULL THEN l.input_tokens END AS input_tokens, {_half_up("c.cost_inr", 4)} AS cost_inr
+FROM qlog l LEFT JOIN costed c USING (seq)"""),
+    "log_rejects": _with(LOG, """SELECT reason, count(*) AS n_lines FROM (
+  SELECT CASE seq % 4 WHEN 0 THEN 'blank' WHEN 1 THEN 'malformed' WHEN 2 THEN 'no cost' ELSE 'missing key' END AS reason FROM qlog
+  UNION ALL SELECT 'no cost' FROM qlog WHERE model IS NULL) t GROUP BY reason"""),
     "log_missing": _with(LOG, PRICED, f"SELECT model, {_SUMMARY} FROM costed WHERE false GROUP BY model"),
     "pipeline_log": _with(ANSWERS, f"""prices(model, usd_in, usd_out) AS (VALUES {", ".join(f"({_text(m)}, CAST({i} AS DOUBLE), CAST({o} AS DOUBLE))" for m, i, o in v.PRICES)})""", f"""SELECT
   CASE WHEN f.resp_id < 0 THEN -f.qid ELSE f.resp_id END AS seq, {_redact("q.question")} AS question, {_redact("f.answer")} AS answer,

@@ -21,6 +21,8 @@ from ..sources import cases as case_source
 from ..sources import catalog, querylog, views
 
 K = 5
+# Buckets of a histogram
+BUCKETS = 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -109,6 +111,16 @@ def constraint_profile(spark, sf):
     return profile.constraint_profile(_profiled(spark, sf))
 
 
+@query
+def constraint_values(spark, sf):
+    return profile.constraint_values(_profiled(spark, sf))
+
+
+@query
+def constraint_histogram(spark, sf):
+    return profile.constraint_histogram(_profiled(spark, sf), BUCKETS)
+
+
 # ---- eligibility -------------------------------------------------------------------------
 
 
@@ -548,6 +560,35 @@ def log_summary_active(spark, sf):
     return costs.active_summary(calls, "seq")
 
 
+@query
+def log_batches(spark, sf):
+    """A log of four batches, two of them written twice by a retry, and a batch that no attempt committed."""
+    path = fresh_path(spark, "querylog")
+    entries = _entries(spark, sf)
+    for batch in (0, 1, 2, 1, 3, 3):
+        querylog.append_batch(entries.where(F.col("seq") % 4 == batch), path, f"calls-{batch}")
+    querylog.log_rows(entries).write.json(f"{path}/data/batch=lost/try=1")
+    return querylog.read_batches(spark, path).select(
+        "batch", "seq", "question", "result.answer", "cost.model", "cost.input_tokens", "cost.cost_inr"
+    )
+
+
+@query
+def log_rejects(spark, sf):
+    """Lines of a log that give no measured call, by reason."""
+    path = fresh_path(spark, "querylog")
+    entries = _entries(spark, sf)
+    querylog.append_log(entries, path)
+    seq = F.col("seq")
+    bad = (
+        F.when(seq % 4 == 0, "").when(seq % 4 == 1, F.concat(F.lit('{"seq": '), seq, F.lit(", broken")))
+        .when(seq % 4 == 2, F.concat(F.lit('{"seq": '), seq, F.lit(', "question": "no cost"}')))
+        .otherwise(F.concat(F.lit('{"seq": '), seq, F.lit(', "question": "q", "cost": {"model": "m", "latency_s": 1}}')))
+    )
+    entries.select(bad.alias("value")).write.mode("append").text(path)
+    return querylog.rejected(spark, path).groupBy("reason").agg(F.count("*").alias("n_lines"))
+
+
 @query
 def log_missing(spark, sf):
     """A log that was never written has no calls and no summary."""

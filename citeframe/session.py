@@ -75,6 +75,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def write_once(spark: SparkSession, path: str, line: str) -> bool:
+    """Creates a file of one line; False if it is there already. It is written under another name and renamed, so
+    that it is never seen half written."""
+    files, place = _on_store(spark, path)
+    _, draft = _on_store(spark, f"{path.rpartition('/')[0]}/_{uuid.uuid4().hex}")
+    out = files.create(draft, False)
+    out.write(bytearray((line + "\n").encode()))
+    out.close()
+    if not files.exists(place) and files.rename(draft, place):
+        return True
+    files.delete(draft, False)
+    return False
+
+
 def release(spark: SparkSession) -> None:
     """Deletes what this application stored between its jobs, once its results are read or written."""
     files, place = _on_store(spark, run_dir(spark))

@@ -306,3 +306,50 @@ def test_blank_and_empty_names(spark):
     unique = spark.createDataFrame([("x y",), ("x  y",), ("",), ("banana",)], "uq string")
     got = {(r["uq"], r["name_key"]) for r in entities.match_names(unique, records, ("of",)).collect()}
     assert got == {(q, "") for q in ("x y", "x  y", "", "banana")} | {("x  y", "  "), ("banana", "a")}
+
+
+def test_a_batch_appended_twice_is_read_once(spark, tmp_path):
+    schema = (
+        "seq long, question string, answer string, citations array<string>, answered boolean, reason_if_unanswered string,"
+        "model string, input_tokens long, output_tokens long, latency_s double, cost_inr double"
+    )
+    entry = lambda k: (k, f"q{k}", "a", [], True, None, "m", 1, 1, 0.5, 0.1)
+    one, two = spark.createDataFrame([entry(1), entry(2)], schema), spark.createDataFrame([entry(3)], schema)
+    path = str(tmp_path / "log")
+    assert querylog.read_batches(spark, path).count() == 0
+    assert querylog.append_batch(one, path, "a") and not querylog.append_batch(one, path, "a")
+    # an attempt that wrote its rows and died, and one that lost the race to commit
+    querylog.log_rows(one).write.json(f"{path}/data/batch=b/try=dead")
+    assert querylog.append_batch(two, path, "b")
+    assert not querylog.write_once(spark, f"{path}/commits/b", "batch=b/try=dead")
+    got = [(r["batch"], r["seq"]) for r in querylog.read_batches(spark, path).orderBy("seq").collect()]
+    assert got == [("a", 1), ("a", 2), ("b", 3)]
+    assert querylog.measured_calls(querylog.read_batches(spark, path)).count() == 3
+    for name in ("", "a/b", "../x", "_x"):
+        with pytest.raises(ValueError):
+            querylog.append_batch(one, path, name)
+
+
+def test_rejected_lines_by_reason_and_file(spark, tmp_path):
+    good = '{"question": "q", "cost": {"input_tokens": 1, "output_tokens": 1, "latency_s": 1, "model": "m"}}'
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.json").write_text(f'{good}\n\n \t\nnot json\n{{"question": "q"}}\n')
+    (tmp_path / "log" / "b.json").write_text('[1]\n{"question": "q", "cost": {"model": "m"}}\n{"cost": 3}\n"text"\n' + good + "\n")
+    found = querylog.rejected(spark, str(tmp_path / "log"))
+    got = {(r["file"].rpartition("/")[2], r["reason"]): r["n_lines"] for r in querylog.rejects_by_file(found).collect()}
+    assert got[("a.json", "blank")] == 2 and got[("a.json", "malformed")] == 1 and got[("a.json", "no cost")] == 1
+    assert got[("b.json", "missing key")] == 1 and sum(n for (f, _), n in got.items() if f == "b.json") == 4
+    assert querylog.rejected(spark, str(tmp_path / "none")).count() == 0
+    assert sum(got.values()) + querylog.read_log(spark, str(tmp_path / "log")).where("cost.model = 'm' and question = 'q'").count() >= 9
+
+
+def test_histogram_buckets_hold_about_equal_numbers(spark):
+    from citeframe.operators.profile import constraint_histogram
+
+    rows = [(float(k % 40), None, None, 1 + k % 3) for k in range(400)] + [(7.0, 50.0, None, 500)]
+    df = spark.createDataFrame(rows, "max_fee double, own_score double, min_placement double, n_questions long")
+    got = constraint_histogram(df, 4).orderBy("kind", "bucket").collect()
+    budget = [r for r in got if r["kind"] == "budget"]
+    assert [r["low"] for r in budget] == sorted(r["low"] for r in budget) and sum(r["n_questions"] for r in budget) == sum(x[3] for x in rows)
+    assert all(a["high"] < b["low"] for a, b in zip(budget, budget[1:])) and sum(r["n_values"] for r in budget) == 40
+    assert [(r["kind"], r["n_values"], r["n_questions"]) for r in got if r["kind"] != "budget"] == [("cutoff", 1, 500)]
