@@ -61,8 +61,10 @@ def op7_pii(spark, sf_dir):
 
 @query
 def op8_exact_dedup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return exact_dedup.dedup(docs, exact_dedup.temporary_index(spark))
+    index = exact_dedup.temporary_index(spark)
+    found = exact_dedup.dedup(table(spark, sf_dir, "documents"), index)
+    index.close()
+    return found
 
 
 @query
@@ -101,8 +103,8 @@ def op13_fill_in_middle(spark, sf_dir):
 ORACLES["op8_exact_dedup"] = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS h FROM documents),
-g AS (SELECT h, count(*) AS group_size, arg_min(doc_id, (-n, doc_id)) AS keep_id FROM d GROUP BY h)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, d.h AS text_sha256 FROM d JOIN g USING (h)
+g AS (SELECT h, count(*) AS group_size, arg_min(doc_id, (-n, doc_id)) AS keep_id, max(n) AS keep_n FROM d GROUP BY h)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AND n = keep_n AS kept, d.h AS text_sha256 FROM d JOIN g USING (h)
 """
 
 # Windows as joined words: each document's windows of 13 words (and of each shorter item's length) meet

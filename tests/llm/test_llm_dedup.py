@@ -58,10 +58,62 @@ def test_index_join_does_not_shuffle_the_index(spark):
     index = exact_dedup.temporary_index(spark)
     exact_dedup.dedup(odd(spark), index).collect()
     batch = exact_dedup.digests(odd(spark)).groupBy("digest").count()
-    plan = index.unknown(batch)._jdf.queryExecution().executedPlan().toString()
+    plan = index.unknown(batch, "next")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def answers(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def test_index_opened_with_other_settings_keeps_its_own(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs = documents(spark, [(k, f"text {k}") for k in range(50)])
+    exact_dedup.dedup(docs, exact_dedup.DigestIndex(spark, path, buckets=4)).collect()
+    for buckets in (None, 16):
+        again = exact_dedup.DigestIndex(spark, path, buckets=buckets)
+        assert again.buckets == 4
+        assert again.unknown(exact_dedup.digests(docs).groupBy("digest").count(), "new").count() == 0
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path, id_type="string")
+
+
+def test_a_batch_run_again_gets_the_same_answers(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"))
+    one, two = documents(spark, [(1, "a b"), (2, "ab"), (3, "c")]), documents(spark, [(4, "ab"), (5, "d"), (6, "d")])
+    first, second = (answers(exact_dedup.dedup(d, index, batch=b)) for d, b in ((one, "one"), (two, "two")))
+    size = index.table().count()
+    assert answers(exact_dedup.dedup(one, index, batch="one")) == first
+    assert answers(exact_dedup.dedup(two, index, batch="two")) == second
+    assert index.table().count() == size == 3
+    # a try that wrote only part of its batch
+    index.append(spark.createDataFrame([(bytearray(b"x"), 9)], "digest binary, keep_id long"), "three")
+    both = spark.createDataFrame([(bytearray(b"x"), 9), (bytearray(b"y"), 8)], "digest binary, keep_id long")
+    index.append(both, "three")
+    assert index.table().where("batch = 'three'").count() == 2
+
+
+def test_compacted_index_has_one_file_a_bucket_and_the_same_digests(spark, tmp_path):
+    path = str(tmp_path / "index")
+    index = exact_dedup.DigestIndex(spark, path, buckets=2)
+    for k in range(3):
+        exact_dedup.dedup(documents(spark, [(100 * k + i, f"{k} {i}") for i in range(30)]), index).collect()
+    before = answers(index.table())
+    index.compact(buckets=4)
+    assert answers(index.table()) == before and index.buckets == 4
+    assert answers(exact_dedup.DigestIndex(spark, path).table()) == before
+    assert len(list((tmp_path / "index" / "edition=2").glob("*.parquet"))) == 4
+    known = exact_dedup.dedup(documents(spark, [(999, "2 7"), (998, "new")]), index).collect()
+    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in known} == {(999, 207, False), (998, 998, True)}
+    index.close()
+    assert not spark.catalog.tableExists(index.name)
+
+
+def test_rows_of_one_id_are_kept_by_row(spark):
+    got = exact_dedup.dedup(documents(spark, [(1, "a b"), (1, "ab"), (2, "ab"), (3, "x"), (3, "x")]), exact_dedup.temporary_index(spark))
+    assert Counter((r["doc_id"], r["kept"]) for r in got.collect()) == {(1, True): 1, (1, False): 1, (2, False): 1, (3, True): 2}
+
+
 # ---- components ------------------------------------------------------------------------------
 
 
