@@ -19,7 +19,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.survivors(docs, index=exact_dedup.temporary_index(spark))
+    index = exact_dedup.temporary_index(spark)
+    kept = exact_dedup.survivors(docs, index=index)
+    index.close()
+    return kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
