@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, with_bigrams
 from ..functions.vocab import ENGLISH_STOPS
-from ..session import cut, fits_broadcast, part_of, shuffle_partitions, store
+from ..session import cut, exists, fits_broadcast, part_of, shuffle_partitions, store, write_once
 from .blockmax import BlockMax
 from .joins import lookup_join
 
@@ -160,3 +162,76 @@ class Index:
         """(query key, doc key, score) for every pair with a positive cosine."""
         vector = self.vector(queries, key, text)
         return cosine_pairs(self.counts.select(self.key, "term", "tf"), self.doc_norms, vector, key, self.key)
+
+
+# Rows of a bucket of a saved index, and buckets at least
+BUCKET_ROWS, LEAST_BUCKETS = 5_000_000, 8
+FORMAT = 1
+
+
+def save_index(index: Index, path: str, buckets: int | None = None) -> None:
+    """Writes a fitted index for later sessions: counts and norms bucketed and sorted by text, weights by term.
+
+    ``<path>/layout`` is written last and says how the index is kept; without it there is none.
+    """
+    spark = index.counts.sparkSession
+    if exists(spark, f"{path}/layout"):
+        raise ValueError(f"there is an index at {path}")
+    buckets = buckets or max(LEAST_BUCKETS, -(-index.counts.count() // BUCKET_ROWS))
+    parts = {
+        "counts": (index.counts.select(index.key, "term", "tf"), index.key), "norms": (index.doc_norms, index.key),
+        "idf": (index.idf.select("term", "df", "n_docs", "idf"), "term"),
+    }
+    kinds = {}
+    for name, (rows, by) in parts.items():
+        draft = f"index_{uuid.uuid4().hex}"
+        dealt = rows.repartition(buckets, by).write.format("parquet").mode("overwrite").bucketBy(buckets, by).sortBy(by)
+        dealt.option("path", f"{path}/{name}").saveAsTable(draft)
+        kinds[name] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.table(draft).schema.fields)
+        spark.sql(f"DROP TABLE {draft}")
+    layout = {
+        "format": FORMAT, "key": index.key, "buckets": buckets, "columns": kinds,
+        "stops": list(index.options.get("stops", ENGLISH_STOPS)), "bigrams": index.options.get("bigrams", True),
+    }
+    write_once(spark, f"{path}/layout", json.dumps(layout))
+
+
+class SavedIndex(Index):
+    """An index that ``save_index`` wrote, in this session or an earlier one. Texts meet their norms and are summed where
+    their bucket lies: ranking shuffles nothing of the index. ``close`` takes its tables out of the catalogue."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        if not exists(spark, f"{path}/layout"):
+            raise ValueError(f"there is no index at {path}")
+        layout = json.loads(spark.read.text(f"{path}/layout").first()["value"])
+        if layout["format"] != FORMAT:
+            raise ValueError(f"the index at {path} has format {layout['format']}")
+        self.spark, self.key = spark, layout["key"]
+        self.options = {"stops": tuple(layout["stops"]), "bigrams": layout["bigrams"]}
+        self.names = {}
+        for part, by in (("counts", self.key), ("norms", self.key), ("idf", "term")):
+            self.names[part] = f"index_{part}_{uuid.uuid4().hex}"
+            spark.sql(
+                f"CREATE TABLE {self.names[part]} ({layout['columns'][part]}) USING parquet CLUSTERED BY (`{by}`) "
+                f"SORTED BY (`{by}`) INTO {layout['buckets']} BUCKETS LOCATION '{path}/{part}'"
+            )
+        self.counts, self.idf, self.saved_norms = (spark.table(self.names[p]) for p in ("counts", "idf", "norms"))
+        self.keys = self.saved_norms.select(self.key)
+
+    @property
+    def doc_norms(self) -> DataFrame:
+        return self.saved_norms
+
+    def scores(self, queries: DataFrame, key: str, text: str) -> DataFrame:
+        vector = self.vector(queries, key, text)
+        if not fits_broadcast(vector):
+            return cosine_pairs(self.counts, self.doc_norms, vector, key, self.key)
+        asked = F.broadcast(vector.select("term").distinct())
+        near = self.counts.join(asked, "term", "left_semi").join(self.doc_norms.select(self.key, "norm").hint("merge"), self.key)
+        return near.join(F.broadcast(vector), "term").groupBy(key, self.key).agg(
+            F.sum(F.col("tf") / F.col("norm") * F.col("coef")).alias("score")
+        )
+
+    def close(self) -> None:
+        for name in self.names.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -492,3 +492,4 @@ UNION ALL SELECT 'summary', model, 1, NULL, {_half_up('avg(cost_inr) * 1000', 2)
     "eval_pass_rate": _with(ANSWERS, CASES, """SELECT CAST(coalesce(sum(CASE WHEN len(failures) = 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_passed, count(*) AS n_total,
   round(sum(CASE WHEN len(failures) = 0 THEN 1 ELSE 0 END) * 100 / CAST(nullif(count(*), 0) AS DOUBLE), 4) AS pass_pct FROM scored"""),
 }
+ORACLES["tfidf_saved_topk"] = ORACLES["tfidf_topk"]

@@ -307,6 +307,20 @@ def tfidf_topk(spark, sf):
     )
 
 
+@query
+def tfidf_saved_topk(spark, sf):
+    """Ranking by an index that was fitted, saved and opened again."""
+    path = fresh_path(spark, "index")
+    tfidf.save_index(tfidf.Index(_documents(spark, sf), "doc_id", "text"), path)
+    index = tfidf.SavedIndex(spark, path)
+    scored = index.scores(_items(spark, sf), "item_id", "text").withColumnRenamed("doc_id", "row_idx")
+    found = store(top_k(scored, ["item_id"], best_first(), K), "top")
+    index.close()
+    return found.select(
+        "item_id", F.col("rn").cast("long").alias("rn"), F.col("row_idx").alias("doc_id"), F.round("score", 6).alias("score")
+    )
+
+
 @query
 def tfidf_transform_frozen(spark, sf):
     idf = store(_document_idf(spark, sf), "idf")

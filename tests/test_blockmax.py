@@ -65,3 +65,27 @@ def test_most_blocks_are_not_read(spark):
     read = further.where("uid < 45").count() + 45 * 2
     assert read < topical.count() / 5
     assert first.count() > 0
+
+
+def test_a_saved_index_ranks_without_shuffling_itself(spark, tmp_path):
+    from citeframe.operators.tfidf import SavedIndex, save_index
+
+    fitted = Index(texts(spark).select("row_idx", "text"), "row_idx", "text", stops=("often",))
+    path = str(tmp_path / "index")
+    save_index(fitted, path, buckets=3)
+    with pytest.raises(ValueError):
+        save_index(fitted, path)
+    with pytest.raises(ValueError):
+        SavedIndex(spark, str(tmp_path / "none"))
+    later = spark.newSession()  # knows nothing of this one's tables and views
+    saved = SavedIndex(later, path)
+    asked = later.createDataFrame([tuple(r) for r in questions(spark).collect()], "uid long, q string, want int")
+    scores = saved.scores(asked, "uid", "q")
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    # the one exchange is that of the distinct terms asked for
+    assert "SortMergeJoin" in plan and plan.count("Bucketed: true") == 2
+    assert plan.count("Exchange hashpartitioning(term") == plan.count("Exchange hashpartitioning") == 1
+    assert best(scores, 5) == best(fitted.scores(questions(spark), "uid", "q"), 5)
+    assert best(saved.top_pairs(asked, "uid", "q", 5), 5) == best(scores, 5)
+    saved.close()
+    assert not any(later.catalog.tableExists(n) for n in saved.names.values())
