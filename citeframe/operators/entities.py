@@ -132,10 +132,10 @@ def _odd_full(near: DataFrame, unique: DataFrame, patterns: DataFrame) -> DataFr
     """(n, name_key) of the ``near`` odd names that the question contains whole."""
     clean = only_words(F.col("uq"))
     named = lookup_join(near, unique, ["n"], ["name_key"]).where(clean.contains(F.col("name_key"))).select("n", "name_key")
-    # an empty name is in every question; there is one at most
-    empty = F.broadcast(patterns.where("name_key = ''").select("name_key").limit(1))
-    every = unique.where("uq is not null").select("n", F.lit("").alias("name_key"))
-    return named.unionByName(every.join(empty, "name_key").select("n", "name_key"))
+    # an empty name is in every question
+    empty = patterns.where("name_key = ''").agg((F.count("*") > 0).alias("any")).scalar()
+    every = unique.where(F.col("uq").isNotNull() & empty).select("n", F.lit("").alias("name_key"))
+    return named.unionByName(every)
 
 
 def match_bigrams(unique: DataFrame, names: DataFrame, stops: tuple[str, ...]) -> DataFrame:

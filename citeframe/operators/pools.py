@@ -64,9 +64,9 @@ class WholePools:
         pools = cut(sigs.select("sid", F.concat(F.lit("limits:"), "sig").alias("pool")))
         pairs = lookup_join(eligible_pairs(sigs, self.run.records), pools, ["sid"], ["row_idx"])
         limited = lookup_join(pairs, cut(sizes.select("row_idx", "chars")), ["row_idx"], ["pool"])
-        # one row, if anybody asks for it
-        opened = F.broadcast(self._of("open").select(F.lit("open").alias("pool")).limit(1))
-        whole = sizes.withColumn("pool", F.lit("open")).join(opened, "pool")
+        # if anybody asks for it
+        opened = self._of("open").agg((F.count("*") > 0).alias("any")).scalar()
+        whole = sizes.where(opened).withColumn("pool", F.lit("open"))
         columns = ("pool", "row_idx", "chars")
         return named.select(*columns).unionByName(limited.select(*columns)).unionByName(whole.select(*columns))
 
