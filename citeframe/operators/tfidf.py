@@ -112,6 +112,12 @@ def cosine_pairs(
     )
 
 
+def top_pairs(counts: DataFrame, docs: DataFrame, vector: DataFrame, query_key: str, doc_key: str, k: int) -> DataFrame:
+    """(query, doc, score): exact scores of at least every pair among a query's k best, by block-max postings of ``counts``;
+    ``docs`` has a row (doc, norm, lead) for each text."""
+    return BlockMax(counts.select(doc_key, "term", "tf"), docs, doc_key).top_pairs(vector, query_key, k)
+
+
 def with_zero_rows(keys: DataFrame, found: DataFrame, key: str, *numbers: str) -> DataFrame:
     """A row for every key: a text without (known) terms has the zero vector."""
     rest = [c for c in found.columns if c not in (key, *numbers)]
