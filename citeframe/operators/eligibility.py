@@ -1,10 +1,15 @@
 """Which records satisfy a question's hard constraints.
 
 Questions are reduced to distinct signatures. A signature meets a record through hash keys: type,
-flag and category, each possibly "any", and one of its limits. A limit is a key too: values are
-replaced by the number of distinct limits they reach, and "reaches more than d" is the disjoint
+flag and category, each possibly "any", and every one of its limits. A limit is a key too: values
+are replaced by the number of distinct limits they reach, and "reaches more than d" is the disjoint
 union of one dyadic interval per zero bit of d, of which a value lies in one per one bit of its
-own. So each pair meets through exactly one interval, and only the other limits are left to check.
+own. So each pair meets through exactly one interval of each limit, and whatever meets is a result
+(but for records that share several of the wanted categories).
+
+Records take the keys one limit after the other, as a range tree is descended: before the next
+limit, keys nobody asks for are dropped by a semi-join. A signature has at most one key per
+combination of zero bits, the cube of the logarithm of the number of limits where it sets three.
 
 Counts, empty results and first-k lists never form (signature, record) pairs: records are first
 folded into cells, which are equal for every constraint any signature asks for.
@@ -12,6 +17,8 @@ folded into cells, which are equal for every constraint any signature asks for.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +28,10 @@ from .profile import WANTS, lowered, with_signature
 from .ranking import running_sum, top_k
 
 ANY = "*"
-KEYS = ("k_type", "k_flag", "k_cat", "k_range")
+PLAIN_KEYS = ("k_type", "k_flag", "k_cat")
 # (limit on the signature, record column, sign that turns the test into "record >= limit")
 RANGES = (("max_fee", "fee", -1), ("own_score", "cutoff", -1), ("min_placement", "placement", 1))
-NO_LIMIT = "-"
+NO_LIMIT = 0
 
 
 def signatures(profiled: DataFrame) -> DataFrame:
@@ -34,70 +41,70 @@ def signatures(profiled: DataFrame) -> DataFrame:
     return cut(distinct.withColumn("sid", F.monotonically_increasing_id()))
 
 
-def _interval(limit: str | Column, level: Column, block: Column) -> Column:
-    """One dyadic interval of a limit's scale, as a key."""
-    name = F.lit(limit) if isinstance(limit, str) else limit
-    return F.concat_ws(":", name, level.cast("string"), block.cast("string"))
-
-
 def _shift(c: Column, level: Column) -> Column:
     return F.call_function("shiftright", c, level)
 
 
+def _intervals(step: Column, bits: int, bit: int, beside: int) -> Column:
+    """Keys of the dyadic intervals at the levels where ``step`` has ``bit``: the one it lies in, or a
+    number of blocks ``beside`` it. Intervals are numbered as the nodes of a heap; asked for and
+    offered are odd ones only, so that none is taken for another level's."""
+    levels = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda level: _shift(step, level) % 2 == bit)
+    root = F.lit(1 << bits).cast("long")
+    return F.transform(levels, lambda level: _shift(root, level) + _shift(step, level) + beside)
+
+
+def _asked_limits(reached: dict[str, int]) -> list[tuple[str, str, int]]:
+    """(limit, record column, bits of its scale) of the limits any signature sets."""
+    return [(limit, value, reached[limit].bit_length()) for limit, value, _ in RANGES if reached[limit]]
+
+
+def _keys(reached: dict[str, int]) -> list[str]:
+    return [*PLAIN_KEYS, *[f"k_{limit}" for limit, _, _ in _asked_limits(reached)]]
+
+
 def _signature_keys(sigs: DataFrame, reached: dict[str, int]) -> DataFrame:
-    """Keys of slotted signatures. Of several limits the one that is highest on its scale of
-    ``reached`` steps leads; the intervals above it are the zero bits of the step below it."""
+    """Keys of slotted signatures: the intervals above a limit are the zero bits of the step below it."""
     any_cat = F.array(F.lit(ANY))
-    limits = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(f"s_{limit}").isNotNull(),
-                    F.struct(
-                        (F.col(f"s_{limit}") / F.lit(max(reached[limit], 1))).alias("share"),
-                        F.lit(limit).alias("limit"), (F.col(f"s_{limit}") - 1).alias("below"),
-                        F.lit(reached[limit].bit_length()).alias("bits"),
-                    ),
-                )
-                for limit, _, _ in RANGES
-            ]
-        )
-    )
-    lead = F.array_max(limits)
-    above = F.transform(
-        F.filter(F.sequence(F.lit(0), lead["bits"] - 1), lambda bit: _shift(lead["below"], bit) % 2 == 0),
-        lambda bit: _interval(lead["limit"], bit, _shift(lead["below"], bit) + 1),
-    )
-    return (
+    out = (
         sigs.withColumn("k_type", F.coalesce("want_type", F.lit(ANY)))
         .withColumn("k_flag", F.when(F.col("want_flag"), F.lit("yes")).otherwise(ANY))
         .withColumn("k_cat", F.explode(F.when(F.size("want_cats") > 0, F.col("want_cats")).otherwise(any_cat)))
-        .withColumn("k_range", F.explode(F.when(F.size(limits) > 0, above).otherwise(F.array(F.lit(NO_LIMIT)))))
     )
-
-
-def _record_keys(records: DataFrame, reached: dict[str, int]) -> DataFrame:
-    """A slotted record can be asked for by its type or any type, and so on, and through each
-    interval its values lie in: the one bits of the steps they reach."""
-    none = F.array().cast("array<string>")
-
-    def inside(limit: str, value: str) -> Column:
-        step = F.col(f"s_{value}")
-        return F.transform(
-            F.filter(F.sequence(F.lit(0), F.lit(reached[limit].bit_length() - 1)), lambda bit: _shift(step, bit) % 2 == 1),
-            lambda bit: _interval(limit, bit, _shift(step, bit)),
+    for limit, _, bits in _asked_limits(reached):
+        above = _intervals(F.col(f"s_{limit}") - 1, bits, 0, 1)
+        out = out.withColumn(
+            f"k_{limit}", F.explode(F.when(F.col(f"s_{limit}").isNotNull(), above).otherwise(F.array(F.lit(NO_LIMIT).cast("long"))))
         )
+    return out
 
-    ranges = [
-        F.when(F.col(f"s_{value}").isNotNull(), inside(limit, value)).otherwise(none)
-        for limit, value, _ in RANGES if reached[limit]
-    ]
-    return (
+
+def _record_keys(records: DataFrame, keyed: DataFrame, reached: dict[str, int], spread: Sequence[str]) -> DataFrame:
+    """A slotted record can be asked for by its type or any type, and so on, and through each interval its
+    values lie in: the one bits of the steps they reach. Of these, the keys that a prefix of ``keyed`` has; the
+    last limit's are left to the join itself."""
+    out = (
         records.withColumn("k_type", F.explode(F.array_compact(F.array(F.col("type"), F.lit(ANY)))))
         .withColumn("k_flag", F.explode(F.array_compact(F.array(F.when(F.col("flag"), F.lit("yes")), F.lit(ANY)))))
         .withColumn("k_cat", F.explode(F.concat(F.col("categories"), F.array(F.lit(ANY)))))
-        .withColumn("k_range", F.explode(F.concat(F.array(F.lit(NO_LIMIT)), *ranges)))
     )
+    prefix = list(PLAIN_KEYS)
+    for limit, value, bits in _asked_limits(reached):
+        asked = part_of(keyed.select(*prefix), keyed)
+        inside = F.when(
+            F.col(f"s_{value}").isNotNull(), _intervals(F.col(f"s_{value}"), bits, 1, 0)
+        ).otherwise(F.array().cast("array<bigint>"))
+        out = lookup_join(out, asked, prefix, spread, "left_semi").withColumn(
+            f"k_{limit}", F.explode(F.concat(F.array(F.lit(NO_LIMIT).cast("long")), inside))
+        )
+        prefix.append(f"k_{limit}")
+    return out
+
+
+def candidates(sigs: DataFrame, records: DataFrame, reached: dict[str, int], spread: Sequence[str]) -> DataFrame:
+    """Slotted signatures and records that meet on every key: each pair once per category they share."""
+    keyed = cut(_signature_keys(sigs, reached))
+    return lookup_join(_record_keys(records, keyed, reached, spread), keyed, _keys(reached), spread)
 
 
 def _within_limits() -> Column:
@@ -162,28 +169,18 @@ def _slotted(sigs: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame,
     return sigs, slim, reached
 
 
-def _other_limits() -> Column:
-    test = _first_shared_category()
-    for limit, value, _ in RANGES:
-        test = test & (F.col(f"s_{limit}").isNull() | (F.col(f"s_{value}") >= F.col(f"s_{limit}")))
-    return test
-
-
 def eligible_pairs(sigs: DataFrame, records: DataFrame) -> DataFrame:
     """(sid, row_idx) for every record a signature admits."""
     slotted_sigs, slim, reached = _slotted(sigs, records)
-    return lookup_join(
-        _record_keys(slim, reached), cut(_signature_keys(slotted_sigs, reached)), KEYS, ["row_idx"],
-        where=_other_limits(),
-    ).select("sid", "row_idx")
+    met = candidates(slotted_sigs, slim, reached, ["row_idx"])
+    return met.where(_first_shared_category()).select("sid", "row_idx")
 
 
 CELL = ("type", "flag", "categories", *[f"s_{value}" for _, value, _ in RANGES])
 
 
 def _cells_by_signature(sigs: DataFrame, cells: DataFrame, reached: dict[str, int]) -> DataFrame:
-    keyed = cut(_signature_keys(sigs, reached))
-    return lookup_join(_record_keys(cells, reached), keyed, KEYS, CELL, where=_other_limits())
+    return candidates(sigs, cells, reached, CELL).where(_first_shared_category())
 
 
 def eligible_summary(sigs: DataFrame, records: DataFrame) -> DataFrame:

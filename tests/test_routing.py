@@ -167,6 +167,31 @@ def test_odd_limits_against_every_pair(spark, records):
         assert {k: sorted(ids) for k, ids in heads.items()} == {k: ids[:3] for k, ids in plain.items()}
 
 
+def test_three_loose_limits_meet_results_only(spark, records):
+    """Limits that nearly every record meets, each alone no filter: whatever meets on the keys is a result, and records
+    carry no key that nobody asks for."""
+    many = records.select(*[c for c in records.columns if c not in ("row_idx", "fee", "cutoff", "placement")]).crossJoin(
+        spark.range(200).select(
+            F.col("id").alias("row_idx"), (F.col("id") * 7 % 200).cast("double").alias("fee"),
+            (F.col("id") * 13 % 200).cast("double").alias("cutoff"), (F.col("id") * 29 % 200).cast("double").alias("placement"),
+        )
+    ).withColumn("row_idx", F.monotonically_increasing_id())
+    sigs = spark.range(60).select(
+        F.col("id").alias("sid"), F.lit(None).cast("string").alias("want_type"), F.lit(False).alias("want_flag"),
+        F.array().cast("array<string>").alias("want_cats"), (F.col("id") + 120.0).alias("max_fee"),
+        (F.col("id") * 2 + 80.0).alias("own_score"), (F.col("id") + 0.0).alias("min_placement"),
+    ).cache()
+    slotted, slim, reached = eligibility._slotted(sigs, many)
+    n_met = eligibility.candidates(slotted, slim, reached, ["row_idx"]).count()
+    n_results = sigs.crossJoin(many).where(eligibility.is_eligible()).count()
+    assert n_results > 0 and n_met == n_results
+    alone = sigs.crossJoin(many).where("fee <= max_fee").count()
+    assert alone > 1.5 * n_results
+    keyed = eligibility._signature_keys(slotted, reached)
+    kept = eligibility._record_keys(slim, keyed, reached, ["row_idx"])
+    assert kept.where("k_type <> '*' or k_flag <> '*' or k_cat <> '*'").count() == 0
+
+
 def test_nothing_eligible_is_never_padded(spark, records):
     rows = [(0, "scored 0 percent overall"), (1, "0 lakh budget"), (2, "budget " + "9" * 400), (3, "placement above " + "9" * 400)]
     asked = Retrieval(records, spark.createDataFrame(rows, "qid long, question string"), COLLEGES)
