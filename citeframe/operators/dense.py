@@ -1,15 +1,30 @@
-"""Cosine top-k over dense vectors."""
+"""Cosine top-k over dense vectors: all of a pool compared, or exact pruning by pivots.
+
+Angles between vectors are a metric. Each vector is filed under the nearest of its pool's pivots, with its angle
+to it; a query's angle to a pivot then bounds its angle to all vectors filed there, and to each single one.
+"""
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut, store
 from .joins import lookup_join
 from .ranking import best_first, top_k
 
+# Pivots of a pool
+PIVOTS = 16
+# What bounds are widened by, for angles carry rounding errors up to 3e-8
+SLACK = 1e-6
+# Where vectors without an angle to any pivot are filed
+ODD = -1
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(
@@ -30,12 +45,114 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, query_key: str)
     the vectors of its pool, as ranking is against a candidate set. Each partition keeps k per
     query before anything is shuffled. A zero vector scores 0.
     """
-    norm = lambda c: F.sqrt(dot(c, c))
     pairs = lookup_join(
-        vectors.withColumn("_nv", norm(F.col("v"))), queries.withColumn("_nq", norm(F.col("q"))),
+        vectors.withColumn("_nv", _norm(F.col("v"))), queries.withColumn("_nq", _norm(F.col("q"))),
         ["pool"], ["row_idx"],
     )
-    scored = pairs.select(
-        query_key, "row_idx", F.coalesce(F.try_divide(dot(F.col("q"), F.col("v")), F.col("_nq") * F.col("_nv")), F.lit(0.0)).alias("score")
+    return top_k(pairs.select(query_key, "row_idx", _score().alias("score")), [query_key], best_first(), k)
+
+
+def _norm(c: Column) -> Column:
+    return F.sqrt(dot(c, c))
+
+
+def _cosine(a: Column, norm_a: Column, b: Column, norm_b: Column) -> Column:
+    return F.try_divide(dot(a, b), norm_a * norm_b)
+
+
+def _score() -> Column:
+    return F.coalesce(_cosine(F.col("q"), F.col("_nq"), F.col("v"), F.col("_nv")), F.lit(0.0))
+
+
+def _sound(norm: Column) -> Column:
+    """Whether products of norms neither overflow nor vanish."""
+    return norm.between(1e-100, 1e100)
+
+
+def _angle(a: Column, norm_a: Column, b: Column, norm_b: Column) -> Column:
+    """NULL where there is none: such vectors are never pruned."""
+    cosine = F.least(F.greatest(_cosine(a, norm_a, b, norm_b), F.lit(-1.0)), F.lit(1.0))
+    return F.when(_sound(norm_a) & _sound(norm_b) & dot(a, b).isNotNull(), F.acos(cosine))
+
+
+@dataclass
+class PivotIndex:
+    """Vectors filed under pivots: ``filed`` (pool, cell, angle, row_idx, v, _nv) and, for each cell, ``cells``
+    (pool, cell, p, _np, n, low, high): its pivot, size, and smallest and largest angle."""
+
+    filed: DataFrame
+    cells: DataFrame
+
+
+def pivot_index(vectors: DataFrame, pivots: int = PIVOTS) -> PivotIndex:
+    """Index of (row_idx, v, pool), for any number of query sets. Pivots are the vectors with the smallest hashes
+    of their row numbers. A vector without an angle to any pivot (zero, NULL, of another length, with an element that is
+    no number) is filed as odd, and always read."""
+    normed = vectors.select("row_idx", "v", "pool", _norm(F.col("v")).alias("_nv"))
+    sound = normed.where(_sound(F.col("_nv")))
+    chosen = top_k(sound, ["pool"], [F.xxhash64("row_idx"), F.col("row_idx")], pivots)
+    # at most ``pivots`` vectors a pool
+    lists = cut(chosen.groupBy("pool").agg(F.collect_list(F.struct("rn", F.col("v").alias("p"), F.col("_nv").alias("np"))).alias("_pivots")))
+    angles = F.transform(
+        "_pivots", lambda x: F.struct(_angle(F.col("v"), F.col("_nv"), x["p"], x["np"]).alias("angle"), x["rn"].alias("cell"))
+    )
+    nearest = F.array_min(F.filter(angles, lambda x: x["angle"].isNotNull()))
+    filed = store(
+        lookup_join(normed, lists, ["pool"], ["row_idx"], "left").withColumn("_near", nearest).select(
+            "pool", F.coalesce("_near.cell", F.lit(ODD)).alias("cell"), "_near.angle", "row_idx", "v", "_nv"
+        ),
+        "filed",
+    )
+    sizes = filed.groupBy("pool", "cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
+    own = lists.select("pool", F.explode("_pivots").alias("_p")).select("pool", F.col("_p.rn").alias("cell"), "_p.p", F.col("_p.np").alias("_np"))
+    return PivotIndex(filed, cut(sizes.join(own, ["pool", "cell"], "left")))
+
+
+def _scored(filed: DataFrame, asked: DataFrame, query_key: str) -> DataFrame:
+    """Scores of the vectors of the asked cells, leaving out those whose own bound is under ``floor``."""
+    met = lookup_join(filed, asked, ["pool", "cell"], ["row_idx"])
+    reachable = F.cos(F.abs(F.col("_aq") - F.col("angle"))) >= F.col("floor") - SLACK
+    return met.where(F.coalesce(reachable, F.lit(True))).select(query_key, "row_idx", _score().alias("score"))
+
+
+def pruned_top_k(index: PivotIndex, queries: DataFrame, k: int, query_key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``dense_top_k``, and (query_key, pool, n_pool, n_scored): how many vectors were scored,
+    counted when asked for.
+
+    A query first reads its nearest cells until they hold k vectors, and the odd ones. Its k-th score there is a floor:
+    other cells are read only where the best score that their angles allow reaches it, ties included, and of these
+    only vectors whose own angle allows it. Queries without an angle to a pivot read all its vectors. A query is a row of
+    ``queries`` (query_key, q, pool); the key is distinct. A pool without vectors has no rows.
+    """
+    normed = cut(queries.select(query_key, "q", "pool", _norm(F.col("q")).alias("_nq")))
+    met = lookup_join(normed, index.cells, ["pool"], [query_key])
+    # at most one row per pivot of a pool for each query
+    near = Window.partitionBy(query_key).orderBy(F.col("_aq").asc_nulls_first(), "cell")
+    faced = met.withColumn("_aq", _angle(F.col("q"), F.col("_nq"), F.col("p"), F.col("_np")))
+    apart = F.greatest(F.col("_aq") - F.col("high"), F.col("low") - F.col("_aq"), F.lit(0.0))
+    placed = cut(
+        faced.withColumns({
+            "_sure": F.coalesce(F.sum(F.when(F.col("_aq").isNotNull(), F.col("n"))).over(
+                near.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "best": F.when(F.col("_aq").isNotNull() & F.col("high").isNotNull(), F.cos(F.least(apart, F.lit(math.pi)))),
+        }).select(query_key, "pool", "cell", "q", "_nq", "_aq", "n", "best", (F.col("best").isNull() | (F.col("_sure") < k)).alias("first"))
+    )
+    no_floor = F.lit(None).cast("double")
+    begun = cut(top_k(_scored(index.filed, _part(placed.where("first").withColumn("floor", no_floor)), query_key), [query_key], best_first(), k))
+    # a query with fewer than k vectors so far has read its pool, for the first cells are read until there are k
+    floors = cut(begun.where(F.col("rn") == k).select(query_key, F.col("score").alias("floor")))
+    left = lookup_join(placed.where("not first"), floors, [query_key], ["cell"])
+    later = _scored(index.filed, _part(left.where(F.col("best") >= F.col("floor") - SLACK)), query_key)
+    best = top_k(begun.drop("rn").unionByName(later), [query_key], best_first(), k)
+    counts = placed.groupBy(query_key, "pool").agg(
+        F.sum("n").alias("n_pool"), F.sum(F.when(F.col("first"), F.col("n")).otherwise(0)).alias("_first")
     )
-    return top_k(scored, [query_key], best_first(), k)
+    more = later.groupBy(query_key).agg(F.count("*").alias("_later"))
+    work = counts.join(more, query_key, "left").select(
+        query_key, "pool", "n_pool", (F.col("_first") + F.coalesce("_later", F.lit(0))).alias("n_scored")
+    )
+    return best, work
+
+
+def _part(asked: DataFrame) -> DataFrame:
+    return cut(asked.drop("first", "best", "n"))

@@ -420,6 +420,9 @@ FROM hit JOIN rec ON rec.name_key = hit.name_key GROUP BY hit.uq, hit.name_key""
 cen AS (SELECT label, list(x ORDER BY i) AS q FROM (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM pos GROUP BY label, i) t GROUP BY label),
 sc AS (SELECT CAST(e.label AS BIGINT) AS label, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.q) AS score FROM embeddings e JOIN cen c ON c.label = e.label)
 SELECT label, rn, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, vec_id) AS rn FROM sc) t WHERE rn <= 10""",
+    "dense_pruned_topk": """WITH sc AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score
+  FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)
+SELECT query_id, rn, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rn FROM sc) t WHERE rn <= 10""",
     "topk_zero_padded": _with(RETRIEVAL, _ranked("SELECT p.uq, r.row_idx, false AS exhaustive FROM uprof p CROSS JOIN rec r"),
                               "SELECT uq, rn, record_id, round(score, 6) AS score FROM ordered JOIN rec USING (row_idx) WHERE rn <= 5"),
     "rank_candidates": _with(RETRIEVAL, _ranked(f"SELECT p.uq, r.row_idx, false AS exhaustive FROM uprof p JOIN rec r ON p.applied AND {_ELIGIBLE}"),

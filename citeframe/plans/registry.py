@@ -21,6 +21,8 @@ from ..sources import cases as case_source
 from ..sources import catalog, querylog, views
 
 K = 5
+# Pivots of the pool of all vectors
+PIVOTS = 64
 # Buckets of a histogram
 BUCKETS = 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -361,6 +363,19 @@ def dense_cosine_topk(spark, sf):
     )
 
 
+@query
+def dense_pruned_topk(spark, sf):
+    """Each twentieth vector against all, the same rows as without pruning."""
+    vectors = views.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("row_idx"), F.col("embedding").alias("v"), F.lit(0).alias("pool")
+    )
+    asked = vectors.where("row_idx % 20 = 0").select(F.col("row_idx").alias("query_id"), F.col("v").alias("q"), "pool")
+    best, _ = dense.pruned_top_k(dense.pivot_index(vectors, PIVOTS), asked, 2 * K, "query_id")
+    return best.select(
+        "query_id", F.col("rn").cast("long").alias("rn"), F.col("row_idx").alias("vec_id"), F.round("score", 6).alias("score")
+    )
+
+
 # ---- retrieval ---------------------------------------------------------------------------
 
 
