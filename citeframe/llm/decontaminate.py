@@ -11,12 +11,15 @@ Patterns are searched in shards of bounded size, so what is broadcast doesn't gr
 further shard is one more pass over the documents.
 
 Defined results: null and empty texts have no words and are clean; null items or items without words have
-no windows; items that share an id are one item, a null id counts as the empty text; repeated rows are
-separate rows with equal results; without benchmark rows nothing is hit; extra columns are ignored.
+no windows; items that share an id are one item, a null id counts as the empty text; windows that several
+items share, or that overlap, hit a word once and name every item; repeated rows are separate rows with equal
+results; a very long text is searched whole, alone in its run; without benchmark rows nothing is hit; extra
+columns are ignored by ``report`` and kept by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -149,11 +152,25 @@ class Search:
                 yield start[same], table, pattern[same]
 
 
-def _searcher(rows, width):
+# The tables of the shard that this Python worker searches, by the shard's name
+_built: dict[str, Search | None] = {}
+
+
+def tables_of(name: str, rows) -> Search | None:
+    """Tables of a broadcast shard, built once in each worker, not for each batch; the shard before goes. None if there
+    are no patterns."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Search(rows.value) if rows.value else None
+    return _built[name]
+
+
+def _searcher(rows):
     """Function from (texts, what earlier shards found) to what is found so far."""
+    name = uuid.uuid4().hex
 
     def search(texts: pa.Array, earlier: pa.Array) -> pa.Array:
-        tables = Search(rows.value) if rows.value else None
+        tables = tables_of(name, rows)
         get = tables.vocabulary.get if tables else None
         out = []
         past = earlier.to_pylist()
@@ -210,7 +227,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     for k in range(shards):
         part = grouped.where(F.pmod(F.xxhash64("window"), F.lit(shards)) == k) if shards > 1 else grouped
         rows = spark.sparkContext.broadcast([(r["window"], list(r["items"])) for r in part.collect()])
-        out = out.withColumn("_found", _searcher(rows, width)(text_column(docs, text), F.col("_found")))
+        out = out.withColumn("_found", _searcher(rows)(text_column(docs, text), F.col("_found")))
         if k < shards - 1:
             out = store(out, "searched")
     return out

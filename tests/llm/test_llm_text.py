@@ -152,6 +152,20 @@ def test_decontamination_matches_brute_force(spark, shard):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r[0] for r in want.elements() if not r[-1])
 
 
+def test_search_tables_are_built_once_a_worker(spark, monkeypatch):
+    import pyarrow as pa
+
+    builds = []
+    made = decontaminate.Search.__init__
+    monkeypatch.setattr(decontaminate.Search, "__init__", lambda self, rows: (builds.append(1), made(self, rows))[1])
+    first, second = (spark.sparkContext.broadcast([(f"{w} two", ["i"])]) for w in ("one", "three"))
+    one, three = decontaminate._searcher(first).func, decontaminate._searcher(second).func
+    texts, none = pa.array(["one two three two"]), pa.nulls(1, pa.null())
+    for search, n, start in ((one, 1, 0), (one, 1, 0), (three, 2, 2), (three, 2, 2)):
+        assert search(texts, none).to_pylist()[0]["starts"] == [start] and len(builds) == n
+    assert len(decontaminate._built) == 1
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(empty(spark), none).count() == 0
