@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -22,6 +23,10 @@ def license_texts():
         (43, prose(1, 20) + "\n" + mit + "\n" + prose(2, 20)), (44, " ".join(some[: len(some) * 17 // 20])),
         (45, " ".join(some[: len(some) // 2])), (46, " ".join(reversed(some))), (47, "license license mit"), (48, "permit license"),
         (49, "\n".join(licenses.TEMPLATES.values())), (50, "MIT License " * 50),
+        (51, prose(3, 77) + "\n" + textwrap.fill(mit, 72) + "\n\n" + prose(4, 200)),
+        (52, prose(5, 10) + "\n" + textwrap.fill(licenses.TEMPLATES["gpl-text"], 72, initial_indent="# ", subsequent_indent="# ")),
+        (53, "\n".join(f" * {w}" for w in licenses.TEMPLATES["apache-text"].split())), (54, "license the under MIT: released"),
+        (55, "// Released under\n// the MIT license"), (56, prose(6, 5000) + " " + licenses.TEMPLATES["bsd-text"] + " " + prose(7, 5000)),
     ]
 
 
@@ -29,14 +34,16 @@ def scanned(text):
     w = words(text)
     hits = [(i, label) for i in range(len(w)) for p, label in licenses.PHRASES.items() if w[i : i + len(p.split())] == p.split()]
     found, best = set(), 0.0
-    for line in (text or "").split("\n"):
-        own = set(words(line.lower()))
-        for name, template in licenses.TEMPLATES.items():
-            wanted = set(licenses._words(template))
-            share = len(own & wanted) / len(wanted)
-            if len(own & wanted) >= licenses.needed(len(wanted), licenses.THRESHOLD):
+    for name, template in licenses.TEMPLATES.items():
+        wanted = set(licenses._words(template))
+        width = licenses.width_of(template)
+        for at in range(0, max(1, len(w) - width), width):
+            share = len(set(w[at : at + 2 * width]) & wanted)
+            if share >= licenses.needed(len(wanted), licenses.THRESHOLD):
                 found.add(name)
-                best = max(best, share)
+                best = max(best, share / len(wanted))
+    if any(w[i : i + 5] == "released under the mit license".split() for i in range(len(w))):
+        found.add("mit-phrase")
     base = {label for _, label in hits}
     starts = [i for i, _ in hits]
     return (len(w), len(hits), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
@@ -48,7 +55,17 @@ def test_license_scan_matches_brute_force(spark):
     want = Counter((i, *scanned(t)) for i, t in texts)
     got = licenses.scan(documents(spark, texts)).drop("matches").collect()
     assert Counter(tuple(r) for r in got) == want
-    assert any("mit-text" in r["labels"] for r in got)
+    labels = {r["doc_id"]: r["labels"] for r in got}
+    assert labels[51] == "mit-text" and "gpl-text" in labels[52] and "apache-text" in labels[53]
+    assert labels[54] == "" and "mit-phrase" in labels[55] and labels[56] == "bsd-text"
+
+
+def test_license_templates_come_as_a_table(spark):
+    table = spark.createDataFrame([("short", "alpha beta gamma"), ("long", prose(9, 300)), ("none", "..."), ("null", None)], "label string, text string")
+    texts = [(1, "x\nAlpha\n// beta gamma"), (2, textwrap.fill(prose(8, 100) + " " + prose(9, 300), 60)), (3, "alpha beta"), (4, None)]
+    got = licenses.scan(documents(spark, texts), templates=table).collect()
+    assert {r["doc_id"]: r["labels"] for r in got} == {1: "short", 2: "long", 3: "", 4: ""}
+    assert [r["labels"] for r in licenses.scan(documents(spark, texts), templates={}).collect()] == [""] * 4
 
 
 def test_license_scan_has_no_python(spark):
