@@ -1,6 +1,12 @@
-"""The small labelled table from which the tagger of personal data learns: invented lines, spans in brackets
-as [kind|text]. Lines without brackets show what is not personal."""
+"""The small labelled table from which the tagger of personal data learns: lines with spans in brackets as
+[kind|text], some written out, the others made by rule. Lines without brackets show what is not personal."""
 
+from __future__ import annotations
+
+import random
+import string
+
+LINES = 1100
 EXAMPLES = """
 please write to [email|maria.lopez at example dot com] before noon
 contact [email|j.smith(at)mail.example.org] or the office
@@ -70,3 +76,95 @@ painting.### 2004### and%%% of&&& 12*** more
 TO!! THE!! 3!! DOORS!! AND!! ON.
 key words | 12 | 40 | 7 | total
 """
+
+# In a form # stands for a digit, @ for an upper-case letter, ? for a hexadecimal digit, * for a letter or digit,
+# N for a name and T for the end of a domain; <n*> repeats a mark.
+PHONES = (
+    "###-###-####", "(###) ###-####", "(0##) ######", "(0###) ### ###", "0### #######", "0## #### ####", "###.###.####", "0# ## ## ## ##",
+    "1-800-###-####", "00## ## #######", "### ### ####", "0### ########", "0###/######", "(0##) #### ####", "1 (###) ###-####",
+)
+MAILS = (
+    "N at N dot T", "N(at)N.T", "N (at) N (dot) T", "N [at] N [dot] T", "N dot N at N dot T", "N AT N DOT T", "N(at)N(dot)T",
+    "N_## at N dot T", "N [at] N.T", "N at N dot N dot T", "N.N at N dot T", "N {at} N {dot} T",
+)
+ADDRESSES = ("fe80::?", "fe80::???:????", "2001:db8::?", "2001:db8:??:?::??", "2001:db8:????:?::????:????", "fd??:????:????:?::?", "::?", "fe80::????:????:????:????")
+SECRETS = (
+    "<32?>", "<40?>", "<64?>", "sk_live_<24*>", "pk_test_<24*>", "ghp_<36*>", "AKIA<16@>", "xoxb-<11#>-<24*>", "<24*>", "<32*>", "<40*>", "AIza<35*>", "sk-<40*>", "glpat-<20*>", "password=<18?>", "token=<24*>", "api_key=<32*>", "pwd=<12*>", "secret=<16?>",
+)
+IBANS = (
+    "DE<20#>", "NL## @@@@ #### #### ##", "NL##@@@@<10#>", "GB## @@@@ #### #### #### ##", "GB##@@@@<14#>", "DE## #### #### #### #### ##", "FR## #### #### #### #### #### ###",
+    "ES## #### #### #### #### ####", "CH## #### #### #### #### #", "IT## @### #### #### #### #### ###", "AT## #### #### #### ####", "BE## #### #### ####",
+)
+FORMS = {"phone": PHONES, "email": MAILS, "ip": ADDRESSES, "secret": SECRETS, "iban": IBANS}
+# kinds whose forms vary most have two turns
+TURNS = ("email", "iban", "phone", "ip", "email", "secret", "phone")
+BEFORE = {
+    "phone": ("call", "call me at", "phone", "phone:", "tel", "tel.", "tel:", "mobile", "my number is", "ring", "fax", "reach us at", "dial", "text", "cell:", "whatsapp"),
+    "email": ("write to", "mail", "contact", "email", "e-mail:", "send it to", "ask", "my address is", "reach", "cc", "by mail to"),
+    "ip": ("ping", "host", "from", "server at", "ip", "address", "connect to", "login from", "route to", "peer", "gateway"),
+    "secret": ("key:", "api_key =", "token", "token:", "password =", "secret", "the key is", "export KEY", "bearer", "use", "with", "credentials"),
+    "iban": ("iban", "iban:", "account", "pay to", "transfer to", "my account is", "bank", "to"),
+}
+AFTER = ("today", "please", "now", "or", "and", "after six", "thanks", "soon", ".", "for help", "if needed", "again", "is right", "before noon")
+PLAIN = (
+    "### ### #### U", "#### ## ## #### U", "## ### U", "###-###-#### U", "978-#-##-######-#", "isbn 978-#-###-#####-#", "ISBN 979-##-#####-##-#", "isbn #-###-#####-#", "issn ####-####",
+    "20##-0#-1# ##:##", "1#.0#.19##", "20## 0# 1# #### U", "19## 1# 2# ### U", "version #.##.#", "v#.#.#-rc#", "ratio #:#", "at ##:##:##", "##:##", "page ## of ###",
+    "$#,###.##", "#,###,### U", "order ######", "invoice ####-####", "no. #####-##", "item ########", "lot ### ###", "part @@-####-#", "model @###", "model @@## ####", "uuid ????????-????-????-????-????????????",
+    "????????-????-????-????-????????????", "id ????????-????-????-????-???????????? U", "mac ??:??:??:??:??:??", "commit ???????", "#-# and #-#", "## ## ## U", "table ## row ###", "sku ###-##-###", "flight @@ ####", "gate @##", "## # ### ####", "grid ##.#### ##.####",
+    "#### #### U", "### #### U", "years 19## to 20##", "1### 1### 1###", "## at ## U", "score ##-##", "paragraph #.#.#", "DE ####", "room #### at N", "the N at the N dot", "at N on N", "#e##", "0x????", "a::b", "std::N", "N::N", "#.#.#.#-N",
+    "at at at at at", "AT!! AT!! OF!! DOT!!", "at N at N at N", "dot dot dot", "N AT N OF N",
+)
+UNITS = (
+    "points", "items", "votes", "tons", "units", "copies", "people", "years", "euros", "km", "pages", "books", "seats", "rows", "members", "dollars", "miles",
+    "parts", "words", "houses", "visitors", "cars", "times", "workers", "files", "bytes",
+)
+ENDS = ("com", "de", "org", "net", "fr", "co", "io", "es", "eu", "it", "edu")
+SMALL = "the a of and in to is was on at for with it that by from as this we they are be not or an but one all our new".split()
+MARKS = {"#": string.digits, "@": string.ascii_uppercase, "?": "0123456789abcdef", "*": string.ascii_letters + string.digits}
+
+
+def name(r: random.Random) -> str:
+    return "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") + r.choice(("", "", "n", "r", "l")) for _ in range(r.randint(1, 3)))
+
+
+def filled(form: str, r: random.Random) -> str:
+    out, k = [], 0
+    while k < len(form):
+        if form[k] == "<":
+            end = form.index(">", k)
+            out.append("".join(r.choice(MARKS[form[end - 1]]) for _ in range(int(form[k + 1 : end - 1]))))
+            k = end
+        elif form[k] in "NTU" and not form[k - 1 : k].isupper() and not form[k + 1 : k + 2].isupper():
+            out.append(name(r) if form[k] == "N" else r.choice(ENDS if form[k] == "T" else UNITS))
+        else:
+            out.append(r.choice(MARKS[form[k]]) if form[k] in MARKS else form[k])
+        k += 1
+    return "".join(out)
+
+
+def prose(r: random.Random, least: int) -> str:
+    out = [r.choice(SMALL) if r.random() < 0.5 else name(r) for _ in range(r.randint(least, 6))]
+    style = r.random()
+    if style < 0.15:
+        return " ".join(w.upper() + r.choice(("", "!!", ".", ",!!")) for w in out)
+    if style < 0.25:
+        return " ".join(r.choice((w, w.capitalize(), w.upper())) + r.choice(("***", "%%%", "&&&", "###", "$$$", ".")) for w in out)
+    return " ".join(w.capitalize() if r.random() < 0.15 else w + r.choice(("", "", "", ",", ".")) for w in out)
+
+
+def labelled_lines(lines: int = LINES, seed: int = 7) -> list[str]:
+    """The written lines and ``lines`` made ones, half of them without a span."""
+    r = random.Random(seed)
+    out = EXAMPLES.strip().split("\n")
+    for k in range(lines):
+        if k % 2:
+            out.append(f"{prose(r, 0)} {filled(r.choice(PLAIN), r)} {prose(r, 0)}".strip())
+        else:
+            kind = TURNS[k // 2 % len(TURNS)]
+            form = FORMS[kind][k // 2 // len(TURNS) % len(FORMS[kind])]
+            before = r.choice(BEFORE[kind]) if r.random() < 0.8 else ""
+            found = filled(form, r)
+            # half of the made spans end the line's thought, the others stand in prose
+            after = r.choice(AFTER) if r.random() < 0.5 else prose(r, 0)
+            out.append(f"{prose(r, 0)} {before} [{kind}|{found}] {after}".strip())
+    return out
