@@ -178,7 +178,7 @@ def test_search_tables_are_built_once_a_worker(spark, monkeypatch):
     builds = []
     made = decontaminate.Search.__init__
     monkeypatch.setattr(decontaminate.Search, "__init__", lambda self, rows: (builds.append(1), made(self, rows))[1])
-    first, second = (spark.sparkContext.broadcast([(f"{w} two", ["i"])]) for w in ("one", "three"))
+    first, second = (spark.sparkContext.broadcast([(f"{w} two", 7)]) for w in ("one", "three"))
     one, three = decontaminate._searcher(first).func, decontaminate._searcher(second).func
     texts, none = pa.array(["one two three two"]), pa.nulls(1, pa.null())
     for search, n, start in ((one, 1, 0), (one, 1, 0), (three, 2, 2), (three, 2, 2)):
