@@ -9,7 +9,8 @@ the document with the smallest id, first place, stays.
 
 Defined results: null and empty texts have no chunks; rows without an id come last; repeated rows are
 separate documents, of which the later (by a hash of the text, then in any order: they are equal) lose
-their chunks; an empty table gives an empty result; extra columns are ignored; a text is never cut short.
+their chunks; an empty table gives an empty result; extra columns are ignored by ``report`` and kept by ``rewrite``, whatever their
+names; a text is never cut short.
 """
 
 from __future__ import annotations
@@ -208,6 +209,8 @@ def rewrite(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_run
     # of repeated rows the first keeps most
     spans = spans.groupBy(*KEYS).agg(F.min_by(F.struct("starts", "stops"), "n_removed").alias("_cut"))
     spans = spans.select(F.col("_row_id").alias("_i"), F.col("_row_hash").alias("_h"), "_cut")
-    own = keyed(docs, doc_id, text)
+    # the row travels in one struct, so its columns may have any names
+    own = keyed(docs.select(F.struct("*").alias("_doc"), F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_id", "_text")
     joined = own.join(spans, F.col("_row_id").eqNullSafe(F.col("_i")) & (F.col("_row_hash") == F.col("_h")), "left")
-    return joined.withColumn(text, F.arrow_udf("string")(kept_text)(F.col(text), F.col("_cut.starts"), F.col("_cut.stops"))).drop(*KEYS, "_i", "_h", "_cut")
+    cut = F.arrow_udf("string")(kept_text)(F.col("_text"), F.col("_cut.starts"), F.col("_cut.stops"))
+    return joined.select(F.col("_doc").withField(text, cut).alias("_doc")).select("_doc.*")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 from cases import documents, empty, lower, odd, odd_texts, prose
+from pyspark.sql import functions as F
 
 from citeframe.llm import chunk_dedup, components, exact_dedup, repeats, simhash
 
@@ -270,6 +271,12 @@ def test_repeated_passages_are_cut_once_and_texts_come_back_whole(spark):
     assert sorted(same)[0] == 0 and sorted(same)[1] > 0
     cut = chunk_dedup.rewrite(docs).where("doc_id = 302").first()
     assert cut["text"].startswith(prose(83, 30)[:100]) and len(cut["text"]) < len(texts[-1][1])
+    # columns named like the operator's own pass through
+    named = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(("_i", "_h", "_cut", "_row_hash", "_id", "_text", "_doc"))])
+    again = chunk_dedup.rewrite(named)
+    assert again.columns == named.columns
+    row = again.where("doc_id = 302").first()
+    assert row["text"] == cut["text"] and [row[c] for c in ("_i", "_h", "_cut", "_row_hash", "_id", "_text", "_doc")] == list(range(7))
 
 
 def test_empty_tables(spark):
