@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from citeframe.operators import dense
+from citeframe.operators.ranking import best_first, top_k
+from citeframe.session import cut
 
 SCHEMA = "row_idx long, v array<double>, pool string"
 
@@ -47,3 +51,21 @@ def test_no_vectors_and_no_queries(spark):
     empty = dense.pivot_index(vectors.limit(0))
     assert dense.pruned_top_k(empty, queries, 5, "query_id")[0].count() == 0
     assert dense.pruned_top_k(dense.pivot_index(vectors), queries.limit(0), 5, "query_id")[0].count() == 0
+
+
+def test_blocks_of_any_size_give_the_plain_rows_and_no_row_for_each_pair(spark):
+    rows, asked = _rows()
+    rows += [(5000 + i, rows[7][1], "hot") for i in range(300)]  # copies of one vector
+    vectors = spark.createDataFrame(rows, SCHEMA)
+    queries = spark.createDataFrame(asked, "query_id string, q array<double>, pool string")
+    index = dense.pivot_index(vectors, 6)
+    cells = index.cells.where("pool = 'hot' and p is not null").select("pool", "cell", "n", "p", "_np")
+    met = queries.withColumn("_nq", dense._norm(F.col("q"))).join(cells, "pool").withColumn("floor", F.lit(None).cast("double"))
+    met = met.withColumn("_aq", dense._angle(F.col("q"), F.col("_nq"), F.col("p"), F.col("_np"))).drop("p", "_np").where("_aq is not null")
+    found = dense._scored(index.filed, cut(met), "query_id", 5, tile=50, batch=4)
+    sound = vectors.where("pool = 'hot'").join(index.filed.where("cell >= 0").select("row_idx"), "row_idx", "left_semi")
+    want = dense.dense_top_k(sound, met.select("query_id", "q", "pool").distinct(), 5, "query_id")
+    assert _plain(top_k(found, ["query_id"], best_first(), 5)) == _plain(want)
+    assert found.count() < sound.count() * met.select("query_id").distinct().count() / 2
+    best, _ = dense.pruned_top_k(index, queries, 5, "query_id")
+    assert _plain(best) == _plain(dense.dense_top_k(vectors, queries, 5, "query_id"))
