@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeframe.operators.ranking import best_first, top_k
-from citeframe.operators.tfidf import Index, cosine_pairs
+from citeframe.operators.tfidf import Index, cosine_pairs, norms, weigh
+from citeframe.session import cut, payload_bytes
 
 
 def texts(spark, n=900):
@@ -89,3 +90,37 @@ def test_a_saved_index_ranks_without_shuffling_itself(spark, tmp_path):
     assert best(saved.top_pairs(asked, "uid", "q", 5), 5) == best(scores, 5)
     saved.close()
     assert not any(later.catalog.tableExists(n) for n in saved.names.values())
+
+
+def test_pairs_are_scored_where_the_texts_lie(spark):
+    docs, asked = texts(spark), questions(spark)
+    index = Index(docs.select("row_idx", "text"), "row_idx", "text")
+    vector = index.vector(asked, "uid", "q")
+    every = cosine_pairs(index.counts.select("row_idx", "term", "tf"), index.doc_norms, vector, "uid", "row_idx")
+    blocks = index.block_max(vector)
+    blocks.block = 16
+    near = blocks.top_pairs(vector, "uid", 5, told=-1)
+    assert best(near, 5) == best(every, 5)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(uid" not in plan  # no pair is shuffled
+    assert near.count() < every.count() / 4  # but for those that reach the k-th best
+    limited = cut(vector.join(asked.select("uid", "want"), "uid"))
+    sides = docs.select("row_idx", "side")
+    kept = every.join(sides, "row_idx").join(asked.select("uid", "want"), "uid").where("side = want")
+    got = blocks.top_pairs(limited, "uid", 5, sides, F.col("side") == F.col("want"), told=-1)
+    assert best(got, 5) == best(kept, 5)
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_frequent_terms_are_weighed_without_a_shuffle(spark, own):
+    index = Index(texts(spark).select("row_idx", "text"), "row_idx", "text")
+    counts = index.counts.select("row_idx", "term", "tf")
+    near = weigh(counts, index.idf, "row_idx", own)
+    far = weigh(counts, index.idf, "row_idx", own, limit=payload_bytes(index.idf) // 4)
+    assert sorted(map(tuple, far.select(near.columns).collect())) == sorted(map(tuple, near.collect()))
+    assert far.count() > 0
+    plan = far._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 1
+    assert sorted(map(tuple, weigh(counts, index.idf, "row_idx", own, limit=1).select(near.columns).collect())) == sorted(map(tuple, near.collect()))
+    # norms don't sort rows by text
+    assert "SortAggregate" not in norms(near, "row_idx")._jdf.queryExecution().executedPlan().toString()
