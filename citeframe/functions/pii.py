@@ -23,9 +23,11 @@ INCOME = (
 )
 AMOUNT = rf"(?iu){EDGE}rs\.?{SP}*\p{{Nd}}{{5,7}}{EDGE}"
 
-# What a text must hold at all for a rule to find anything, cheap to look for.
+# What a text must hold at all for a rule to find anything, cheap to look for; the rarer thing first.
 GUARDS = {
-    "email": "@", "phone": r"[0-9]{4}", "id12": r"\p{Nd}{4}", "income": "(?iu)income", "amount": "(?iu)rs",
+    "email": ("@",), "phone": (rf"[0-9]{{3}}\)?(?:[.\-]|{SP})?[0-9]{{3}}(?:[.\-]|{SP})?[0-9]{{4}}",),
+    "id12": (rf"\p{{Nd}}{{4}}(?:{SP}|-)?\p{{Nd}}{{4}}(?:{SP}|-)?\p{{Nd}}{{4}}",), "income": (r"\p{Nd}", "(?iu)income"),
+    "amount": (r"\p{Nd}{5}", "(?iu)rs"),
 }
 
 # (rule, pattern, replacement) in the order they apply
@@ -38,10 +40,18 @@ RULES = (
 )
 
 
-def mask(c: Column, rule: str) -> Column:
-    """One rule on its own; texts that cannot match are passed by."""
+def may_match(c: Column, rule: str) -> Column:
+    """False for texts in which the rule cannot find anything."""
+    first, *others = [c.contains(g) if rule == "email" else c.rlike(g) for g in GUARDS[rule]]
+    for other in others:
+        first = first & other
+    return first
+
+
+def mask(c: Column, rule: str, found: Column | None = None) -> Column:
+    """One rule on its own; texts that cannot match are passed by. ``found``: ``may_match``, if it is known already."""
     (pattern, replacement) = next((p, r) for name, p, r in RULES if name == rule)
-    found = c.contains("@") if rule == "email" else c.rlike(GUARDS[rule])
+    found = may_match(c, rule) if found is None else found
     return F.when(found, F.regexp_replace(c, pattern, replacement)).otherwise(c)
 
 

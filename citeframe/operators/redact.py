@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pii import RULES, mask, redact
+from ..functions.pii import RULES, mask, may_match, redact
 
 
 def redact_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -16,13 +16,14 @@ def redact_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def staged_counts(texts: DataFrame, text: str) -> DataFrame:
-    """Adds n_<rule>: matches each rule finds in what the rules before it left."""
+    """Adds n_<rule>: matches each rule finds in what the rules before it left. Texts in which a rule cannot find
+    anything are told once and passed by."""
     out = texts.withColumn("_stage", F.col(text))
+    stage, may = F.col("_stage"), F.col("_may")
     for name, pattern, _ in RULES:
-        out = out.withColumn(f"n_{name}", F.regexp_count("_stage", F.lit(pattern))).withColumn(
-            "_stage", mask(F.col("_stage"), name)
-        )
-    return out.withColumnRenamed("_stage", "redacted")
+        count = F.when(may, F.regexp_count(stage, F.lit(pattern))).when(stage.isNotNull(), 0)
+        out = out.withColumn("_may", may_match(stage, name)).withColumns({f"n_{name}": count, "_stage": mask(stage, name, may)})
+    return out.withColumnRenamed("_stage", "redacted").drop("_may")
 
 
 def redaction_stats(texts: DataFrame, text: str, group: Sequence[str]) -> DataFrame:

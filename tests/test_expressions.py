@@ -9,6 +9,7 @@ from citeframe.functions import constraints as C
 from citeframe.functions import pii, text
 from citeframe.functions.vocab import ENGLISH_STOPS
 from citeframe.operators.profile import folded_questions
+from citeframe.operators.redact import staged_counts
 
 
 def check(spark, pairs, kind, expression):
@@ -67,3 +68,18 @@ def test_list_and_flag(spark):
     df = spark.createDataFrame([(" YES ", "a; b;; "), ("no", ""), (None, None)], "f string, l string")
     rows = df.select(text.yes_no(F.col("f")), text.split_list(F.col("l"))).collect()
     assert [tuple(r) for r in rows] == [(True, ["a", "b"]), (False, []), (False, None)]
+
+
+def test_rules_look_only_where_something_can_be_found(spark):
+    texts = [
+        None, "", "hers, rs and firs", "income unknown", "call 1234", "rs 12345", "Rs.९८७६५४", "my income is rs. 5 lakhs", "(987) 654-3210",
+        "+91 9876543210", "1234 5678-9012", "a@b.co, 123456789012 and income 3", "987.654.3210x", "1234 567", "ıncome 7, RS 123456",
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for name, pattern, _ in pii.RULES:
+        found = rows.where(F.regexp_count("t", F.lit(pattern)) > 0)
+        assert found.where(~pii.may_match(F.col("t"), name)).count() == 0, name
+    assert [r[0] for r in rows.where(pii.may_match(F.col("t"), "amount")).orderBy("i").select("i").collect()] == [5, 6, 14]
+    assert rows.where(pii.may_match(F.col("t"), "phone") & F.col("i").isin(4, 13)).count() == 0
+    staged = staged_counts(rows, "t").orderBy("i").collect()
+    assert [r["n_email"] for r in staged[:2]] == [None, 0] and staged[5]["n_amount"] == 1 and staged[7]["redacted"] != texts[7]
