@@ -222,6 +222,13 @@ def test_paragraphs_and_blocks_tell_the_same(run):
     assert blocks == {q: (len(t), "\n\n".join(x for _, x in sorted(t))) for q, t in texts.items()}
 
 
+def test_digests_of_paragraphs_travel_in_place_of_their_texts(run):
+    top = run.ranked(5)
+    whole = paragraphs(top, run.records).select("uq", "rn", F.length("text").alias("n"), F.md5("text").alias("m")).collect()
+    shown = paragraphs(top, run.records, n=F.length("text"), m=F.md5("text"))
+    assert shown.columns == ["uq", "rn", "n", "m"] and sorted(shown.collect()) == sorted(whole)
+
+
 def test_a_record_with_missing_fields_is_kept_and_marked(run):
     bare = run.records.where("record_id = 'C001'").withColumns(
         {c: F.lit(None).cast(t) for c, t in (("about", "string"), ("grade", "string"), ("fee", "long"), ("placement", "double"))}
