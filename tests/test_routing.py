@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import goldens as g
 from citeframe.functions.vocab import COLLEGES
-from citeframe.operators import eligibility
+from citeframe.operators import context, eligibility
 from citeframe.functions import vocab as v
 from citeframe.operators.context import context_blocks, paragraph, paragraphs, pool_texts, prompt_parts
 from citeframe.operators.retrieve import Retrieval
@@ -229,6 +229,19 @@ def test_digests_of_paragraphs_travel_in_place_of_their_texts(run):
     assert shown.columns == ["uq", "rn", "n", "m"] and sorted(shown.collect()) == sorted(whole)
 
 
+def test_blocks_write_only_texts_that_are_shown(run, monkeypatch):
+    one = run.ranked(5).where("rn = 1").orderBy("uq").limit(1)
+    rows = []
+
+    def counted(df, cut=context.cut):
+        rows.append((done := cut(df)).count())
+        return done
+
+    monkeypatch.setattr(context, "cut", counted)
+    assert context_blocks(one, run.records).count() == 1
+    assert max(rows) == 1 < run.records.count()
+
+
 def test_a_record_with_missing_fields_is_kept_and_marked(run):
     bare = run.records.where("record_id = 'C001'").withColumns(
         {c: F.lit(None).cast(t) for c, t in (("about", "string"), ("grade", "string"), ("fee", "long"), ("placement", "double"))}
