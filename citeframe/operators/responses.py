@@ -18,9 +18,15 @@ FALSE_WORDS = ("false", "0", "no", "off", "f", "n")
 
 def json_object(raw: Column) -> Column:
     """From the first opening to the last closing brace; the trimmed text if there is no such span."""
-    text = strip(raw)
-    found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(found != "", found).otherwise(text)
+    found = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
+    return F.when(found != "", found).otherwise(strip(raw))
+
+
+def may_be_json(text: Column) -> Column:
+    """Whether a trimmed text can be a list's elements at all: it starts like a value or ends the list, and an object it starts
+    has an end. A parser that gives up on a text costs more than one that reads it."""
+    start = F.substring(text, 1, 1)
+    return (text == "") | start.rlike(r'["\[\]0-9tfn-]') | ((start == "{") & text.endswith("}"))
 
 
 def validate(responses: DataFrame) -> DataFrame:
@@ -30,9 +36,11 @@ def validate(responses: DataFrame) -> DataFrame:
     from numbers, and a list of anything but text is not a list of citations.
     """
     # parsed as a one-element list, which text after the object would break or lengthen
-    listed = F.try_parse_json(F.concat(F.lit("["), json_object(F.col("raw_text")), F.lit("]")))
-    parsed = responses.withColumn("_v", listed).withColumn(
-        "_v", F.when(F.try_variant_get("_v", "$[1]", "variant").isNull(), F.col("_v"))
+    listed = F.try_parse_json(F.concat(F.lit("["), F.col("_text"), F.lit("]")))
+    parsed = (
+        responses.withColumn("_text", json_object(F.col("raw_text")))
+        .withColumn("_v", F.when(may_be_json(F.col("_text")), listed))
+        .withColumn("_v", F.when(F.try_variant_get("_v", "$[1]", "variant").isNull(), F.col("_v")))
     )
     field = lambda name, kind: F.try_variant_get("_v", f"$[0].{name}", kind)
     kind_of = lambda name: F.schema_of_variant(field(name, "variant"))

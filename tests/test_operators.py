@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from citeframe import session
+from citeframe.functions import text
 from citeframe.functions.vocab import PRICES
 from citeframe.operators import costs, entities, evals, responses, tfidf
 from citeframe.operators.joins import lookup_join
@@ -180,6 +181,27 @@ def test_validation(spark):
             assert r["reason_if_unanswered"].startswith("Model failed schema validation")
 
 
+def test_only_texts_that_may_be_json_are_parsed(spark):
+    """Trimming and parsing are left out only where they change nothing."""
+    starts = [chr(i) for i in range(128)] + ["\x85", "\u2028", "\u3000", "\ufeff", "\u00e9", "\U0001f600"]
+    odd = [c + t for c in starts for t in ("", "1", "rue", "ull", "]", "x ", "\n", "}", ' {"a": 1} x', ', "b": {}}')]
+    texts = ["I do not know.", '{"answer": "x", "citations": ["R1', *odd]
+    d = spark.createDataFrame([(t,) for t in [None, *texts]], "t string")
+    spaces = rf"^{text.SP}+|{text.SP}+$"
+    plain = F.regexp_replace("t", spaces, "")
+    parsed = lambda c: F.to_json(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))))
+    found = F.regexp_extract(plain, r"(?s)\{.*\}", 0)
+    whole = F.when(found != "", found).otherwise(plain)
+    mine = responses.json_object(F.col("t"))
+    got = d.select(
+        "t", plain.alias("plain"), text.strip(F.col("t")).alias("trimmed"), whole.alias("whole"), mine.alias("mine"),
+        parsed(whole).alias("parsed"), responses.may_be_json(mine).alias("may"),
+    ).collect()
+    assert all(r["plain"] == r["trimmed"] and r["whole"] == r["mine"] and (r["may"] or r["parsed"] is None) for r in got)
+    may = {r["t"]: r["may"] for r in got}
+    assert not any(may[t] for t in texts[:2]) and sum(not m for m in may.values()) > len(odd) / 2
+
+
 def test_published_cost(spark):
     call = spark.createDataFrame([("gemini-3.1-flash-lite", 1211.5, 132.0, 1.243)], "model string, input_tokens double, output_tokens double, latency_s double")
     r = costs.cost_by_model(costs.with_cost(call)).first()
