@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeframe.operators.ranking import best_first, top_k
-from citeframe.operators.tfidf import Index, cosine_pairs, weigh
+from citeframe.operators.tfidf import Index, cosine_pairs, leads, weigh
 from citeframe.session import cut, payload_bytes
 
 
@@ -120,3 +120,18 @@ def test_frequent_terms_are_weighed_without_a_shuffle(spark, own):
     plan = far._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftAnti") == 1
     assert sorted(map(tuple, weigh(counts, index.idf, "row_idx", own, limit=1).select(near.columns).collect())) == sorted(map(tuple, near.collect()))
+
+
+def test_norms_are_formed_without_sorting_rows_and_leads_are_the_heaviest_terms(spark):
+    docs = texts(spark, 300).select("row_idx", "text").unionByName(texts(spark, 3).select("row_idx", "text"))
+    index = Index(docs, "row_idx", "text")
+    weighed = weigh(index.counts, index.idf, "row_idx")
+    assert "SortAggregate" not in index.norms()._jdf.queryExecution().executedPlan().toString()
+    w = F.col("tf") * F.col("idf")
+    heaviest = weighed.groupBy("row_idx").agg(F.max(F.struct(w, "term"))["term"].alias("lead"))
+    wanted = {(r["row_idx"], r["lead"]) for r in heaviest.collect()}
+    for groups in (1, 7, 1 << 20):
+        found = leads(index.counts, index.idf, index.lengths, "row_idx", groups=groups).collect()
+        assert len(found) == len(wanted) and {(r["row_idx"], r["lead"]) for r in found} == wanted
+    stored = index.doc_norms.collect()
+    assert len(stored) == docs.count() and all(r["lead"] is None for r in stored if r["norm"] == 0)
