@@ -1,13 +1,14 @@
 """Routing and eligibility over the published catalogue, loaded from CSV."""
 
 import csv
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import goldens as g
 from citeframe.functions.vocab import COLLEGES
-from citeframe.operators import context, eligibility
+from citeframe.operators import context, eligibility, joins
 from citeframe.functions import vocab as v
 from citeframe.operators.context import context_blocks, paragraph, paragraphs, pool_texts, prompt_parts
 from citeframe.operators.retrieve import Retrieval
@@ -107,6 +108,35 @@ def test_prompt_parts_put_together_are_the_prompts(spark, records):
     assert kinds == {"head", "record", "range", "question"}
 
 
+def test_shared_rows_are_repeated_for_askers_last(spark, records):
+    """Nothing is shuffled or looked at again once there is a row for each question."""
+    asked = [(i, q) for i, q in enumerate(["any zzz", "ANY ZZZ", "hostel", "every zzz with fees under 2 lakh"] * 3)] + [(None, "any zzz"), (0, "any zzz")]
+    run = Retrieval(records, spark.createDataFrame(asked, "qid long, question string"), COLLEGES)
+    whole = run.ranked_by_question(5, lambda ranked: run.with_ids(ranked, "uid").select("uid", "rn", "record_id"))
+    parts = prompt_parts(run, 5, digest=F.md5("text"))
+    for found in (whole, parts):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Generate explode(_a" in plan and "Join" not in plan[: plan.index("Generate explode(_a")]
+        assert "Exchange" not in plan[: plan.index("Generate explode(_a")]
+        assert "md5" not in plan[plan.index("Generate explode(_a") :]
+    ids = {r["row_idx"]: r["record_id"] for r in records.collect()}
+    plain = sorted(((-1 if r["qid"] is None else r["qid"]), r["rn"], ids[r["row_idx"]]) for r in run.ranked_by_question(5).collect())
+    assert sorted(((-1 if r["qid"] is None else r["qid"]), r["rn"], r["record_id"]) for r in whole.collect()) == plain
+    # one asks twice, one has no number
+    assert sum(r[0] == 0 for r in plain) == 2 * sum(r[0] == 1 for r in plain) == 2 * sum(r[0] == -1 for r in plain) == 30
+
+
+@pytest.mark.parametrize(("limit", "answers"), [(1 << 26, 4_000_000), (1 << 26, 50), (-1, 4_000_000), (-1, 50)])
+def test_each_asker_gets_every_shared_row(spark, tmp_path, limit, answers):
+    rows = [(k, n) for k in range(5) for n in range(40 if k == 0 else 3)] + [(9, 0)]
+    askers = [(0, i) for i in range(joins.ASKERS + 60)] + [(1, 7), (1, 7), (2, None), (2, 7), (3, 5), (8, 5)]
+    shared = spark.createDataFrame(rows, "k long, n long")
+    asked = spark.createDataFrame(askers, "k long, who long")
+    found = joins.for_each_asker(shared, asked, "k", "who", ["n"], limit, answers).collect()
+    wanted = Counter((n, who) for k, n in rows for own, who in askers if k == own)
+    assert Counter((r["n"], r["who"]) for r in found) == wanted
+
+
 def test_pools_are_shared_and_ranges_sparse(spark, records):
     """Many questions over one pool: no row a member, however large the pool."""
     asked = ["show every college", "SHOW EVERY COLLEGE", "list each place", "all with hostel", "all hostel ones", "any zzz", None]
