@@ -1,6 +1,7 @@
 """Block-max postings against scores of all pairs."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,31 @@ def test_a_saved_index_ranks_without_shuffling_itself(spark, tmp_path):
     assert not any(later.catalog.tableExists(n) for n in saved.names.values())
 
 
+@pytest.mark.parametrize("frozen", [False, True])
+def test_an_index_lies_in_buckets_and_is_saved_bucket_by_bucket(spark, tmp_path, monkeypatch, frozen):
+    from citeframe.operators.tfidf import SavedIndex, save_index
+
+    docs = texts(spark).select("row_idx", "text").unionByName(spark.createDataFrame([(None, "often rare"), (10_000, None)], "row_idx long, text string"))
+    fitted = Index(docs, "row_idx", "text", Index(docs, "row_idx", "text").idf.localCheckpoint() if frozen else None)
+    for rows, by in [(fitted.counts, "row_idx")] + [(fitted.idf, "term")] * (not frozen):
+        assert "Exchange" not in rows.groupBy(by).count()._jdf.queryExecution().executedPlan().toString()
+    conf = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    assert fitted.doc_norms.count() == docs.count()
+    kind, dealt = type(fitted.counts), []
+    plain = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda df, *by: dealt.append(sorted(df.columns)) or plain(df, *by))
+    save_index(fitted, str(tmp_path / "index"))
+    monkeypatch.undo()
+    assert dealt == [["lead", "norm", "row_idx"]] + [["df", "idf", "n_docs", "term"]] * frozen
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == conf
+    saved = SavedIndex(spark, str(tmp_path / "index"))
+    for mine, theirs in ((saved.counts, fitted.counts), (saved.idf, fitted.idf), (saved.doc_norms, fitted.doc_norms)):
+        assert Counter(map(tuple, mine.collect())) == Counter(map(tuple, theirs.select(mine.columns).collect()))
+    # in the buckets Spark looks for them in
+    assert saved.counts.join(saved.doc_norms.hint("merge"), "row_idx").count() == fitted.counts.where("row_idx is not null").count()
+    saved.close()
+
+
 def test_pairs_are_scored_where_the_texts_lie(spark):
     docs, asked = texts(spark), questions(spark)
     index = Index(docs.select("row_idx", "text"), "row_idx", "text")
