@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeframe.operators.ranking import best_first, top_k
-from citeframe.operators.tfidf import Index, cosine_pairs, leads, weigh
+from citeframe.operators.tfidf import Index, cosine_pairs, leads, term_counts, weigh
 from citeframe.session import cut, payload_bytes
 
 
@@ -93,6 +93,18 @@ def test_a_saved_index_ranks_without_shuffling_itself(spark, tmp_path):
     assert not any(later.catalog.tableExists(n) for n in saved.names.values())
 
 
+def test_terms_of_any_number_are_counted_in_generated_code(spark):
+    words = [f"w{n}" for n in (1, 2, 3, 4, 63, 64, 65, 66, 4095, 4096, 4097, 5000) for _ in range(n)]
+    rows = [(1, words), (2, words[::-1]), (3, ["a"] * 70), (4, ["b", "a"]), (5, []), (6, None), (None, ["a", "a"]), (None, ["a", "a"])]
+    counts = term_counts(spark.createDataFrame(rows, "id int, terms array<string>"))
+    wanted = Counter((i, t, n) for i, own in rows for t, n in Counter(own or []).items())
+    assert Counter(map(tuple, counts.collect())) == wanted
+    assert dict(counts.dtypes)["tf"] == "bigint"
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    # looked at where they are exploded, terms made once
+    assert "lambdafunction" not in plan and plan.count("sort_array") == 1 and "posexplode" in plan
+
+
 @pytest.mark.parametrize("frozen", [False, True])
 def test_an_index_lies_in_buckets_and_is_saved_bucket_by_bucket(spark, tmp_path, monkeypatch, frozen):
     from citeframe.operators.tfidf import SavedIndex, save_index
